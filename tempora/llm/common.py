@@ -50,3 +50,16 @@ def word_array(text: Column) -> Column:
 def without_white(text: Column) -> Column:
     """The text without ASCII white space."""
     return F.translate(text, " \t\n\x0b\x0c\r", "")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike(f"[^{WHITE}]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_files
+from . import line_dedup, mixing, packing, quality, token_files
 from .common import scratch_path, table
 
 
@@ -30,5 +30,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_source_mixing, op8_token_files)}
-ORACLES: dict[str, str] = {}
+def op9_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_best_fit_packing, op5_source_mixing, op8_token_files, op9_line_frequency_quality, op10_line_templates,
+)}
+ORACLES: dict[str, str] = {"op9_line_frequency_quality": quality.ORACLE, "op10_line_templates": line_dedup.ORACLE}
