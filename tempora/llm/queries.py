@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, token_files
+from . import fingerprint, line_dedup, mixing, packing, quality, secrets, token_files
 from .common import scratch_path, table
 
 
@@ -19,11 +19,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, max_tokens=4096)
 
 
+def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"), "copies", "shards")
 
 
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets_by_document(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -39,6 +48,9 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op5_source_mixing, op8_token_files, op9_line_frequency_quality, op10_line_templates,
+    op2_best_fit_packing, op3_multiset_fingerprint, op5_source_mixing, op6_secret_ledger, op8_token_files, op9_line_frequency_quality, op10_line_templates,
 )}
-ORACLES: dict[str, str] = {"op9_line_frequency_quality": quality.ORACLE, "op10_line_templates": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_multiset_fingerprint": fingerprint.ORACLE, "op6_secret_ledger": secrets.ORACLE,
+    "op9_line_frequency_quality": quality.ORACLE, "op10_line_templates": line_dedup.ORACLE,
+}
