@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, line_dedup, mixing, packing, quality, secrets, token_files
+from . import fingerprint, line_dedup, mixing, packing, quality, secrets, token_files, toxicity, url_filter
 from .common import scratch_path, table
 
 
@@ -23,6 +23,11 @@ def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), "predicted")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"), "copies", "shards")
@@ -33,6 +38,10 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -48,7 +57,8 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_multiset_fingerprint, op5_source_mixing, op6_secret_ledger, op8_token_files, op9_line_frequency_quality, op10_line_templates,
+    op2_best_fit_packing, op3_multiset_fingerprint, op4_ftrl_toxicity, op5_source_mixing, op6_secret_ledger,
+    op7_url_trees, op8_token_files, op9_line_frequency_quality, op10_line_templates,
 )}
 ORACLES: dict[str, str] = {
     "op3_multiset_fingerprint": fingerprint.ORACLE, "op6_secret_ledger": secrets.ORACLE,
