@@ -77,7 +77,8 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
     out, n = mix(acc[keep]), np.maximum(counts - width + 1, 0)
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
-        whole = [mix((words[begins[i] : ends[i]] * factors[: counts[i]]).sum(dtype=np.uint64, keepdims=True) + np.uint64(counts[i]) * _GOLD)[0] for i in short]
+        lengths = counts.astype(np.uint64) * _GOLD
+        whole = [mix((words[begins[i] : ends[i]] * factors[: counts[i]]).sum(dtype=np.uint64, keepdims=True) + lengths[i : i + 1])[0] for i in short]
         n = n.copy()
         out = np.insert(out, (np.cumsum(n) - n)[short], np.array(whole, np.uint64))
         n[short] = 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, line_dedup, mixing, packing, quality, secrets, token_files, toxicity, url_filter
+from . import fingerprint, line_dedup, mixing, ngram_join, packing, quality, secrets, token_files, toxicity, url_filter
 from .common import scratch_path, table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, max_tokens=4096)
 
@@ -57,10 +61,10 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_multiset_fingerprint, op4_ftrl_toxicity, op5_source_mixing, op6_secret_ledger,
+    op1_ngram_jaccard_join, op2_best_fit_packing, op3_multiset_fingerprint, op4_ftrl_toxicity, op5_source_mixing, op6_secret_ledger,
     op7_url_trees, op8_token_files, op9_line_frequency_quality, op10_line_templates,
 )}
 ORACLES: dict[str, str] = {
-    "op3_multiset_fingerprint": fingerprint.ORACLE, "op6_secret_ledger": secrets.ORACLE,
+    "op1_ngram_jaccard_join": ngram_join.ORACLE, "op3_multiset_fingerprint": fingerprint.ORACLE, "op6_secret_ledger": secrets.ORACLE,
     "op9_line_frequency_quality": quality.ORACLE, "op10_line_templates": line_dedup.ORACLE,
 }
