@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_intervals, q_islands, q_rank, q_series  # noqa: F401
+from . import q_intervals, q_islands, q_rank, q_series, q_speakers  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
