@@ -9,16 +9,17 @@ The join is exact on the hashes:
 2. *Index lists.* Elements are ordered rarest first. Two linked sets must share an element of both prefixes, so only prefixes are
    indexed, and only of sets whose prefix reaches a shared element.
 3. *Answers derived from similar sets.* In each list every set is first compared with one pivot. Sets that link to a pivot share its
-   component, so nothing inside that component is compared again: members' answers follow from the pivot's.
-4. *Block-skip.* What may still link two components is searched in the lists alone that span components: a list is kept as blocks by
-   set size and position; a pair of blocks whose sizes or positions rule out enough overlap is skipped whole.
+   component, so nothing inside that component is compared again. The answers of the others of one pivot are derived from what they
+   differ in from it.
+4. *Block-skip.* What may still link two components of different pivots is searched in the lists alone that span components: a list is
+   kept as blocks by set size and position; a pair of blocks whose sizes or positions rule out enough overlap is skipped whole.
 
 Sets equal by hash are one set throughout, and each task merges the copies it reads, so copies are never paired.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,63 +206,126 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * room >= percent * (n1 + n2))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by their whole intersection."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, alone_b, d (size of the symmetric difference) and diff (its elements that other sets have too)."""
     left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("e_a"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("e_b"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("n_alone").alias("alone_b"), F.col("elements").alias("e_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("e_a", "e_b"))
-    return joined.filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    diff = F.concat(F.array_except("e_a", "e_b"), F.array_except("e_b", "e_a"))
+    return joined.withColumn("d", F.col("n_a") + F.col("n_b") - 2 * F.size(F.array_intersect("e_a", "e_b"))).select("a", "b", "n_a", "n_b", "alone_b", "d", diff.alias("diff"))
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    """Similarity of percent or more, told from sizes and difference: (100 + p) d <= (100 - p) (n_a + n_b)."""
+    return compared.filter((100 + percent) * F.col("d") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _block_pairs(entries: DataFrame, keys: list[str], block: list[Column], bounds: list[Column], blocks_may: Callable, pair_may: Callable, fields: list[str]) -> DataFrame:
+    """Pairs (a, b) of sets of different components from lists kept as blocks; two blocks that ``blocks_may`` rules out are skipped whole.
+
+    Pairs are tested inside a pair of blocks, so those that ``pair_may`` rules out are never rows.
+    """
+    blocks = entries.groupBy(*keys, *block).agg(
+        *bounds, F.min("component").alias("c_min"), F.max("component").alias("c_max"), F.collect_list(F.struct("set_id", "component", *fields)).alias("members")
+    )
+    blocks = blocks.withColumn("block", F.struct(*(c for c in ("band", "stretch", "deal") if c in blocks.columns)))
+    one, two = blocks.alias("x"), blocks.alias("y")
+    same = F.col("x.block") <= F.col("y.block")
+    for k in keys:
+        same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    alike = (F.col("x.c_min") == F.col("x.c_max")) & (F.col("y.c_min") == F.col("y.c_max")) & (F.col("x.c_min") == F.col("y.c_min"))
+    both = one.join(two, same).filter(blocks_may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & ~alike)
+    matched = F.flatten(F.transform("x.members", lambda a: F.transform(
+        F.filter("y.members", lambda b: (a["component"] != b["component"]) & pair_may(a, b)),
+        lambda b: F.struct(F.least(a["set_id"], b["set_id"]).alias("a"), F.greatest(a["set_id"], b["set_id"]).alias("b")),
+    )))
+    return both.select(F.explode(F.array_distinct(matched)).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _spanning(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """The entries of lists that hold more than one component, with the list's length."""
+    lists = entries.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
+    return entries.join(lists.filter("lo <> hi").drop("lo", "hi"), keys)
+
+
+def _derived_pairs(first: DataFrame, labels: DataFrame | None, percent: int, block_sets: int) -> DataFrame:
+    """Pairs (a, b) of different components and one pivot that may link, from what each differs in from the pivot alone.
+
+    The difference of two sets is that of their differences from the pivot x: d(y, z) = d(x, y) + d(x, z) - 2 c, where c counts common
+    elements of both differences, among them always those that x has alone. With g = (100 + p) d - (100 - p) n two sets link if
+    g(y) + g(z) <= 2 (100 + p) c. So few differences prove a link without any look (a star to the least g covers all such pairs),
+    and otherwise enough common differences must be found: a prefix join over the differences, rare ones first, in which the many
+    elements that one edit alone brought in rule out nearly every pair.
+    """
+    whole, part = 100 + percent, 100 - percent
+    members = first.select(F.col("a").alias("set_id"), F.col("b").alias("pivot"), F.col("alone_b").alias("alone"), "diff", (whole * F.col("d") - part * F.col("n_a")).cast("long").alias("g"))
+    members = _labelled(members, labels)
+    groups = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("g", "set_id")).alias("best"), F.min_by("component", F.struct("g", "set_id")).alias("best_component"))
+    members = written(members.join(groups.filter("lo <> hi").drop("lo", "hi"), "pivot"), "differences")
+    sure = members.filter((F.col("component") != F.col("best_component")) & (F.col("g") + F.col("best.g") <= 2 * whole * F.col("alone"))).select(F.col("set_id").alias("a"), F.col("best.set_id").alias("b"))
+    rows = members.select("pivot", "set_id", F.explode("diff").alias("element"))
+    shared = rows.groupBy("pivot", "element").agg(F.count("*").alias("k")).filter("k > 1")
+    lists = rows.join(shared, ["pivot", "element"]).groupBy("pivot", "set_id").agg(F.sort_array(F.collect_list(F.struct("k", "element"))).alias("e"))
+    least = F.greatest(F.ceil((F.col("g") + F.col("best.g")) / (2 * whole)) - F.col("alone"), F.lit(1)).cast("int")
+    kept = members.drop("diff").join(lists, ["pivot", "set_id"]).withColumn("m", F.size("e")).withColumn("reach", F.col("m") - least + 1).filter("reach > 0")
+    entries = kept.select("pivot", "set_id", "component", "alone", "g", "m", F.posexplode(F.slice("e", F.lit(1), F.col("reach"))).alias("position", "x")).withColumn("element", F.col("x.element")).drop("x")
+    needed = lambda g1, g2, alone: F.ceil((g1 + g2) / (2 * whole)) - alone
+    pairs = _block_pairs(
+        _spanning(entries, ["pivot", "element"]), ["pivot", "element"], [F.pmod(F.xxhash64("component"), F.ceil(F.col("length") / block_sets)).alias("deal")],
+        [F.min("g").alias("g_min"), F.min("alone").alias("alone"), F.max(F.col("m") - F.col("position")).alias("r_max")],
+        lambda x, y: needed(x("g_min"), y("g_min"), x("alone")) <= F.least(x("r_max"), y("r_max")),
+        lambda a, b: needed(a["g"], b["g"], a["alone"]) <= F.least(a["m"] - a["position"], b["m"] - b["position"]),
+        ["alone", "g", "m", "position"],
+    )
+    return sure.unionByName(pairs)
 
 
 def set_components(documents: DataFrame, width: int = 5, percent: int = 75, pivot_rounds: int = 3, block_sets: int = 128) -> DataFrame:
     """node, component: set ids and the least set id they reach by links, for sets that have a link."""
     sets = written(shared_sets(documents.select(F.col("text").cast("string")), width, percent), "sets")
-    index = sets.select("set_id", "n", "n_alone", F.posexplode(F.slice("elements", F.lit(1), F.col("prefix"))).alias("k", "element"))
-    index = index.select("element", "set_id", "n", (F.col("n_alone") + F.col("k")).alias("position"))
+    index = sets.select("set_id", "n", "n_alone", "prefix", F.posexplode(F.slice("elements", F.lit(1), F.col("prefix"))).alias("k", "element"))
+    index = index.select("element", "set_id", "n", "prefix", (F.col("n_alone") + F.col("k")).alias("position"))
     listed = index.groupBy("element").agg(F.count("*").alias("length")).filter("length > 1").select("element")
     index = written(index.join(listed, "element"), "index")
     labels: DataFrame | None = None
     links: DataFrame | None = None
+    first: DataFrame | None = None
     for r in range(pivot_rounds):
         now = _labelled(index, labels)
-        # one pivot for each list, then the best pivot of another component for each set
-        place = lambda c: F.xxhash64(c, F.lit(r))
-        pivot = now.groupBy("element").agg(F.min(F.struct(place(F.col("component")).alias("h"), F.col("component"), F.col("set_id"), F.col("n"), F.col("position"))).alias("p"))
+        # one pivot for each list, then the best pivot of another component for each set; at first the set that is in most lists,
+        # which is the one that differs least from its group, later any component by hash
+        place = F.struct((-F.col("prefix") if r == 0 else F.lit(0)).alias("p"), F.xxhash64("component", F.lit(r)).alias("h"))
+        pivot = now.groupBy("element").agg(F.min(F.struct(place.alias("at"), F.col("component"), F.col("set_id"), F.col("n"), F.col("position"))).alias("p"))
         near = now.join(pivot, "element").filter((F.col("component") != F.col("p.component")) & _may_link(F.col("n"), F.col("position"), F.col("p.n"), F.col("p.position"), percent))
         votes = near.groupBy("set_id", F.col("p.set_id").alias("pivot")).agg(F.count("*").alias("votes"))
         pairs = votes.groupBy("set_id").agg(F.max(F.struct("votes", "pivot")).alias("best")).select(F.col("set_id").alias("a"), F.col("best.pivot").alias("b"))
-        found = written(_verified(pairs, sets, percent), "links")
-        if found.isEmpty():
+        compared = written(_compared(pairs, sets), "compared")
+        first = compared if first is None else first
+        found = _linked(compared, percent)
+        if compared.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
-    now = _labelled(index, labels)
-    spanning = now.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).filter("lo <> hi").select("element", "length")
-    rest = now.join(spanning, "element")
-    # blocks of a list: sizes within a tenth of each other, positions within an eighth of the size, and block_sets sets at most on average
-    block = [F.floor(F.log(F.col("n")) / F.lit(np.log(1.1))).alias("band"), F.floor(8 * F.col("position") / F.col("n")).alias("stretch"), F.pmod(F.xxhash64("component"), F.ceil(F.col("length") / block_sets)).alias("deal")]
-    blocks = rest.groupBy("element", *block).agg(
-        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("position").alias("p_min"), F.min(F.col("n") - F.col("position")).alias("r_min"), F.max(F.col("n") - F.col("position")).alias("r_max"),
-        F.min("component").alias("c_min"), F.max("component").alias("c_max"), F.collect_list(F.struct("set_id", "n", "position", "component")).alias("members"),
-    ).withColumn("block", F.struct("band", "stretch", "deal"))
-    one, two = blocks.alias("x"), blocks.alias("y")
-    both = one.join(two, (F.col("x.element") == F.col("y.element")) & (F.col("x.block") <= F.col("y.block")))
-    larger = F.greatest(F.col("x.n_min"), F.col("y.n_min"))
-    both = both.filter(
-        (100 * F.least(F.col("x.n_max"), F.col("y.n_max")) >= percent * larger)
-        & ((100 + percent) * F.least(F.col("x.r_max"), F.col("y.r_max")) >= percent * (F.col("x.n_min") + F.col("y.n_min")))
-        & ~((F.col("x.c_min") == F.col("x.c_max")) & (F.col("y.c_min") == F.col("y.c_max")) & (F.col("x.c_min") == F.col("y.c_min")))
-    )
-    # pairs are filtered inside the block pair, so those that cannot link are never rows
-    matched = F.flatten(F.transform("x.members", lambda a: F.transform(
-        F.filter("y.members", lambda b: (a["component"] != b["component"]) & _may_link(a["n"], a["position"], b["n"], b["position"], percent)),
-        lambda b: F.struct(F.least(a["set_id"], b["set_id"]).alias("a"), F.greatest(a["set_id"], b["set_id"]).alias("b")),
-    )))
-    pairs = both.select(F.explode(F.array_distinct(matched)).alias("p")).select("p.a", "p.b").distinct()
-    found = written(_verified(pairs, sets, percent), "links")
+    # what may still link sets of one pivot, from their differences
+    found = written(_linked(_compared(_derived_pairs(first, labels, percent, block_sets), sets), percent), "links")
     links = found if links is None else links.unionByName(found)
-    return connected_components(links)
+    labels = connected_components(links)
+    # and all others, from the lists that span components
+    pivots = first.select(F.col("a").alias("set_id"), F.col("b").alias("pivot"))
+    now = _labelled(index, labels).join(pivots, "set_id", "left").withColumn("pivot", F.coalesce("pivot", "set_id"))
+    pairs = _block_pairs(
+        _spanning(now, ["element"]), ["element"],
+        # sizes within a tenth of each other, positions within an eighth of the size, and block_sets sets at most on average
+        [F.floor(F.log(F.col("n")) / F.lit(float(np.log(1.1)))).alias("band"), F.floor(8 * F.col("position") / F.col("n")).alias("stretch"), F.pmod(F.xxhash64("component"), F.ceil(F.col("length") / block_sets)).alias("deal")],
+        [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("position")).alias("r_max"), F.min("pivot").alias("v_min"), F.max("pivot").alias("v_max")],
+        lambda x, y: (100 * F.least(x("n_max"), y("n_max")) >= percent * F.greatest(x("n_min"), y("n_min")))
+        & ((100 + percent) * F.least(x("r_max"), y("r_max")) >= percent * (x("n_min") + y("n_min")))
+        & ~((x("v_min") == x("v_max")) & (y("v_min") == y("v_max")) & (x("v_min") == y("v_min"))),
+        lambda a, b: (a["pivot"] != b["pivot"]) & (a["pivot"] != b["set_id"]) & (b["pivot"] != a["set_id"]) & _may_link(a["n"], a["position"], b["n"], b["position"], percent),
+        ["n", "position", "pivot"],
+    )
+    found = written(_linked(_compared(pairs, sets), percent), "links")
+    return connected_components(links.unionByName(found))
 
 
 def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
