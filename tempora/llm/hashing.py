@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at a time (one longer text is taken alone).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,7 +71,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
     total = len(words)
     acc = np.zeros(total, np.uint64)
     for k in range(width):
-        acc[: total - k] += words[k:] * factors[k]
+        acc[: max(total - k, 0)] += words[k:] * factors[k]
     text = np.repeat(np.arange(len(counts)), counts)
     keep = np.arange(total) + width <= ends[text]
     out, n = mix(acc[keep]), np.maximum(counts - width + 1, 0)
