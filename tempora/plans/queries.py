@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_intervals, q_islands, q_pacing, q_rank, q_scoring, q_series, q_speakers  # noqa: F401
+from . import q_intervals, q_islands, q_pacing, q_qa, q_rank, q_scoring, q_series, q_speakers, q_tracks  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
