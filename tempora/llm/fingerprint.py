@@ -9,7 +9,7 @@ subtracting its own vector (``combine``). The vector has two parts:
   that hold a half, a quarter, ... of the segments, so some stratum is thinly filled however long the text is, and
   there the share of equal lanes estimates the share of common segments (``likeness``).
 
-Only built-in functions. A text is shuffled once by its key; half of it again to its neighbour.
+Only built-in functions. A text is shuffled once by its key; the part its neighbour takes, once more.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import has_word, let, lines_of, shuffle_partitions, written
 
 DENSE, STRATA, LANES = 16, 5, 32
 DENSE_MOD, SPARSE_MOD = 1 << 32, 1 << 16
-SEGMENT_END = r"[.!?]+[\x20\n]+|\n"
+SEGMENT_END = r"[.!?]+\x20+|\n"
 
 
 def _number(hexes: Column, start: int, width: int) -> Column:
@@ -119,30 +119,30 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars/2) code points replaced by the first as many (or all) of the next document in
     descending doc_id; after the last comes the first. A null text is empty; null doc_ids come last; rows with equal doc_id
-    are ordered by a hash of the text, and equal rows are told apart by a number. A lone document is its own next.
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    are ordered by a hash of the text, and equal rows follow each other. A lone document is its own next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = documents.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
-    keyed = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")))
-    keyed = keyed.withColumn("fingerprint", fingerprint(F.col("text")))
-    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("h"), F.length(text).alias("n"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("copy")]
-    nexts = next_rows(rows, ["h", "copy", "n"], order)
+    rows = documents.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    # one row for equal rows, and one shuffle of the texts for both joins
+    # (both use the same columns of it, so its exchange is reused)
+    keyed = rows.groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    sizes = rows.select("h", "doc_id", F.length("text").alias("n")).groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    nexts = next_rows(sizes, ["h", "n", "copies"], [F.col("doc_id").desc_nulls_last(), F.col("h")])
     # a row for each document as the next of another: whose next it is and how much of it that one takes
-    wanted = nexts.select(F.col("next_h").alias("h"), F.col("next_copy").alias("copy"), F.col("h").alias("t_h"), F.col("copy").alias("t_copy"), F.floor(F.col("n") / 2).cast("int").alias("take"))
-    given = keyed.join(wanted, ["h", "copy"]).select(
-        F.col("t_h").alias("h"), F.col("t_copy").alias("copy"), F.col("text").substr(F.lit(1), F.col("take")).alias("taken"), F.col("fingerprint").alias("next_fingerprint")
-    )
-    joined = keyed.join(given, ["h", "copy"])
-    n = F.length("text")
-    edited = F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 2).cast("int")), F.col("taken"))
-    out = joined.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    wanted = nexts.select(F.col("next_h").alias("h"), F.col("h").alias("t_h"), F.floor(F.col("n") / 2).cast("int").alias("take"), "copies")
+    given = keyed.join(wanted, "h").select(F.col("t_h").alias("h"), F.col("doc_id").alias("next_doc_id"), "copies", F.col("text").substr(F.lit(1), F.col("take")).alias("taken"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    joined = keyed.join(given, "h").withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    # of equal rows each but the last has its own like as next
+    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    own = F.col("copy") < F.col("copies")
+    taken = F.when(own, F.col("text").substr(F.lit(1), F.col("half"))).otherwise(F.col("taken"))
+    edited = F.concat(F.col("text").substr(F.lit(1), F.length("text") - F.col("half")), taken)
+    out = each.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("next_doc_id")).alias("next_doc_id"), F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.when(own, F.col("fingerprint")).otherwise(F.col("next_fingerprint")).alias("next_fingerprint"))
     out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id",
     )
 
 
@@ -155,7 +155,7 @@ _FP = r"""
      (select k, lane as l, sum(v) % 65536 as v from (
         select k, cast('0x' || substr(h, 1, 4) as bigint) + 1 as v,
                (case when r % 2 = 1 then 0 when r % 4 = 2 then 1 when r % 8 = 4 then 2 when r % 16 = 8 then 3 else 4 end) * 32 + cast('0x' || substr(h, 5, 2) as bigint) % 32 as lane
-        from (select k, h, cast('0x' || substr(h, 7, 2) as bigint) as r from (select k, md5(s) as h from (select k, unnest(regexp_split_to_array(text, '[.!?]+[\x20\n]+|\n')) as s from {t}) a where regexp_matches(s, '[^\x20\x09-\x0D]')) b) c) d group by 1, 2) s
+        from (select k, h, cast('0x' || substr(h, 7, 2) as bigint) as r from (select k, md5(s) as h from (select k, unnest(regexp_split_to_array(text, '[.!?]+\x20+|\n')) as s from {t}) a where regexp_matches(s, '[^\x20\x09-\x0D]')) b) c) d group by 1, 2) s
      on s.k = g.k and s.l = g.l) t group by 1)
 """
 _NEAR = r"""
@@ -178,6 +178,6 @@ p1 as (select fp.k, fp.fp as a, ep.fp as b from fp join ep using (k)),
 p2 as (select e.k, x.fp as a, y.fp as b from e join fp x on x.k = e.k join fp y on y.k = e.nk),
 n1 as {_NEAR.format(t="p1")},
 n2 as {_NEAR.format(t="p2")}
-select e.doc_id, e.n_chars, sha256(e.edited) as edited_sha256, p1.a as fingerprint, p1.b as edited_fingerprint, cast(n1.near as double) as near_edited, cast(n2.near as double) as near_next
+select e.doc_id, e.n_chars, sha256(e.edited) as edited_sha256, p1.a as fingerprint, p1.b as edited_fingerprint, cast(n1.near as double) as near_edited, cast(n2.near as double) as near_next, (select x.doc_id from d x where x.k = e.nk) as next_doc_id
 from e join p1 using (k) join n1 using (k) join n2 using (k)
 """
