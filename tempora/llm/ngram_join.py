@@ -34,6 +34,8 @@ from .hashing import mix, shingle_hashes, text_chunks, word_hashes
 FREQUENT_SHARE = 2**-16
 #: Elements per partition aimed at while counting.
 PARTITION_ELEMENTS = 4_000_000
+#: Documents whose elements a task holds at a time.
+BATCH_ROWS = 5000
 GROUPED = "part int, frequent boolean, elements binary, owners binary, sets binary, sizes binary"
 
 
@@ -122,7 +124,7 @@ def shared_sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, _ = shared.value
-        for b in batches:
+        for b in (batch.slice(i, BATCH_ROWS) for batch in batches for i in range(0, batch.num_rows, BATCH_ROWS)):
             distinct = {set_id(x): x for x in text_sets(b.column("text"), width) if len(x)}
             if not distinct:
                 continue

@@ -31,7 +31,7 @@ def token_pieces(documents: DataFrame, vocabulary: str, end_id: int, max_tokens:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids in encoded_batches(batches, vocabulary, False, end_id):
+        for chunk, ids in encoded_batches(batches, vocabulary, False, end_id, max_pieces=500_000, chunk_bytes=4_000_000):
             rows = [
                 (doc, k, s, min(max_tokens, len(x) - s), zlib.crc32(x[s : s + max_tokens].astype("<u4").tobytes()))
                 for doc, x in zip(chunk.column("doc_id").to_pylist(), ids)

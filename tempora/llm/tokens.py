@@ -24,11 +24,12 @@ CHUNK_BYTES = 8_000_000
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(path: str, spaced: bool) -> "Encoder":
+def encoder(path: str, spaced: bool, max_pieces: int = MAX_PIECES) -> "Encoder":
     """The worker's encoder for a vocabulary file. spaced: a piece keeps the space before it (byte-level BPE)."""
     key = (path, spaced)
     if key not in _encoders:
         _encoders[key] = Encoder(path, spaced)
+    _encoders[key].max_pieces = max_pieces
     return _encoders[key]
 
 
@@ -40,6 +41,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        self.max_pieces = MAX_PIECES
         self.forget()
 
     def forget(self) -> None:
@@ -69,7 +71,7 @@ class Encoder:
             self.used += len(flat)
 
     def places(self, pieces: list[str]) -> np.ndarray:
-        if len(self.place) + len(pieces) > MAX_PIECES:
+        if len(self.place) + len(pieces) > self.max_pieces:
             self.forget()
         get = self.place.get
         found = [get(p, -1) for p in pieces]
@@ -110,12 +112,12 @@ class Encoder:
         return ids, per_text
 
 
-def text_chunks(texts: pa.Array):
-    """Slices (start, stop) of a text column of at most CHUNK_BYTES each, or one text."""
+def text_chunks(texts: pa.Array, chunk_bytes: int):
+    """Slices (start, stop) of a text column of at most chunk_bytes each, or one text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > CHUNK_BYTES:
+        if held and held + n > chunk_bytes:
             yield start, i
             start, held = i, 0
         held += int(n)
@@ -123,12 +125,12 @@ def text_chunks(texts: pa.Array):
         yield start, len(sizes)
 
 
-def encoded_batches(batches, path: str, spaced: bool, end_id: int):
+def encoded_batches(batches, path: str, spaced: bool, end_id: int, max_pieces: int = MAX_PIECES, chunk_bytes: int = CHUNK_BYTES):
     """For each chunk of the batches: the chunk, and each text's ids with the end id."""
-    coder = encoder(path, spaced)
+    coder = encoder(path, spaced, max_pieces)
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
-        for i, j in text_chunks(texts):
+        for i, j in text_chunks(texts, chunk_bytes):
             part = texts.slice(i, j - i)
             ids, counts = coder.encode(part)
             cuts = np.cumsum(counts)
