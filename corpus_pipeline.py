@@ -24,10 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: lines of recurring templates go; n_chars follows the text. A document without any word left goes too, if it lost lines."""
-    kept = line_dedup.drop_recurring_lines(docs)
-    emptied = (F.col("n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    """Operator 10: lines of recurring templates, repeated short lines and recurring passages go; n_chars follows the text. A document
+    without any word left goes too, if it lost some."""
+    kept = line_dedup.drop_recurring_text(docs)
+    changed = (F.col("n_dropped") > 0) | (F.col("n_words_dropped") > 0)
+    emptied = changed & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return kept.filter(~emptied).select("doc_id", "text", "lang", "source", n_chars)
 
 

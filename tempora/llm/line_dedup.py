@@ -6,6 +6,10 @@ them, so lines that differ in one variable field (a name, a number, a date) fall
 four. A template that lines of two different document contents fall on recurs: its first line (least doc_id, then
 line number) stays and the others are dropped. Exact copies of one document do not make its lines recur.
 
+``drop_recurring_text`` goes further: lines below ``min_tokens`` recur if their words are equal, and passages inside
+otherwise different lines go too. Every run of ``WINDOW`` words is hashed, and of ``REACH`` runs in a row the one with the least
+hash is looked at, so two documents that share WINDOW + REACH - 1 = 47 words in a row have one of these runs in common.
+
 Only built-in functions. Templates are found from hashes; a line's text is shuffled only with its own document.
 """
 
@@ -14,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lines_of, word_array, written
+from .common import WHITE, has_word, let, lines_of, word_array, written
 
 FIELDS = 4
+#: Powers of two: the words of a run, and how many runs in a row are sure to have one that is looked at.
+WINDOW, REACH = 32, 16
 
 
 def template_keys(line: Column, depth: int, min_tokens: int) -> Column:
@@ -35,11 +41,17 @@ def template_keys(line: Column, depth: int, min_tokens: int) -> Column:
     return let(masked, lambda t: F.when(F.size(t) >= max(min_tokens, depth + FIELDS), keys(t)))
 
 
-def recurring_lines(documents: DataFrame, depth: int = 3, min_tokens: int = 8) -> DataFrame:
-    """doc_id, content (hash of the text) and the sorted numbers (from 0) of the lines to drop, for documents that have some."""
+def recurring_lines(documents: DataFrame, depth: int = 3, min_tokens: int = 8, short: bool = False) -> DataFrame:
+    """content (hash of id and text) and the sorted numbers (from 0) of the lines to drop, for documents that have some.
+
+    short: lines with too few words for a template recur too, if all their words are equal.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = documents.select("doc_id", F.xxhash64("doc_id", text).alias("content"), F.xxhash64(text).alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
-    keyed = keyed.withColumn("keys", template_keys(F.col("line"), depth, min_tokens)).filter(F.col("keys").isNotNull()).drop("line")
+    keys = template_keys(F.col("line"), depth, min_tokens)
+    if short:
+        keys = F.coalesce(keys, F.when(has_word(F.col("line")), F.array(F.xxhash64(F.lit("short"), word_array(F.col("line"))))))
+    keyed = keyed.withColumn("keys", keys).filter(F.col("keys").isNotNull()).drop("line")
     lines = written(keyed, "line-templates").select("doc_id", "content", "text_hash", "line_no", F.explode("keys").alias("key"))
     where = F.struct("doc_id", "line_no")
     templates = lines.groupBy("key").agg(F.min(where).alias("first"), F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
@@ -48,13 +60,13 @@ def recurring_lines(documents: DataFrame, depth: int = 3, min_tokens: int = 8) -
     return later.groupBy("content").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
 
-def drop_recurring_lines(documents: DataFrame, depth: int = 3, min_tokens: int = 8) -> DataFrame:
+def drop_recurring_lines(documents: DataFrame, depth: int = 3, min_tokens: int = 8, short: bool = False) -> DataFrame:
     """The documents' rows and columns with recurring lines gone from ``text``, and n_lines and n_dropped added.
 
     A null text stays null with n_lines 0; a text may become empty, its row stays. Repeated rows (equal id and text)
     lose the same lines. A null doc_id orders before all others. Columns named like the added ones are replaced.
     """
-    drops = recurring_lines(documents, depth, min_tokens).select(F.col("content").alias("_content"), F.col("drop").alias("_drop"))
+    drops = recurring_lines(documents, depth, min_tokens, short).select(F.col("content").alias("_content"), F.col("drop").alias("_drop"))
     keyed = documents.drop("n_lines", "n_dropped").withColumn("_key", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
     joined = keyed.join(drops, F.col("_key") == F.col("_content"), "left")
     lines = lines_of(F.col("text"))
@@ -65,6 +77,81 @@ def drop_recurring_lines(documents: DataFrame, depth: int = 3, min_tokens: int =
     return out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)).drop("_key", "_content", "_drop")
 
 
+def passage_windows(words: Column) -> Column:
+    """array<struct<key, at>>: hash and place (from 0) of the runs of WINDOW words that are looked at."""
+
+    def after(x: Column, step: int) -> Column:
+        return F.slice(x, step + 1, F.greatest(F.size(x) - step, F.lit(0)))
+
+    def before(x: Column, step: int) -> Column:
+        return F.concat(F.array_repeat(F.lit(None).cast("long"), step), F.slice(x, 1, F.greatest(F.size(x) - step, F.lit(0))))
+
+    def doubled(x: Column, size: int, other, join) -> Column:
+        """``join`` over ``size`` neighbours, by steps of 1, 2, 4, ..."""
+
+        def one(x: Column, step: int) -> Column:
+            return let(x, lambda h: F.zip_with(h, other(h, step), join))
+
+        step = 1
+        while step < size:
+            x, step = one(x, step), 2 * step
+        return x
+
+    def chosen(h: Column) -> Column:
+        # a run is the least of some REACH in a row if the greatest of these minima is its own
+        tops = doubled(doubled(h, REACH, after, lambda a, b: F.least(a, b)), REACH, before, lambda a, b: F.greatest(a, b))
+        own = F.zip_with(h, tops, lambda a, b: F.when(a == b, a))
+        return F.filter(F.transform(own, lambda x, i: F.when(x.isNotNull(), F.struct(x.alias("key"), i.alias("at")))), lambda x: x.isNotNull())
+
+    def runs(w: Column) -> Column:
+        h = doubled(F.transform(w, lambda x: F.xxhash64(x)), WINDOW, after, lambda a, b: F.xxhash64(a, b))
+        return F.slice(h, 1, F.size(w) - (WINDOW - 1))
+
+    return let(words, lambda w: F.when(F.size(w) >= WINDOW, let(runs(w), chosen)))
+
+
+def recurring_passages(documents: DataFrame) -> DataFrame:
+    """content (hash of id and text) and the sorted places of the runs of WINDOW words to drop, for documents that have some."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    runs = documents.select("doc_id", F.xxhash64("doc_id", text).alias("content"), F.xxhash64(text).alias("text_hash"), F.explode(passage_windows(word_array(F.col("text")))).alias("w"))
+    runs = written(runs.select("doc_id", "content", "text_hash", "w.key", "w.at"), "passages")
+    where = F.struct("doc_id", "text_hash", "at")
+    shared = runs.groupBy("key").agg(F.min(where).alias("first"), F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
+    shared = shared.filter(F.col("lo") != F.col("hi")).select("key", "first")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    # a repetition that overlaps the first occurrence would take words of it
+    later = runs.join(shared, "key").filter((where > F.col("first")) & ~(same & (F.col("at") < F.col("first.at") + WINDOW)))
+    return later.groupBy("content").agg(F.sort_array(F.collect_set("at")).alias("drop"))
+
+
+def drop_recurring_passages(documents: DataFrame) -> DataFrame:
+    """The documents' rows and columns with the words of recurring passages gone from ``text``, and n_words_dropped added.
+
+    A passage of 47 words or more that different documents share stays where it is first; up to 15 words of it may stay at either end
+    elsewhere. Every word left keeps the white space before it. Line borders do not matter.
+    """
+    drops = recurring_passages(documents).select(F.col("content").alias("_content"), F.col("drop").alias("_drop"))
+    keyed = documents.drop("n_words_dropped").withColumn("_key", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(drops, F.col("_key") == F.col("_content"), "left")
+    word = f"[^{WHITE}]+"
+    gone = F.array_distinct(F.flatten(F.transform("_drop", lambda p: F.sequence(p, p + (WINDOW - 1)))))
+    parts = F.struct(F.split("text", word, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("words"), gone.alias("gone"))
+
+    def rebuilt(x: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(x["words"]) - 1), x["gone"])
+        body = F.array_join(F.transform(kept, lambda i: F.concat(F.get(x["gaps"], i), F.get(x["words"], i))), "")
+        return F.struct(F.concat(body, F.element_at(x["gaps"], -1)).alias("text"), F.size(x["gone"]).cast("long").alias("n"))
+
+    out = joined.withColumn("_new", F.when(F.col("_drop").isNotNull(), let(parts, rebuilt)))
+    out = out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.col("_new.text")))
+    return out.withColumn("n_words_dropped", F.coalesce("_new.n", F.lit(0)).cast("long")).drop("_key", "_content", "_drop", "_new")
+
+
+def drop_recurring_text(documents: DataFrame, depth: int = 3, min_tokens: int = 8) -> DataFrame:
+    """Recurring lines, short ones too, and then the recurring passages of what is left; n_lines, n_dropped and n_words_dropped are added."""
+    return drop_recurring_passages(written(drop_recurring_lines(documents, depth, min_tokens, True), "without-lines"))
+
+
 ORACLE = r"""
 with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents where text is not null),
 t as (select doc_id, text, line_no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as tok from l),

@@ -325,6 +325,27 @@ def test_templates_drop_later_lines_only(spark):
     assert line_dedup.drop_recurring_lines(awkward(spark, [])).count() == 0
 
 
+def test_recurring_text_goes_from_long_and_short_lines(spark):
+    rng = random.Random(4)
+    prose = lambda n: [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n)]
+    passage = prose(60)
+    rows = [(i, " ".join(prose(300 + 40 * i) + passage + prose(200)) + "\nall rights reserved\n" + f"own line {i}") for i in range(4)]
+    rows += [(10, "x " * 70), (11, "x " * 90 + "y")]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and " ".join(passage) in got[0].text
+    seen = {}
+    for i in range(4):
+        words = got[i].text.split()
+        for j in range(len(words) - 49):
+            assert seen.setdefault(tuple(words[j : j + 50]), i) == i
+        assert ("rights" in got[i].text) == (i == 0) and got[i].text.endswith(f"own line {i}")
+        assert all(w in got[i].text for w in rows[i][1].split() if w not in passage + ["all", "rights", "reserved"])
+    assert got[10].text.count("x") >= line_dedup.WINDOW
+    strange = line_dedup.drop_recurring_text(awkward(spark))
+    assert strange.count() == 12 and strange.filter("doc_id = 0").first().text is None
+    assert line_dedup.drop_recurring_text(awkward(spark, [])).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
