@@ -3,7 +3,8 @@
 Every line is normalised (lower case, digits to 0, runs of white space to one space) and hashed; the distinct
 document contents that hold it are counted per host. Lines in more than ``max_docs`` of them are removed, and a
 document is rejected if more than ``max_removed`` of its words go with them. Exact copies of a document count once,
-so copies do not condemn each other. Only built-in functions; the texts are read once and never shuffled.
+so copies do not condemn each other. Only built-in functions. ``clean_documents`` gives the texts without their common lines; they are
+read twice and shuffled at most once, for the join with the numbers of the lines to remove.
 """
 
 from __future__ import annotations
@@ -43,39 +44,59 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(found)
 
 
-def document_counts(documents: DataFrame, host: str) -> DataFrame:
-    """One row per document: the counts of the base rules and (hash, words) of its distinct normalised lines with their words summed."""
+def line_hashes(documents: DataFrame, host: str) -> DataFrame:
+    """host, key (column ``_key``), content and lines (hash and number, from 0, of every line with a word)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    numbered = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.when(has_word(x), F.struct(F.xxhash64(normalised_line(x)).alias("h"), i.alias("at")))), lambda x: x.isNotNull())
+    return documents.select(F.col(host).alias("host"), F.col("_key").alias("key"), F.xxhash64(text).alias("content"), numbered.alias("lines"))
+
+
+def document_counts(documents: DataFrame, cleaned: str) -> DataFrame:
+    """doc_id, the column ``cleaned`` and the counts of the base rules of ``text``; left_words is the number of words of ``cleaned``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(lines_of(F.col("text")), has_word)
     parts = documents.select(
-        "doc_id", F.col(host).alias("host"), F.xxhash64(text).alias("content"), text.alias("text"),
+        "doc_id", cleaned,
         F.length(without_white(text)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(word_array(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("w"),
-        F.transform(lines, lambda x: F.struct(F.xxhash64(normalised_line(x)).alias("h"), F.size(word_array(x)).alias("n"))).alias("lines"),
+        F.size(word_array(F.col(cleaned))).cast("long").alias("left_words"),
     )
-    return parts.select("doc_id", "host", "content", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"), "lines")
+    return parts.select("doc_id", cleaned, F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"), "left_words")
 
 
-def judge_documents(
+def clean_documents(
     documents: DataFrame, host: str = "source", max_docs: int = 20, max_removed: float = 2 / 3, min_words: int = 20, max_repeat_percent: int = 30
 ) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
+    """doc_id, text (without the lines above the limit), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
 
-    Null and empty texts have no words and fail. Null hosts are one host. Each row is judged, repeated rows alike; rows with a
-    null doc_id too. No documents give no rows. Columns besides doc_id, text and the host are not looked at.
+    The counts are those of the text before; removed_words is what the cleaned text has less. Null and empty texts have no words and
+    fail; a null text stays null. A text may become empty, its row stays. Null hosts are one host. Each row is judged, repeated rows
+    alike; rows with a null doc_id too. No documents give no rows. Columns besides doc_id, text and the host are not looked at.
     """
-    counts = written(document_counts(documents, host).withColumn("row", F.monotonically_increasing_id()), "line-counts")
-    lines = counts.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", F.col("l.h").alias("line"), F.col("l.n").alias("n"))
-    common = lines.groupBy("host", "line").agg(F.count_distinct("content").alias("docs")).filter(F.col("docs") > max_docs)
+    # what a text loses depends on it and its host alone
+    key = F.xxhash64(F.col(host).isNull(), F.col(host), F.coalesce(F.col("text"), F.lit("")))
+    lines = written(line_hashes(documents.withColumn("_key", key), host), "line-hashes")
+    each = lines.select("host", "key", "content", F.explode("lines").alias("l")).select("host", "key", "content", F.col("l.h").alias("line"), F.col("l.at").alias("at"))
+    common = each.groupBy("host", "line").agg(F.count_distinct("content").alias("docs")).filter(F.col("docs") > max_docs)
     common = common.select(F.col("host").alias("c_host"), F.col("line").alias("c_line"))
-    removed = lines.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line"))).groupBy("row").agg(F.sum("n").alias("removed_words"))
-    joined = counts.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    gone = each.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line"))).groupBy("key").agg(F.collect_set("at").alias("_gone"))
+    joined = documents.select("doc_id", "text", F.col(host).alias("host"), key.alias("key")).join(gone, "key", "left")
+    left = let(lines_of(F.col("text")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
+    cleaned = joined.select("doc_id", "text", "host", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("cleaned"))
+    counts = document_counts(cleaned, "cleaned")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    judged = joined.withColumn("base_failed", failed)
+    judged = counts.withColumn("removed_words", F.col("n_words") - F.col("left_words")).withColumn("base_failed", failed)
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.lit(max_removed) * F.col("n_words")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+    return judged.select("doc_id", F.col("cleaned").alias("text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+def judge_documents(
+    documents: DataFrame, host: str = "source", max_docs: int = 20, max_removed: float = 2 / 3, min_words: int = 20, max_repeat_percent: int = 30
+) -> DataFrame:
+    """The counts and verdicts of ``clean_documents``, whose texts are built for them, without the texts."""
+    return clean_documents(documents, host, max_docs, max_removed, min_words, max_repeat_percent).drop("text")
 
 
 ORACLE = r"""

@@ -306,6 +306,16 @@ def test_common_lines_reject_documents(spark):
     assert quality.judge_documents(awkward(spark)).count() == 12 and quality.judge_documents(awkward(spark, [])).count() == 0
 
 
+def test_common_lines_are_removed_from_texts(spark):
+    line, own = "Shared  line number 7", [f"only here {w} stays\n\n" for w in WORDS]
+    rows = [(i, f"{line}\n{t}shared line NUMBER 8", "h") for i, t in enumerate(own[:12])] + [(50, line, None), (51, None, "h"), (0, f"{line}\n{own[0]}shared line NUMBER 8", "h")]
+    got = quality.clean_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=5, min_words=2).collect()
+    assert len(got) == 15 and sum(r.doc_id == 0 for r in got) == 2
+    for r in got:
+        want = own[r.doc_id].removesuffix("\n") if r.doc_id < 12 else {50: line, 51: None}[r.doc_id]
+        assert r.text == want and r.removed_words == (8 if r.doc_id < 12 else 0)
+
+
 def test_repeated_windows_against_python(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (0, 7, 8, 40, 200)] + ["x y " * 30]
