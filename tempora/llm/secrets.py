@@ -2,7 +2,8 @@
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger records which (blob, rule version)
 pairs have been scanned; a scan takes each distinct blob once, only with the rules it has not met, and findings are joined
-back to all paths and versions that have the blob. Only built-in functions: a match's place is found from the
+back to all paths and versions that have the blob. A stored ledger is a folder that keeps the findings beside the pairs, so a later scan
+has the earlier findings too. Only built-in functions: a match's place is found from the
 lengths of the text between matches.
 """
 
@@ -10,10 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, scratch_path, written
+
+LEDGER = "blob string, due array<struct<kind:string,version:int>>, hits array<struct<kind:string,version:int,spans:array<struct<start:int,end:int>>>>"
 
 
 @dataclass(frozen=True)
@@ -71,13 +75,8 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(hinted, let(both, lambda b: F.when(F.size(b["found"]) > 0, places(b["gaps"], b["found"], b["values"])).otherwise(none))).otherwise(none)
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scan blobs that a rule has not seen. versions: blob (content address) and text, one row for each version of a path.
-
-    ledger: earlier results of this function's second part (blob, kind, version), or None. Returns (findings, scanned):
-    findings has blob, kind, version, start, end; scanned has the pairs to append to the ledger. Each distinct blob's text is
-    kept once, so a blob under a third of all paths is scanned once; null texts are to be coalesced before.
-    """
+def _scan(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, due (the rules it has not met) and hits (their findings) of every distinct blob with a due rule."""
     blobs = versions.select("blob", "text").dropDuplicates(["blob"])
     pairs = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
     if ledger is not None:
@@ -92,24 +91,60 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
                  (spans_of(F.col("text"), r) if ledger is None else F.when(F.array_contains("due", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), spans_of(F.col("text"), r)).otherwise(none)).alias("spans"))
         for r in rules
     ]
-    found = blobs.select("blob", "due", F.filter(F.array(*per_rule), lambda x: F.size(x["spans"]) > 0).alias("hits"))
-    found = written(found, "scan")
-    findings = found.select("blob", F.explode("hits").alias("hit")).select("blob", "hit.kind", "hit.version", F.explode("hit.spans").alias("s")).select("blob", "kind", "version", "s.start", "s.end")
-    return findings, found.select("blob", F.explode("due").alias("d")).select("blob", "d.kind", "d.version")
+    return blobs.select("blob", "due", F.filter(F.array(*per_rule), lambda x: F.size(x["spans"]) > 0).alias("hits"))
+
+
+def _findings(found: DataFrame) -> DataFrame:
+    return found.select("blob", F.explode("hits").alias("hit")).select("blob", "hit.kind", "hit.version", F.explode("hit.spans").alias("s")).select("blob", "kind", "version", "s.start", "s.end")
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select("blob", F.explode("due").alias("d")).select("blob", "d.kind", "d.version")
+
+
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """Scan blobs that a rule has not seen. versions: blob (content address) and text, one row for each version of a path.
+
+    ledger: earlier results of this function's second part (blob, kind, version), or None. Returns (findings, scanned):
+    findings has blob, kind, version, start, end; scanned has the pairs to append to the ledger. Each distinct blob's text is
+    kept once, so a blob under a third of all paths is scanned once; null texts are to be coalesced before.
+    """
+    found = written(_scan(versions, ledger, rules), "scan")
+    return _findings(found), _pairs(found)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a stored ledger: blob, due (the pairs scanned) and hits (their findings); None if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan_into_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger in the folder ``path`` has not seen, append it there, and return all its findings (blob, kind, version, start, end) of these rules' versions."""
+    spark = versions.sparkSession
+    old = read_ledger(spark, path)
+    _scan(versions, None if old is None else _pairs(old), rules).write.mode("append").parquet(path)
+    current = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
+    return _findings(read_ledger(spark, path)).filter(F.array_contains(current, F.struct("kind", "version")))
 
 
-def secrets_by_document(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def secrets_by_document(documents: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans (and their structs in ``found``) for every document.
 
-    A null text is an empty one. Documents without findings have zero counts and empty strings' digests. Repeated rows are
+    ledger: the folder of a stored ledger, which is begun or continued; None for one of this call's own. Findings of earlier scans count
+    like those of this one. A null text is an empty one. Documents without findings have zero counts and empty strings' digests. Repeated rows are
     paths of one blob and get its findings each; a null doc_id is kept.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blob = F.sha2(text, 256)
     versions = documents.select("doc_id", blob.alias("blob"), text.alias("text"))
-    findings, _ = scan_versions(versions, ledger, rules)
+    findings = scan_into_ledger(versions, ledger or scratch_path(documents.sparkSession, "secret-ledger"), rules)
     rank = F.element_at(F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i))), F.col("kind"))
-    per_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("found"))
+    per_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("found"))
     joined = versions.select("doc_id", "blob").join(per_blob, "blob", "left")
     found = F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
     joined = joined.withColumn("found", found)
