@@ -147,16 +147,24 @@ def track_edges(tracks: DataFrame, near: float = 80.0, together_ms: int = 300, g
 
 
 def merge_tracks(tracks: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """tracks with ``person``: the least track_id of those joined by edges in a shot; labels spread by joins to a fixpoint."""
+    """tracks with ``person``: the least track_id of those joined by edges in a shot.
+
+    Each round a track takes the least label among its neighbours', tells its old label's track, and takes its label's label, so long
+    chains halve; an error if the labels do not settle.
+    """
     both = written(edges.select(*SHOT, "a", "b").unionByName(edges.select(*SHOT, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(tracks.select(*TRACK).distinct().withColumn("person", F.col("track_id")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels.select(*SHOT, F.col("track_id").alias("b"), "person"), [*SHOT, "b"]).groupBy(*SHOT, F.col("a").alias("track_id")).agg(F.min("person").alias("near"))
-        new = written(labels.join(near, TRACK, "left").select(*TRACK, F.col("person").alias("was"), F.least("person", F.coalesce("near", "person")).alias("person")), "labels")
-        labels = new.drop("was")
-        if new.filter("was <> person").isEmpty():
-            break
-    return tracks.join(labels, TRACK)
+        nearer = labels.join(near, TRACK, "left").select(*TRACK, F.col("person").alias("was"), F.least("person", F.coalesce("near", "person")).alias("new"))
+        hooks = nearer.groupBy(*SHOT, "was").agg(F.min("new").alias("hook"))
+        hooked = nearer.join(hooks, [*SHOT, "was"]).select(*TRACK, "was", F.least("new", "hook").alias("new"))
+        jump = hooked.select(*SHOT, F.col("track_id").alias("new"), F.col("new").alias("jumped"))
+        following = written(hooked.join(jump, [*SHOT, "new"], "left").select(*TRACK, "was", F.least("new", F.coalesce("jumped", "new")).alias("person")), "labels")
+        labels = following.drop("was")
+        if following.filter("was <> person").isEmpty():
+            return tracks.join(labels, TRACK)
+    raise RuntimeError("tracks did not settle")
 
 
 def layout_state_machine(frames: DataFrame, enter_ms: int = 600, leave_ms: int = 750) -> DataFrame:
