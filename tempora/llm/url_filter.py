@@ -2,7 +2,7 @@
 
 Features of a URL: its length, path depth, share of digits, entropy of its characters, number of query parameters, host
 labels and hyphens, and statistics of its suffix (the host's last two labels): how many labelled URLs have it and the smoothed
-share of them that is blocked. The trees are trained on labelled URLs; all features are built-in functions.
+share of them that is blocked. They are counted on all distinct labelled URLs; the trees are trained on a sample of these; all features are built-in functions.
 """
 
 from __future__ import annotations
@@ -71,24 +71,26 @@ def lexical_features(urls: DataFrame) -> DataFrame:
 
 
 def _with_suffixes(features: DataFrame, suffixes: DataFrame, mean: float) -> DataFrame:
-    joined = features.join(F.broadcast(suffixes), "suffix", "left")
+    joined = features.join(suffixes, "suffix", "left")
     return joined.withColumn("suffix_seen", F.log1p(F.coalesce("suffix_n", F.lit(0)).cast("double"))).withColumn("suffix_blocked", F.coalesce("suffix_rate", F.lit(mean))).drop("suffix_n", "suffix_rate")
 
 
 def train(labelled: DataFrame, max_labelled: int = 20_000, trees: int = 10, depth: int = 3, smoothing: float = 20.0) -> tuple[PipelineModel, DataFrame, float] | None:
-    """Fit on at most ``max_labelled`` of the labelled URLs (columns url and blocked 0/1), taken by a hash of the URL.
+    """Fit on at most ``max_labelled`` of the distinct labelled URLs (columns url and blocked 0/1), taken by a hash of the URL.
 
-    Returns the model, the suffix statistics (a row for each suffix in that sample, so at most ``max_labelled``) and the blocked share;
-    None if the sample does not have both labels.
+    Returns the model, the suffix statistics (a row for each suffix of all distinct labelled URLs) and those URLs' blocked share; None if
+    the sample does not have both labels.
     """
-    sample = labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("double").alias("blocked"))
-    sample = sample.withColumn("_h", F.xxhash64("url")).orderBy("_h", "url", "blocked").limit(max_labelled).drop("_h")
+    labels = labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("double").alias("blocked")).distinct()
+    labels = written(labels.select("url", "blocked", F.substring_index(host_of(F.col("url")), ".", -2).alias("suffix")), "url-labels")
+    sample = labels.select("url", "blocked", F.xxhash64("url").alias("_h")).orderBy("_h", "url", "blocked").limit(max_labelled).drop("_h")
     features = written(lexical_features(sample), "url-sample")
-    n, mean = features.agg(F.count("*"), F.avg("blocked")).first()
-    if not n or mean in (0.0, 1.0):
+    n, sampled = features.agg(F.count("*"), F.avg("blocked")).first()
+    if not n or sampled in (0.0, 1.0):
         return None
+    mean = labels.agg(F.avg("blocked")).first()[0]
     rate = (F.sum("blocked") + F.lit(smoothing * mean)) / (F.count("*") + F.lit(smoothing))
-    suffixes = written(features.groupBy("suffix").agg(F.count("*").alias("suffix_n"), rate.alias("suffix_rate")), "url-suffixes")
+    suffixes = written(labels.groupBy("suffix").agg(F.count("*").alias("suffix_n"), rate.alias("suffix_rate")), "url-suffixes")
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="_features"), GBTClassifier(labelCol="blocked", featuresCol="_features", maxIter=trees, maxDepth=depth, seed=7, cacheNodeIds=False)]
     return Pipeline(stages=stages).fit(_with_suffixes(features, suffixes, mean)), suffixes, mean
 
