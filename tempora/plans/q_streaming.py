@@ -57,7 +57,7 @@ def o130_live_speech_rate(spark, sf_dir):
 @query()
 def o131_live_hysteresis(spark, sf_dir):
     d = X.detections(X.intervals(spark, sf_dir)).select("source_id", F.col("track_id").cast("long").alias("track_id"), "t_ms", F.col("conf").alias("p"))
-    return finished(L.live_hysteresis(streamed(spark, d.coalesce(1)), 0.5, 0.35, 3_600_000))
+    return finished(L.live_hysteresis(streamed(spark, d.repartition("source_id", "track_id").sortWithinPartitions("t_ms")), 0.5, 0.35, 3_600_000))
 
 
 @query("select user_id, event_id % 500 as k from events group by 1, 2")

@@ -26,16 +26,19 @@ def live_speech_rate(words: DataFrame, size: str = "4 seconds", step: str = "2 s
 
 
 def live_hysteresis(scores: DataFrame, on: float = 0.5, off: float = 0.35, cooldown_ms: int = 1000) -> DataFrame:
-    """source_id, track_id, t_ms, speaking: every change of a track's state, with hysteresis and a cooldown, from scores (t_ms, p)."""
+    """source_id, track_id, t_ms, speaking: every change of a track's state, with hysteresis and a cooldown, from scores (t_ms, p).
+
+    A track's rows of one trigger are ordered by t_ms, however many Arrow frames they come in; rows that come in a later trigger are
+    taken as later.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         speaking, since = state.get if state.exists else (False, -(10**15))
         rows = []
-        for pdf in frames:
-            for t, p in pdf.sort_values("t_ms")[["t_ms", "p"]].itertuples(index=False):
-                if t - since >= cooldown_ms and ((not speaking and p >= on) or (speaking and p < off)):
-                    speaking, since = not speaking, int(t)
-                    rows.append((*key, int(t), speaking))
+        for t, p in pd.concat([f[["t_ms", "p"]] for f in frames]).sort_values(["t_ms", "p"]).itertuples(index=False):
+            if t - since >= cooldown_ms and ((not speaking and p >= on) or (speaking and p < off)):
+                speaking, since = not speaking, int(t)
+                rows.append((*key, int(t), speaking))
         state.update((speaking, since))
         yield pd.DataFrame(rows, columns=["source_id", "track_id", "t_ms", "speaking"])
 
