@@ -76,10 +76,16 @@ def o134_extrapolate_position(spark, sf_dir):
     return T.extrapolate_position(d, points).withColumn("cx", F.round("cx", 6))
 
 
+def detections_and_tracks(spark, sf_dir):
+    """Every vector as a detection or as a track, by a hash; 256 vectors in a row are a source, which bounds its pairs."""
+    e = X.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 256).alias("source_id"), "vec_id", "embedding", ((F.col("vec_id") * 37) % 1920).cast("double").alias("cx"))
+    new = F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 0
+    return e.filter(new).withColumnRenamed("vec_id", "det_id"), e.filter(~new).withColumnRenamed("vec_id", "track_id")
+
+
 @query()
 def o41_associate(spark, sf_dir):
-    e = X.table(spark, sf_dir, "embeddings").select((F.col("label") % 4).cast("long").alias("source_id"), "vec_id", "embedding", ((F.col("vec_id") * 37) % 1920).cast("double").alias("cx"))
-    return T.associate(e.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "det_id"), e.filter("vec_id % 3 = 1 and vec_id < 60").withColumnRenamed("vec_id", "track_id"))
+    return T.associate(*detections_and_tracks(spark, sf_dir))
 
 
 @query()

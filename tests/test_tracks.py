@@ -1,10 +1,12 @@
-"""Track merging on long chains."""
+"""Track merging on long chains; association over whole tables."""
 
 import random
 
 import pytest
+from conftest import DATA
 
 from tempora.operators import tracks as T
+from tempora.plans.q_tracks import detections_and_tracks, o41_associate
 
 
 def test_a_long_chain_is_one_person(spark):
@@ -18,3 +20,14 @@ def test_a_long_chain_is_one_person(spark):
     assert {got[0, i] for i in ids} == {1} and all(got[1, i] == i for i in ids[:3])
     with pytest.raises(RuntimeError):
         T.merge_tracks(tracks, edges, max_rounds=1)
+
+
+def test_every_vector_has_a_role_in_association(spark):
+    path = f"{DATA}/sf0.001"
+    new, tracks = (d.drop("embedding").collect() for d in detections_and_tracks(spark, path))
+    ids = [r.det_id for r in new] + [r.track_id for r in tracks]
+    assert sorted(ids) == sorted(r.vec_id for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id").collect())
+    near = {d.det_id: {t.track_id for t in tracks if t.source_id == d.source_id and abs(t.cx - d.cx) < 250} for d in new}
+    got = {r.det_id: r for r in o41_associate(spark, path).collect()}
+    assert set(got) == {d for d, n in near.items() if n}
+    assert all(r.track_id in near[d] and r.plausible == len(near[d]) for d, r in got.items())
