@@ -6,7 +6,7 @@ subtracting its own vector (``combine``). The vector has two parts:
 
 * 16 dense lanes modulo 2^32 from SHA-256, for equality;
 * 160 sparse lanes modulo 2^16: each segment (sentence) of the paragraph adds to one lane. Lanes are in five strata
-  that hold a half, a quarter, ... of the segments, so some stratum is thinly filled however long the text is, and
+  that hold a half, a quarter, ... of the segments, so some stratum is thinly filled up to some 700 segments, and
   there the share of equal lanes estimates the share of common segments (``likeness``).
 
 Only built-in functions. A text is shuffled once by its key; the part its neighbour takes, once more.
