@@ -2,12 +2,13 @@
 
 Both public vocabularies split a text at white space before merging, so a text's ids are those of its
 white-space-delimited pieces put together. Each distinct piece of a batch is encoded once by the ``tokenizers``
-library; texts whose white space could be joined across pieces go to the library whole.
+library; texts that hold an added token of the vocabulary, or white space that could be joined across pieces, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ MAX_PIECES = 1_000_000
 #: Marks where a text is cut; a text that has it goes to the library whole.
 CUT = "\x1f"
 SPACE = r"[\s\p{Z}\x{85}\x1c-\x1f]"
+#: A letter and what follows it up to here never share a token: ASCII digits and punctuation, but for the apostrophe.
+AFTER_LETTER = r"[!-&(-@\[-`{-~]"
+#: Words that are one unit before merging, whatever the vocabulary's normalisation.
+PLAIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 #: Bytes of text handled at a time.
 CHUNK_BYTES = 8_000_000
 
@@ -39,8 +44,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # ids that begin a word after a space, or that end a word
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
+        self.plain = re.compile(f" {PLAIN}" if spaced else PLAIN)
         self.max_pieces = MAX_PIECES
         self.forget()
 
@@ -54,11 +64,24 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of plain words and how many each has, from texts of many words, which are told apart by the ids at their edges."""
+        texts = [("" if self.spaced else " ").join(pieces[i : i + 500]) for i in range(0, len(pieces), 500)]
+        flat = np.concatenate([np.array(x, np.uint32) for x in self.whole(texts)])
+        at = np.flatnonzero(self.edge[flat])
+        counts = np.diff(at, append=len(flat)) if self.spaced else np.diff(at, prepend=-1)
+        return (flat, counts) if len(counts) == len(pieces) else None
+
     def learn(self, pieces: list[str]) -> None:
-        for some in (pieces[i : i + 50_000] for i in range(0, len(pieces), 50_000)):
-            lists = self.whole(some)
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum()))
+        plain = [p for p in pieces if self.plain.fullmatch(p)]
+        rest = [p for p in pieces if not self.plain.fullmatch(p)] if len(plain) < len(pieces) else []
+        for some, is_plain in [(x[i : i + 50_000], x is plain) for x in (plain, rest) for i in range(0, len(x), 50_000)]:
+            found = self.joined(some) if is_plain else None
+            if not found:
+                lists = self.whole(some)
+                counts = np.fromiter(map(len, lists), np.int64, len(lists))
+                found = np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum())), counts
+            flat, counts = found
             n, k = len(self.place), len(some)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
@@ -83,14 +106,16 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each.
 
-        A letter and a following full stop or comma never share a token, so pieces end there too: far fewer differ.
+        Pieces also end between a letter and what never shares a token with it: far fewer differ.
         """
         odd = pc.match_substring(texts, CUT)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
         if self.spaced:
             odd = pc.or_(odd, pc.match_substring_regex(texts, rf"{SPACE} | {SPACE}|^{SPACE}"))
         odd = odd.to_numpy(zero_copy_only=False)
         easy = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        easy = pc.replace_substring_regex(easy, r"(\pL)([.,])", rf"\1{CUT}\2")
+        easy = pc.replace_substring_regex(easy, rf"(\pL)({AFTER_LETTER})", rf"\1{CUT}\2")
         easy = pc.replace_substring(easy, " ", f"{CUT} ") if self.spaced else pc.replace_substring_regex(easy, r"[ \t\n\r\f\v]+", CUT)
         parts = pc.split_pattern(easy, CUT)
         ends = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
