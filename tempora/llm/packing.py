@@ -1,10 +1,10 @@
 """Best-fit packing of token sequences under several capacities at once (vector best-fit).
 
 A bin is a training sequence with three capacities: tokens, documents and attention cost (the sum of squared
-lengths). Items are dealt to groups of bounded size by a hash of their key, so hot sources do not matter, and
-each group is packed by itself: longest item first, into the open bin where it fits under **every** capacity and
-that scores best. ``rule="norm"`` takes the least weighted norm of what would remain, ``rule="dot"`` the largest
-weighted dot product of item and residual. A group wastes one bin at most against packing all items together.
+lengths). Items are dealt to groups of bounded size by their row numbers, so equal or null keys do not matter and neighbours in
+the input's order share sequences, and each group is packed by itself: longest item first, into the open bin where it fits under
+**every** capacity and that scores best. ``rule="norm"`` takes the least weighted norm of what would remain, ``rule="dot"`` the
+largest weighted dot product of item and residual. Documents of different groups never share a sequence.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, unused
 from .tokens import encoded_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -81,43 +81,45 @@ def vector_best_fit(
 
 def pack(
     items: DataFrame,
-    key: list[str],
     max_tokens: int = 4096,
     max_docs: int | None = None,
     max_cost: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6),
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25),
     rule: str = "norm",
     group_items: int = 20_000,
 ) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to items that have a ``length`` of 1 to ``max_tokens``.
+    """Add ``sequence_id`` and ``offset`` to items that have a ``length`` of 1 to ``max_tokens``; columns of these names are replaced.
 
-    max_docs and max_cost default to the most that max_tokens allows, so that only tokens bind. group_items: the
-    mean number of items packed together. Items of ``max_tokens`` take a sequence of their own without a search.
-    Rows that are equal in ``key`` are items of their own; nulls in the key are allowed. No items give no rows.
+    max_docs and max_cost default to the most that max_tokens allows, so that they rule nothing out but still weigh in the choice of
+    a bin. group_items: the most items packed together. Items of ``max_tokens`` take a sequence of their own without a search. Rows
+    that are equal are items of their own; nulls are allowed. No items give no rows. The items are written to the shared folder
+    once, as they are counted before they are dealt out.
     """
     max_docs = max_docs or max_tokens
     max_cost = max_cost or float(max_tokens) ** 2
-    groups = max(1, -(-items.count() // group_items))
-    schema = f"{items.select(*items.columns).schema.simpleString()[7:-1].replace(':', ' ')}, sequence_id long, offset long"
+    items = items.drop("sequence_id", "offset")
+    row, group = unused("row", items), unused("group", items)
+    placed = numbered(items, "items", row)
+    n = placed.count()
+    groups = max(1, -(-n // group_items))
+    schema = f"{items.schema.simpleString()[7:-1].replace(':', ' ')}, sequence_id long, offset long"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(row).reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)
         full = lengths == max_tokens
         bins, offsets = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         bins[~full], offsets[~full] = vector_best_fit(lengths[~full], max_tokens, max_docs, max_cost, weights, rule)
         bins[full] = np.arange(full.sum()) + (bins[~full].max() + 1 if (~full).any() else 0)
-        return pdf.drop(columns="_group").assign(sequence_id=(pdf["_group"].to_numpy(np.int64) << 32) + bins, offset=offsets)
+        return pdf.drop(columns=[row, group]).assign(sequence_id=(pdf[group].to_numpy(np.int64) << 32) + bins, offset=offsets)
 
-    dealt = items.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(one, schema)
+    dealt = placed.withColumn(group, F.expr(f"{row} * {groups} div {max(n, 1)}"))
+    return dealt.groupBy(group).applyInPandas(one, schema)
 
 
 def pack_documents(documents: DataFrame, vocabulary: str, end_id: int = 1, max_tokens: int = 4096, **limits) -> DataFrame:
     """Tokenize, cut and pack documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Every document, null and empty texts included, is packed; repeated rows are packed again. The pieces (five
-    numbers each, no ids) are written to the shared folder once, as they are counted before they are dealt out.
+    Every document, null and empty texts included, is packed; repeated rows are packed again. Other columns are not looked at.
     """
-    pieces = written(token_pieces(documents, vocabulary, end_id, max_tokens), "pieces")
-    return pack(pieces, ["doc_id", "piece"], max_tokens, **limits)
+    return pack(token_pieces(documents, vocabulary, end_id, max_tokens), max_tokens, **limits)
