@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``, as a Java and RE2 class body.
@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set to a local one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets one; elsewhere this is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,6 +39,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frames is called so (letter case aside)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df``, written and read back, with the number of each row (from 0, in the order of its partitions) in ``column``.
+
+    Only the number of rows of each partition is summed in one place.
+    """
+    placed = written(df.withColumn(column, F.monotonically_increasing_id()), name)
+    part, inside = F.shiftright(column, 33), F.col(column).bitwiseAND(F.lit((1 << 33) - 1))
+    base, key = unused("base", df), unused("part", df)
+    # one row for each partition
+    sizes = placed.groupBy(part.alias(key)).agg(F.count("*").alias("n"))
+    bases = sizes.select(key, (F.sum("n").over(Window.orderBy(key)) - F.col("n")).alias(base))
+    return placed.withColumn(key, part).join(F.broadcast(bases), key).withColumn(column, F.col(base) + inside).drop(key, base)
+
+
+#: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this.
+HOT = 4096
+
+
+def joined_to_keys(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows``, ``total`` in number, with ``keys``: one row for each key and in ``n`` how many of the rows have it.
+
+    Rows of hot keys stay where they are, as the fewer than HOT hot keys are broadcast; the others are shuffled.
+    """
+    hot = F.broadcast(keys.filter(F.col("n") * HOT > total).drop("n"))
+    cold = keys.filter(F.col("n") * HOT <= total).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import joined_to_keys, shuffle_partitions, written
 from .components import connected_components
 from .hashing import mix, shingle_hashes, text_chunks, word_hashes
 
@@ -222,7 +222,7 @@ def _linked(compared: DataFrame, percent: int) -> DataFrame:
     return compared.filter((100 + percent) * F.col("d") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _block_pairs(entries: DataFrame, keys: list[str], block: list[Column], bounds: list[Column], blocks_may: Callable, pair_may: Callable, fields: list[str]) -> DataFrame:
+def _block_pairs(entries: DataFrame, keys: list[str], block: list[Column | str], bounds: list[Column], blocks_may: Callable, pair_may: Callable, fields: list[str]) -> DataFrame:
     """Pairs (a, b) of sets of different components from lists kept as blocks; two blocks that ``blocks_may`` rules out are skipped whole.
 
     Pairs are tested inside a pair of blocks, so those that ``pair_may`` rules out are never rows.
@@ -244,10 +244,16 @@ def _block_pairs(entries: DataFrame, keys: list[str], block: list[Column], bound
     return both.select(F.explode(F.array_distinct(matched)).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _spanning(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """The entries of lists that hold more than one component, with the list's length."""
-    lists = entries.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
-    return entries.join(lists.filter("lo <> hi").drop("lo", "hi"), keys)
+def _spanning(entries: DataFrame, keys: list[str], block_sets: int) -> DataFrame:
+    """The entries of lists that hold more than one component, each with its ``deal``: by component, and a large component's by set.
+
+    So a block has block_sets sets on average, whether its components are small or one has the whole list.
+    """
+    parts = entries.groupBy(*keys, "component").agg(F.count("*").alias("own"))
+    lists = parts.groupBy(*keys).agg(F.sum("own").alias("length"), F.count("*").alias("components")).filter("components > 1").drop("components")
+    parts = parts.join(lists, keys)
+    deals = F.struct(F.pmod(F.xxhash64("component"), F.ceil(F.col("length") / block_sets)).alias("list"), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("own") / block_sets)).alias("part"))
+    return entries.join(parts, [*keys, "component"]).withColumn("deal", deals).drop("own", "length")
 
 
 def _derived_pairs(first: DataFrame, labels: DataFrame | None, percent: int, block_sets: int) -> DataFrame:
@@ -273,7 +279,7 @@ def _derived_pairs(first: DataFrame, labels: DataFrame | None, percent: int, blo
     entries = kept.select("pivot", "set_id", "component", "alone", "g", "m", F.posexplode(F.slice("e", F.lit(1), F.col("reach"))).alias("position", "x")).withColumn("element", F.col("x.element")).drop("x")
     needed = lambda g1, g2, alone: F.ceil((g1 + g2) / (2 * whole)) - alone
     pairs = _block_pairs(
-        _spanning(entries, ["pivot", "element"]), ["pivot", "element"], [F.pmod(F.xxhash64("component"), F.ceil(F.col("length") / block_sets)).alias("deal")],
+        _spanning(entries, ["pivot", "element"], block_sets), ["pivot", "element"], ["deal"],
         [F.min("g").alias("g_min"), F.min("alone").alias("alone"), F.max(F.col("m") - F.col("position")).alias("r_max")],
         lambda x, y: needed(x("g_min"), y("g_min"), x("alone")) <= F.least(x("r_max"), y("r_max")),
         lambda a, b: needed(a["g"], b["g"], a["alone"]) <= F.least(a["m"] - a["position"], b["m"] - b["position"]),
@@ -316,9 +322,9 @@ def set_components(documents: DataFrame, width: int = 5, percent: int = 75, pivo
     pivots = first.select(F.col("a").alias("set_id"), F.col("b").alias("pivot"))
     now = _labelled(index, labels).join(pivots, "set_id", "left").withColumn("pivot", F.coalesce("pivot", "set_id"))
     pairs = _block_pairs(
-        _spanning(now, ["element"]), ["element"],
+        _spanning(now, ["element"], block_sets), ["element"],
         # sizes within a tenth of each other, positions within an eighth of the size, and block_sets sets at most on average
-        [F.floor(F.log(F.col("n")) / F.lit(float(np.log(1.1)))).alias("band"), F.floor(8 * F.col("position") / F.col("n")).alias("stretch"), F.pmod(F.xxhash64("component"), F.ceil(F.col("length") / block_sets)).alias("deal")],
+        [F.floor(F.log(F.col("n")) / F.lit(float(np.log(1.1)))).alias("band"), F.floor(8 * F.col("position") / F.col("n")).alias("stretch"), "deal"],
         [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("position")).alias("r_max"), F.min("pivot").alias("v_min"), F.max("pivot").alias("v_max")],
         lambda x, y: (100 * F.least(x("n_max"), y("n_max")) >= percent * F.greatest(x("n_min"), y("n_min")))
         & ((100 + percent) * F.least(x("r_max"), y("r_max")) >= percent * (x("n_min") + y("n_min")))
@@ -346,11 +352,17 @@ def ngram_jaccard_groups(documents: DataFrame, width: int = 5, percent: int = 75
     """
     sets = written(document_sets(documents, width), "document-sets")
     components = set_components(documents, width, percent)
-    of = sets.join(components.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = of.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = of.join(least, "component", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+    # sets first, so that copies of one set are one row; then components, of which the few large ones are not shuffled
+    per_set = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    per_set = per_set.join(components.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    per_set = written(per_set, "set-components")
+    least = written(per_set.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "components")
+    found = joined_to_keys(per_set.drop("least"), least, "component", per_set.count()).select("set_id", "component_id")
+    copies = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.count("*").alias("n"))
+    named = written(found.join(copies, "set_id"), "set-names")
+    filled = joined_to_keys(sets.filter("n_shingles > 0"), named, "set_id", sets.count())
+    empty = sets.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return filled.unionByName(empty).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""
