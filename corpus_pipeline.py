@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents predicted toxic go. The model is fit on the stage's own labelled documents."""
+    """Operator 4: documents predicted toxic go; null and empty texts score by the bias alone. The model is fit on the stage's own labelled documents."""
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*COLUMNS)
 
 
@@ -44,12 +44,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents repeated or left out so that the sources' words come near their targets."""
-    return mixing.mixed_documents(docs).select(*COLUMNS)
+    """Operator 5: documents repeated or left out so that the sources' words come near their targets.
+
+    Rows are laid out shard by shard and, within one, in its order, so neighbours in the files are neighbours in the mixture: the next
+    stage packs runs of them together.
+    """
+    mixed = mixing.mixed_documents(docs)
+    return mixed.repartitionByRange("shard", "shard_order").sortWithinPartitions("shard", "shard_order").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the pieces of all documents and their places in sequences of 4096 tokens."""
+    """Operator 2: the pieces of all documents and their places in sequences of 4096 tokens; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, max_tokens=4096)
 
 

@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import DATA, compare
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tempora.llm import fingerprint, line_dedup, mixing, ngram_join, packing, quality, secrets, token_files, toxicity, url_filter
 from tempora.llm.common import scratch_path
@@ -114,7 +116,7 @@ def test_packing_places_every_piece(spark):
     texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(0, 900))) for _ in range(120)]
     df = awkward(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     rows = packing.pack_documents(df, vocabulary("word_bpe_49k.json"), 1, 4096).collect()
-    tokens = encoder(vocabulary("word_bpe_49k.json"), False).tokenizer
+    tokens = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     total = 0
     for r in df.collect():
         ids = np.array([*tokens.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -144,6 +146,29 @@ def test_vector_best_fit_keeps_every_capacity():
     assert len(packing.vector_best_fit(np.empty(0, np.int64), 10, 10, 100.0, (1, 1, 1), "norm")[0]) == 0
 
 
+def test_documents_and_cost_weigh_in_the_choice():
+    # 1000 leaves least tokens beside 1500 + 1496, but less in all beside 2990, where less attention cost is left
+    lengths = np.array([2990, 1500, 1496, 1000])
+    plain, _ = packing.vector_best_fit(lengths, 4096, 4096, 4096.0**2, (1.0, 0.0, 0.0), "norm")
+    weighed, _ = packing.vector_best_fit(lengths, 4096, 4096, 4096.0**2, (1.0, 0.25, 0.25), "norm")
+    assert plain[3] == plain[1] == plain[2] and weighed[3] == weighed[0] != weighed[1]
+    lengths = np.random.default_rng(1).lognormal(6, 1.2, 3000).astype(np.int64).clip(2, 4095)
+    for weights in ((1.0, 0.0, 0.0), (1.0, 0.25, 0.25)):
+        bins, _ = packing.vector_best_fit(lengths, 4096, 4096, 4096.0**2, weights, "norm")
+        assert bins.max() + 1 <= -(-lengths.sum() // 4096) + 1
+
+
+def test_packing_groups_by_row_number(spark):
+    items = spark.createDataFrame([(None, 700, 5, 9) for _ in range(90)], "doc_id long, length long, group int, offset long").repartition(4)
+    rows = packing.pack(items, 4096, group_items=25).collect()
+    assert len(rows) == 90 and all(r.group == 5 for r in rows)
+    per = {}
+    for r in rows:
+        per.setdefault(r.sequence_id, []).append(r.offset)
+    assert all(sorted(o) == [700 * k for k in range(len(o))] for o in per.values()) and len(per) == 4 * -(-23 // 5)
+    assert packing.pack(items.filter("length < 0"), 4096).count() == 0
+
+
 def test_fingerprints_combine(spark):
     df = spark.createDataFrame([("One two. Three.\nFour", "Five six!", "Five six!\nOne two. Three.\nFour")], "a string, b string, ab string")
     fp = fingerprint.fingerprint
@@ -154,6 +179,21 @@ def test_fingerprints_combine(spark):
     assert r.inserted and r.deleted and r.near > r.far
 
 
+def test_likeness_of_long_texts_and_of_one_segment(spark):
+    rng = random.Random(6)
+    prose = lambda n, tag: [f"{rng.choice(WORDS)} {tag}{i}" for i in range(n)]
+    rows = []
+    for n in (300, 3000, 30_000):
+        own, other = prose(n, "a"), prose(n, "b")
+        rows.append((n, ". ".join(own), ". ".join(own[: n // 2] + other[n // 2 :]), ". ".join(other)))
+    one, other = " ".join(prose(900, "a")), " ".join(prose(900, "b"))
+    rows.append((1, one, one[: len(one) // 2] + other[: len(one) // 2], other))
+    fp = fingerprint.fingerprint
+    df = spark.createDataFrame(rows, "n long, a string, half string, far string")
+    for r in df.select("n", fingerprint.likeness(fp(F.col("a")), fp(F.col("half"))).alias("half"), fingerprint.likeness(fp(F.col("a")), fp(F.col("far"))).alias("far")).collect():
+        assert 0.15 <= r.half <= 0.55 and r.far <= 0.1, r  # a third of all segments are common
+
+
 def test_edits_of_awkward_rows(spark):
     df = awkward(spark)
     got = fingerprint.fingerprint_edits(df).collect()
@@ -214,7 +254,7 @@ def test_mixing_awkward_rows(spark):
     df = awkward(spark)
     assert mixing.mix_plan(df).count() == 12
     mixed = mixing.mixed_documents(df)
-    assert set(df.columns) <= set(mixed.columns) | {"shard"}
+    assert mixed.columns == [c for c in df.columns if c != "shard"] + ["shard", "shard_order"] and mixed.select("shard", "_key").filter("shard is null").count() == 0
     assert mixing.mix_plan(awkward(spark, [])).count() == 0
     assert all(r.taken == 0 for r in mixing.mix_plan(awkward(spark, ["", None])).collect())
 
@@ -289,7 +329,7 @@ def test_token_files_round_trip(spark):
     path = scratch_path(spark, "test-tokens")
     token_files.write_token_files(df, path, vocabulary("byte_bpe_50k.json"), 0, block_bytes=200)
     rows = token_files.read_token_files(spark, path).collect()
-    tokens = encoder(vocabulary("byte_bpe_50k.json"), True).tokenizer
+    tokens = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     texts = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect()))
     at = 0
     for r, (_, _, text) in zip(sorted(rows, key=lambda r: r.start), texts):
@@ -304,11 +344,20 @@ def test_token_files_round_trip(spark):
 
 
 def test_pieces_encode_like_whole_texts():
-    texts = ["", " a", "a  b", "a   b", "a \n b", "a\n ", "don't, stop.", "É́ x", "  a,b.c", LONG[:999], "<|endoftext|> z"]
+    texts = ["", " a", "a  b", "a   b", "a \n b", "a\n ", "don't, stop.", "É́ x", "  a,b.c", LONG[:999], "<|endoftext|> z", "a<|endoftext|>.b", "x<|startoftext|>y <|ENDOFTEXT|>"]
+    texts += ["İstanbul İ", "क़ e\u0301!e", "*'s it's*x a'b o''re 'll", "a1b2 c-d_e 10.5%", "word*** (word) [w]'s {x}", "ab\u00a0cd \u2003 x", "한국어 中文。字", "ſ ŉa ǅ"]
     for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
-        coder = encoder(vocabulary(name), spaced)
-        ids, n = coder.encode(pa.array(texts, pa.large_string()))
-        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == coder.whole(texts)
+        plain = Tokenizer.from_file(vocabulary(name))
+        ids, n = encoder(vocabulary(name), spaced).encode(pa.array(texts, pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_documents_encode_like_whole_texts():
+    texts = pq.read_table(f"{DATA}/sf0.001/documents.parquet", columns=["text"])["text"].combine_chunks().fill_null("")
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        plain = Tokenizer.from_file(vocabulary(name))
+        ids, n = encoder(vocabulary(name), spaced).encode(texts.cast(pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in plain.encode_batch(texts.to_pylist(), add_special_tokens=False)]
 
 
 def test_common_lines_reject_documents(spark):
@@ -350,6 +399,26 @@ def test_templates_drop_later_lines_only(spark):
     assert line_dedup.drop_recurring_lines(awkward(spark, [])).count() == 0
 
 
+def test_templates_open_two_fields_far_apart_and_keep_other_lines(spark):
+    names = ["anna", "boris", "clara", "dmitri"]
+    line = "our dear member {} has left the forum on a {} without any notice"
+    rows = [(i, line.format(names[i], names[-i - 1]) + f"\nown {names[i]}\nall rights reserved\n" + " ".join(w + names[i] for w in WORDS)) for i in range(4)]
+    rows += [(7, "our dear member of parliament spoke for hours about things nobody had")]  # same leaf, too few common fields
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_dropped == 0 and got[7].n_dropped == 0
+    for i in range(1, 4):
+        assert got[i].n_dropped == 2 and got[i].text == "\n".join(x for k, x in enumerate(rows[i][1].split("\n")) if k in (1, 3))
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    rows = [(i, "same words here", 1, 2, 3, 4, 5, 6) for i in range(3)] + [(8, "same words here\nmore", 1, 2, 3, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key int, content int, own_content int, `drop` int, new int, n_dropped int")
+    got = line_dedup.drop_recurring_text(df)
+    assert got.columns == ["doc_id", "text", "_key", "content", "own_content", "drop", "new", "n_lines", "n_dropped", "n_words_dropped"]
+    assert {(r._key, r.content, r.own_content, r["drop"], r.new) for r in got.collect()} == {(1, 2, 3, 4, 5)}
+    assert {r.doc_id: r.n_dropped for r in got.collect()} == {0: 0, 1: 1, 2: 1, 8: 1}
+
+
 def test_recurring_text_goes_from_long_and_short_lines(spark):
     rng = random.Random(4)
     prose = lambda n: [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n)]
@@ -381,7 +450,17 @@ def test_pipeline_stages(spark):
         if name != "best_fit_packing":
             assert docs.columns == list(corpus_pipeline.COLUMNS)
     assert docs.count() > 0.4 * before
-    rows = awkward(spark).select(*corpus_pipeline.COLUMNS)
-    for name, stage in corpus_pipeline.STAGES:
-        rows = stage(spark, rows, f"{DATA}/sf0.001")
-    assert rows.columns[0] == "doc_id"
+    for rows in (awkward(spark).select(*corpus_pipeline.COLUMNS), awkward(spark, []).select(*corpus_pipeline.COLUMNS)):
+        empty = rows.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, f"{DATA}/sf0.001")
+        assert rows.columns[0] == "doc_id" and rows.isEmpty() == empty
+
+
+def test_mixture_order_reaches_the_packing_stage(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    mixed = corpus_pipeline.mix_sources(spark, docs, f"{DATA}/sf0.001")
+    want = [r.doc_id for r in mixing.mixed_documents(docs).orderBy("shard", "shard_order").collect()]
+    assert [r.doc_id for r in mixed.collect()] == want
