@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, written
+from .common import WHITE, unused, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
+BLOCK_DOCUMENTS, SHARD_DOCUMENTS = 20_000, 1_000_000
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -88,20 +89,21 @@ def mix_plan(
     documents: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     max_repeat: float = 3.0,
-    blocks: int = 512,
-    shards: int = 64,
+    blocks: int | None = None,
+    shards: int | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """doc_id, text_hash, source, size, source_size, target, copies, taken, shards (array: one shard for each copy).
 
-    blocks: a source's documents are dealt to so many blocks, so a block is that part of a source however large it
-    is. Documents without words weigh nothing and are taken floor(r) times. A null source is a source of its own;
+    blocks: how many blocks a source's documents are dealt to, by default one for every BLOCK_DOCUMENTS of all documents and 512 at
+    least, so no block has many more than these. shards: by default one for every SHARD_DOCUMENTS, 64 at least. Documents without words weigh nothing and are taken floor(r) times. A null source is a source of its own;
     a null doc_id is dealt by its text; repeated rows are documents of their own but share a block.
     """
     spark = documents.sparkSession
-    sizes = written(
-        word_counts(documents).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(blocks)).cast("int")), "sizes"
-    )
+    sizes = written(word_counts(documents), "sizes")
+    n = sizes.count()
+    blocks, shards = blocks or max(512, n // BLOCK_DOCUMENTS), shards or max(64, n // SHARD_DOCUMENTS)
+    sizes = sizes.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(blocks)).cast("int"))
     targets = written(source_targets(sizes, weights, max_repeat), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per_block = (
@@ -147,11 +149,14 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document as often as the plan takes it, with columns shard and shard_order added.
 
     Within a shard rows are to be read in shard_order, a hash; the documents' own columns come first and unchanged, their
-    text untouched. Rows that are equal in doc_id and text are taken alike.
+    text untouched; columns already named like the added ones are replaced. Rows that are equal in doc_id and text are taken alike.
+    Null texts have no words. No documents give no rows.
     """
+    documents = documents.drop("shard", "shard_order")
+    names = {x: unused(x, documents) for x in ("id", "hash", "of", "copy", "to", "text_hash")}
     plan = mix_plan(documents, **options).filter("copies > 0").dropDuplicates(["doc_id", "text_hash", "source"])
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.posexplode("shards").alias("_copy", "_shard"))
-    keyed = documents.withColumn("_text_hash", F.xxhash64("text"))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source")))
-    order = F.xxhash64("_id", "_hash", "_copy", F.lit(options.get("seed", 17) + 3))
-    return joined.select(*documents.columns, F.col("_shard").alias("shard"), order.alias("shard_order"))
+    plan = plan.select(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"]), F.col("source").alias(names["of"]), F.posexplode("shards").alias(names["copy"], names["to"]))
+    keyed = documents.withColumn(names["text_hash"], F.xxhash64("text"))
+    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col(names["id"])) & (F.col(names["text_hash"]) == F.col(names["hash"])) & F.col("source").eqNullSafe(F.col(names["of"])))
+    order = F.xxhash64(names["id"], names["hash"], names["copy"], F.lit(options.get("seed", 17) + 3))
+    return joined.select(*(f"`{c}`" for c in documents.columns), F.col(names["to"]).alias("shard"), order.alias("shard_order"))
