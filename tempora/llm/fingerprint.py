@@ -5,9 +5,9 @@ lane modulo a power of two. Sums do not depend on the order, and a paragraph is
 subtracting its own vector (``combine``). The vector has two parts:
 
 * 16 dense lanes modulo 2^32 from SHA-256, for equality;
-* 160 sparse lanes modulo 2^16: each segment (sentence) of the paragraph adds to one lane. Lanes are in five strata
-  that hold a half, a quarter, ... of the segments, so some stratum is thinly filled up to some 700 segments, and
-  there the share of equal lanes estimates the share of common segments (``likeness``).
+* 384 sparse lanes modulo 2^16: each segment (a sentence, or 160 characters of a longer one) of the paragraph adds to one lane. Lanes
+  are in twelve strata that hold a half, a quarter, ... of the segments, so some stratum is thinly filled up to some 90,000
+  segments, and there the share of equal lanes estimates the share of common segments (``likeness``).
 
 Only built-in functions. A text is shuffled once by its key; the part its neighbour takes, once more.
 """
@@ -19,17 +19,25 @@ from pyspark.sql import functions as F
 
 from .common import has_word, let, lines_of, shuffle_partitions, written
 
-DENSE, STRATA, LANES = 16, 5, 32
+DENSE, STRATA, LANES = 16, 12, 32
 DENSE_MOD, SPARSE_MOD = 1 << 32, 1 << 16
 SEGMENT_END = r"[.!?]+\x20+|\n"
+#: The part of a segment longer than 160 characters that is a segment of its own.
+SEGMENT_PART = "(?s).{1,160}"
 
 
 def _number(hexes: Column, start: int, width: int) -> Column:
     return F.conv(F.substring(hexes, start, width), 16, 10).cast("long")
 
 
+def _zeros(number: Column) -> Column:
+    """How many zero bits a positive number below 2^STRATA ends with: the length of the binary digits after the last one."""
+    digits = F.bin(number)
+    return F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+
+
 def fingerprint(text: Column) -> Column:
-    """Lowercase hex of the lanes: 16 of 8 digits, then 160 of 4 digits. A text without paragraphs is all zeros."""
+    """Lowercase hex of the lanes: 16 of 8 digits, then 384 of 4 digits. A text without paragraphs is all zeros."""
 
     def dense(hexes: Column) -> Column:
         def lane(k: Column) -> Column:
@@ -40,20 +48,25 @@ def fingerprint(text: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(DENSE - 1)), lane), "")
 
     def sparse(segments: Column) -> Column:
-        def lane(k: Column) -> Column:
-            total = F.aggregate(F.filter(segments, lambda s: s["lane"] == k), F.lit(0).cast("long"), lambda a, s: (a + s["v"]) % F.lit(SPARSE_MOD))
-            return F.lpad(F.lower(F.hex(total)), 4, "0")
+        def stratum(k: Column) -> Column:
+            def lane(own: Column, i: Column) -> Column:
+                total = F.aggregate(F.filter(own, lambda s: s["lane"] == i), F.lit(0).cast("long"), lambda a, s: (a + s["v"]) % F.lit(SPARSE_MOD))
+                return F.lpad(F.lower(F.hex(total)), 4, "0")
+
+            lanes = lambda own: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: lane(own, i)), "")
+            return let(F.filter(segments, lambda s: s["stratum"] == k), lambda own: F.when(F.size(own) == 0, F.lit("0000" * LANES)).otherwise(lanes(own)))
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRATA * LANES - 1)), lane), "")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRATA - 1)), stratum), "")
 
     def placed(h: Column) -> Column:
-        rare = _number(h, 7, 2)
-        stratum = F.when(rare % 2 == 1, 0).when(rare % 4 == 2, 1).when(rare % 8 == 4, 2).when(rare % 16 == 8, 3).otherwise(4)
-        return F.struct((stratum * LANES + _number(h, 5, 2) % LANES).alias("lane"), (_number(h, 1, 4) + 1).alias("v"))
+        # the zero bits at the end of 11 bits and one that is set
+        rare = _number(h, 7, 3).bitwiseAND(F.lit((1 << (STRATA - 1)) - 1)) + F.lit(1 << (STRATA - 1))
+        return F.struct(let(rare, lambda r: _zeros(r)).alias("stratum"), (_number(h, 5, 2) % LANES).alias("lane"), (_number(h, 1, 4) + 1).alias("v"))
 
     paragraphs = F.filter(lines_of(text), has_word)
     wide = F.transform(paragraphs, lambda p: F.concat(F.sha2(p, 256), F.sha2(F.concat(F.lit("#"), p), 256)))
-    segments = F.filter(F.split(F.coalesce(text, F.lit("")), SEGMENT_END, -1), has_word)
+    cut = F.transform(F.split(F.coalesce(text, F.lit("")), SEGMENT_END, -1), lambda s: F.when(F.length(s) <= 160, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(SEGMENT_PART), F.lit(0))))
+    segments = F.filter(F.flatten(cut), has_word)
     sums = F.transform(segments, lambda s: let(F.md5(s), placed))
     return F.concat(let(wide, dense), let(sums, sparse))
 
@@ -76,21 +89,25 @@ def likeness(a: Column, b: Column) -> Column:
 
     A stratum has room if 24 or fewer of its 32 lanes are filled on either side; lanes empty on both sides do not count.
     """
-    both = F.transform(
-        F.sequence(F.lit(0), F.lit(STRATA * LANES - 1)),
-        lambda k: F.struct(a.substr(k * 4 + DENSE * 8 + 1, F.lit(4)).alias("a"), b.substr(k * 4 + DENSE * 8 + 1, F.lit(4)).alias("b")),
-    )
-    filled = lambda x: (x["a"] != "0000") | (x["b"] != "0000")
+    def stratum(k: Column) -> Column:
+        part = lambda fp: fp.substr(k * (LANES * 4) + DENSE * 8 + 1, F.lit(LANES * 4))
+
+        def counted(x: Column, y: Column) -> Column:
+            lanes = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.struct(x.substr(i * 4 + 1, F.lit(4)).alias("x"), y.substr(i * 4 + 1, F.lit(4)).alias("y")))
+            filled = F.filter(lanes, lambda v: (v["x"] != "0000") | (v["y"] != "0000"))
+            return let(filled, lambda f: F.struct(F.size(f).alias("filled"), F.size(F.filter(f, lambda v: v["x"] == v["y"])).alias("equal")))
+
+        none = F.struct(F.lit(0).alias("filled"), F.lit(0).alias("equal"))
+        zeros = F.lit("0000" * LANES)
+        return let(F.struct(part(a).alias("x"), part(b).alias("y")), lambda v: F.when((v["x"] == zeros) & (v["y"] == zeros), none).otherwise(counted(v["x"], v["y"])))
 
-    def estimate(lanes: Column) -> Column:
-        crowded = [F.size(F.filter(F.slice(lanes, s * LANES + 1, LANES), filled)) > LANES * 3 // 4 for s in range(STRATA - 1)]
-        first = F.lit(STRATA - 1)
-        for s in reversed(range(STRATA - 1)):
-            first = F.when(~crowded[s], F.lit(s)).otherwise(first)
-        used = F.filter(F.slice(lanes, first * LANES + 1, STRATA * LANES), filled)
-        return let(used, lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(F.size(F.filter(u, lambda x: x["a"] == x["b"])) / F.size(u)))
+    def estimate(strata: Column) -> Column:
+        roomy = F.filter(F.sequence(F.lit(0), F.lit(STRATA - 1)), lambda k: F.get(strata, k)["filled"] <= LANES * 3 // 4)
+        used = let(roomy, lambda r: F.slice(strata, F.coalesce(F.get(r, 0), F.lit(STRATA - 1)) + 1, F.lit(STRATA)))
+        total = lambda u, c: F.aggregate(u, F.lit(0), lambda t, s: t + s[c])
+        return let(used, lambda u: let(total(u, "filled"), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(total(u, "equal") / n)))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(let(both, estimate))
+    return F.when(a == b, F.lit(1.0)).otherwise(let(F.transform(F.sequence(F.lit(0), F.lit(STRATA - 1)), stratum), estimate))
 
 
 def next_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -123,7 +140,9 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
+    # the row's name has as many bits as a text needs not to be taken for another
+    rows = rows.withColumn("h", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.col("text")))))
     # one row for equal rows, and one shuffle of the texts for both joins
     # (both use the same columns of it, so its exchange is reused)
     keyed = rows.groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
@@ -133,17 +152,20 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     wanted = nexts.select(F.col("next_h").alias("h"), F.col("h").alias("t_h"), F.floor(F.col("n") / 2).cast("int").alias("take"), "copies")
     given = keyed.join(wanted, "h").select(F.col("t_h").alias("h"), F.col("doc_id").alias("next_doc_id"), "copies", F.col("text").substr(F.lit(1), F.col("take")).alias("taken"), fingerprint(F.col("text")).alias("next_fingerprint"))
     joined = keyed.join(given, "h").withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
-    # of equal rows each but the last has its own like as next
-    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    own = F.col("copy") < F.col("copies")
+    # of equal rows each but the last has its own like as next: two kinds of rows, which are repeated when they are done
+    last = F.struct(F.lit(False).alias("own"), F.lit(1).cast("long").alias("times"))
+    kinds = F.when(F.col("copies") > 1, F.array(last, F.struct(F.lit(True).alias("own"), (F.col("copies") - 1).alias("times")))).otherwise(F.array(last))
+    each = joined.withColumn("kind", F.explode(kinds))
+    own = F.col("kind.own")
     taken = F.when(own, F.col("text").substr(F.lit(1), F.col("half"))).otherwise(F.col("taken"))
     edited = F.concat(F.col("text").substr(F.lit(1), F.length("text") - F.col("half")), taken)
-    out = each.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("next_doc_id")).alias("next_doc_id"), F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.when(own, F.col("fingerprint")).otherwise(F.col("next_fingerprint")).alias("next_fingerprint"))
+    out = each.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("next_doc_id")).alias("next_doc_id"), F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.when(own, F.col("fingerprint")).otherwise(F.col("next_fingerprint")).alias("next_fingerprint"), F.col("kind.times").alias("times"))
     out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    return out.select(
+    out = out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id", "times",
     )
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
 
 
 _FP = r"""
@@ -151,20 +173,20 @@ _FP = r"""
    select k, l.l as pos, printf('%08x', cast(coalesce(sum(cast('0x' || substr(case when l.l < 8 then sha256(p) else sha256('#' || p) end, (l.l % 8) * 8 + 1, 8) as bigint)), 0) % 4294967296 as bigint)) as lane
    from (select k, unnest(coalesce(nullif(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')), []), [null])) as p from {t}) x, (select unnest(range(16)) as l) l group by 1, 2
    union all
-   select g.k, 16 + g.l, printf('%04x', cast(coalesce(s.v, 0) as bigint)) from (select k, l from {t}, (select unnest(range(160)) as l)) g left join
+   select g.k, 16 + g.l, printf('%04x', cast(coalesce(s.v, 0) as bigint)) from (select k, l from {t}, (select unnest(range(384)) as l)) g left join
      (select k, lane as l, sum(v) % 65536 as v from (
         select k, cast('0x' || substr(h, 1, 4) as bigint) + 1 as v,
-               (case when r % 2 = 1 then 0 when r % 4 = 2 then 1 when r % 8 = 4 then 2 when r % 16 = 8 then 3 else 4 end) * 32 + cast('0x' || substr(h, 5, 2) as bigint) % 32 as lane
-        from (select k, h, cast('0x' || substr(h, 7, 2) as bigint) as r from (select k, md5(s) as h from (select k, unnest(regexp_split_to_array(text, '[.!?]+\x20+|\n')) as s from {t}) a where regexp_matches(s, '[^\x20\x09-\x0D]')) b) c) d group by 1, 2) s
+               (length(bin(r)) - length(rtrim(bin(r), '0'))) * 32 + cast('0x' || substr(h, 5, 2) as bigint) % 32 as lane
+        from (select k, h, cast('0x' || substr(h, 7, 3) as bigint) % 2048 + 2048 as r from (select k, md5(s) as h from (select k, unnest(case when length(u) <= 160 then [u] else regexp_extract_all(u, '(?s).{{1,160}}') end) as s from (select k, unnest(regexp_split_to_array(text, '[.!?]+\x20+|\n')) as u from {t}) v) a where regexp_matches(s, '[^\x20\x09-\x0D]')) b) c) d group by 1, 2) s
      on s.k = g.k and s.l = g.l) t group by 1)
 """
 _NEAR = r"""
  (select k, case when any_value(a) = any_value(b) then 1.0 when count(*) filter (s >= f and filled) = 0 then 0.0
    else count(*) filter (s >= f and filled and x = y) / cast(count(*) filter (s >= f and filled) as double) end as near
-  from (select *, min(case when s = 4 or crowd <= 24 then s end) over (partition by k) as f from
+  from (select *, min(case when s = 11 or crowd <= 24 then s end) over (partition by k) as f from
    (select *, count(*) filter (filled) over (partition by k, s) as crowd from
     (select *, l // 32 as s, x <> '0000' or y <> '0000' as filled from
-     (select k, a, b, l, substr(a, 129 + l * 4, 4) as x, substr(b, 129 + l * 4, 4) as y from {t}, (select unnest(range(160)) as l))))) group by 1)
+     (select k, a, b, l, substr(a, 129 + l * 4, 4) as x, substr(b, 129 + l * 4, 4) as y from {t}, (select unnest(range(384)) as l))))) group by 1)
 """
 ORACLE = f"""
 with d as (select row_number() over (order by doc_id desc) as k, doc_id, coalesce(text, '') as text from documents),
