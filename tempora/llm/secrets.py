@@ -132,6 +132,12 @@ def scan_into_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = R
     return _findings(read_ledger(spark, path)).filter(F.array_contains(current, F.struct("kind", "version")))
 
 
+def blob_versions(documents: DataFrame) -> DataFrame:
+    """doc_id, blob and text of every document; a null text is an empty one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select("doc_id", F.sha2(text, 256).alias("blob"), text.alias("text"))
+
+
 def secrets_by_document(documents: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans (and their structs in ``found``) for every document.
 
@@ -139,9 +145,7 @@ def secrets_by_document(documents: DataFrame, ledger: str | None = None, rules:
     like those of this one. A null text is an empty one. Documents without findings have zero counts and empty strings' digests. Repeated rows are
     paths of one blob and get its findings each; a null doc_id is kept.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    blob = F.sha2(text, 256)
-    versions = documents.select("doc_id", blob.alias("blob"), text.alias("text"))
+    versions = blob_versions(documents)
     findings = scan_into_ledger(versions, ledger or scratch_path(documents.sparkSession, "secret-ledger"), rules)
     rank = F.element_at(F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i))), F.col("kind"))
     per_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("found"))
