@@ -31,14 +31,15 @@ BLOCKS = (
 
 
 def train_dictionary(
-    documents: DataFrame, vocabulary: str, end_id: int, sample_docs: int = 1000, dictionary_bytes: int = 65_536
+    documents: DataFrame, vocabulary: str, end_id: int, sample_docs: int = 1000, dictionary_bytes: int = 65_536, sample_chars: int = 20_000
 ) -> bytes:
-    """A zstandard dictionary trained on the serialized ids of at most ``sample_docs`` documents.
+    """A zstandard dictionary trained on the serialized ids of at most ``sample_docs`` documents of at most ``sample_chars`` characters.
 
     The sample is the documents least by a hash of id and text, so it does not depend on their order; a coarse cut of
     the hash keeps all but about four times as many from being sorted. Empty bytes where there is too little to
     train on: frames then stand alone.
     """
+    documents = documents.filter(F.length("text") <= sample_chars)  # bounds the sample's bytes; a dictionary serves short documents
     share = max(1, documents.count() // (4 * sample_docs))
     keyed = documents.select("text", F.xxhash64("doc_id", "text").alias("_h"))
     picked = keyed.filter(F.pmod("_h", F.lit(share)) == 0).orderBy("_h", "text").limit(sample_docs).select("text")
@@ -63,7 +64,7 @@ def write_token_files(
 ) -> None:
     """Encode whole texts (null: empty), append ``end_id`` and write the format to ``path`` in ascending doc_id order.
 
-    Null doc_ids come first; documents with equal ids are ordered by text. No documents give files without blocks.
+    Null doc_ids come first; documents with equal ids are ordered by a hash of the text. No documents give files without blocks.
     """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -93,7 +94,8 @@ def write_token_files(
         if docs:
             yield flush()
 
-    dealt = documents.repartitionByRange(shards or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = documents.repartitionByRange(shards or shuffle_partitions(spark), *order[:2]).sortWithinPartitions(*order)
     dealt.mapInArrow(frames, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

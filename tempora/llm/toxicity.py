@@ -52,7 +52,7 @@ def ftrl_fit(
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", table: int = 1 << 18, max_labelled: int = 20_000, **ftrl) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on labelled documents (label 0 or 1; null labels are left out, a doc_id with both counts as 1)."""
+    """Fit on labelled documents (label 0 or 1; null labels are left out, a doc_id with both counts as 1; of a repeated doc_id one text is taken)."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     known = known.withColumn("_h", F.xxhash64(F.col("doc_id"))).orderBy("_h").limit(max_labelled)
     # max_labelled rows of three numbers at most, so it may be broadcast
@@ -70,7 +70,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", table: in
         used, values, bias = ftrl_fit(x, group["y"].to_numpy(), table, **ftrl)
         return pa.table({"number": np.append(used, table).astype(np.int64), "weight": np.append(values, bias).astype(np.float64)})
 
-    prepared = sample.mapInArrow(features, "h long, y int, x array<int>")
+    # one row for a doc_id, however many rows of the documents have it
+    prepared = sample.mapInArrow(features, "h long, y int, x array<int>").groupBy("h", "y").agg(F.min("x").alias("x"))
     weights = prepared.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(train, "number long, weight double").toPandas()
     if weights.empty:
         return np.empty(0, np.int64), np.empty(0), 0.0
@@ -101,7 +102,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **
     """All columns of the documents, toxicity, held_out and predicted (1 from ``threshold``).
 
     Labels are learned only from documents whose crc32(doc_id as text) mod 4 is not 2. Repeated rows score alike; a null doc_id
-    is not held out. Without labelled documents every score is 0.5.
+    is not held out. Without labelled documents every score is 0.5. Columns already named like the added ones are replaced.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = fit(documents, labels.filter(remainder != 2), **options)
