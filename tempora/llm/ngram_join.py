@@ -268,8 +268,8 @@ def _derived_pairs(first: DataFrame, labels: DataFrame | None, percent: int, blo
     whole, part = 100 + percent, 100 - percent
     members = first.select(F.col("a").alias("set_id"), F.col("b").alias("pivot"), F.col("alone_b").alias("alone"), "diff", (whole * F.col("d") - part * F.col("n_a")).cast("long").alias("g"))
     members = _labelled(members, labels)
-    groups = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("g", "set_id")).alias("best"), F.min_by("component", F.struct("g", "set_id")).alias("best_component"))
-    members = written(members.join(groups.filter("lo <> hi").drop("lo", "hi"), "pivot"), "differences")
+    groups = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("g", "set_id")).alias("best"), F.min_by("component", F.struct("g", "set_id")).alias("best_component"), F.count("*").alias("n"))
+    members = written(joined_to_keys(members, groups.filter("lo <> hi").drop("lo", "hi"), "pivot", first.count()), "differences")
     sure = members.filter((F.col("component") != F.col("best_component")) & (F.col("g") + F.col("best.g") <= 2 * whole * F.col("alone"))).select(F.col("set_id").alias("a"), F.col("best.set_id").alias("b"))
     rows = members.select("pivot", "set_id", F.explode("diff").alias("element"))
     shared = rows.groupBy("pivot", "element").agg(F.count("*").alias("k")).filter("k > 1")
