@@ -68,11 +68,11 @@ HOT = 4096
 def joined_to_keys(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of ``rows``, ``total`` in number, with ``keys``: one row for each key and in ``n`` how many of the rows have it.
 
-    Rows of hot keys stay where they are, as the fewer than HOT hot keys are broadcast; the others are shuffled.
+    Rows of hot keys stay where they are, as the fewer than HOT hot keys are broadcast; the others are shuffled, whatever their size.
     """
     hot = F.broadcast(keys.filter(F.col("n") * HOT > total).drop("n"))
     cold = keys.filter(F.col("n") * HOT <= total).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -53,18 +53,18 @@ def line_leaves(documents: DataFrame, depth: int) -> DataFrame:
     words = lambda line: F.split(line, f"[{WHITE}]+")
     tokens = lines.select(*own, "line", words(masked).alias("t"))
     sized = tokens.select(*own, "line", "t", F.size("t").alias("n"), F.least(F.size("t") - depth, F.lit(FIELDS)).alias("m"))
-    sized = sized.filter((F.col("m") < 3) | (F.size(F.array_remove("t", "<*>")) > 0))
     edge = lambda k: F.lit(depth) + F.floor((F.col("n") - depth) * k / F.col("m")).cast("int")
     fields = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.xxhash64(F.slice("t", edge(k) + 1, edge(k + 1) - edge(k))))
     exact = F.array(F.xxhash64(words(F.btrim("line", F.lit(BLANK)))))
-    return sized.select(*own, F.xxhash64("n", F.slice("t", 1, depth)).alias("leaf"), F.when(F.col("m") < 3, exact).otherwise(fields).alias("fields"))
+    fields = F.when(F.col("m") < 3, exact).when(F.size(F.array_remove("t", "<*>")) == 0, F.array().cast("array<bigint>")).otherwise(fields)
+    return sized.select(*own, F.xxhash64("n", F.slice("t", 1, depth)).alias("leaf"), fields.alias("fields"))
 
 
 def template_keys() -> Column:
-    """The hashes of a line's templates."""
+    """The hashes of a line's templates; none for a line without fields."""
     every = F.array(*(F.array(*(F.array(*map(F.lit, out)).cast("array<int>") for out in variable_fields(n))) for n in range(FIELDS + 1)))
     fixed = lambda out: F.filter("fields", lambda f, k: ~F.array_contains(out, k))
-    return F.transform(F.get(every, F.size("fields")), lambda out: F.xxhash64("leaf", out, F.lit("|"), fixed(out)))
+    return F.when(F.size("fields") > 0, F.transform(F.get(every, F.size("fields")), lambda out: F.xxhash64("leaf", out, F.lit("|"), fixed(out))))
 
 
 def recurring_lines(documents: DataFrame, depth: int = 3) -> DataFrame:
