@@ -114,12 +114,28 @@ def caption_chunks(words: DataFrame, pause_ms: int = 400, max_words: int = 5, co
     return _folded_chunks(_hard_islands(words, breaks), lambda n, begin, x: (n >= max_words) | ((n >= comma_words) & (comma(x) | (x["end_ms"] - begin > max_ms))))
 
 
-def speech_chunks(words: DataFrame, boundaries: DataFrame, max_words: int = 5, pause_ms: int = 350, soft_pause_ms: int = 180, p_soft: float = 0.65, max_ms: int = 3000) -> DataFrame:
-    """As caption_chunks, with the pause threshold softened where a boundary (source_id, word_idx before it, p_boundary) is likely."""
-    with_p = words.join(boundaries.select("source_id", (F.col("word_idx") + 1).alias("word_idx"), "p_boundary"), ["source_id", "word_idx"], "left")
-    limit = F.when(F.col("p_boundary") >= p_soft, F.lit(soft_pause_ms)).otherwise(F.lit(pause_ms))
-    breaks = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by_time()) > limit, F.lit(False)) | F.coalesce(F.lag(ends_sentence(F.col("text"))).over(by_time()), F.lit(False))
-    return _folded_chunks(_hard_islands(with_p, breaks), lambda n, begin, x: (n >= max_words) | ((n >= 2) & F.trim(x["text"]).endswith(",")) | (x["end_ms"] - begin > max_ms))
+def speech_chunks(words: DataFrame, boundaries: DataFrame, max_words: int = 5, pause_ms: int = 350, p_soft: float = 0.65, max_ms: int = 3000) -> DataFrame:
+    """Chunks that end after a sentence or a comma, before a pause over pause_ms, and before a word that would make them too many or too long.
+
+    Tokens without a letter or digit are left out. boundaries (source_id, word_idx before the gap, p_boundary): a likely one softens
+    the pause to 0.6 of itself, 900 ms at most.
+    """
+    kept = words.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).withColumn("_before", F.lag("word_idx").over(by_time()))
+    with_p = kept.join(boundaries.select("source_id", F.col("word_idx").alias("_before"), "p_boundary"), ["source_id", "_before"], "left")
+    limit = F.when(F.col("p_boundary") >= p_soft, F.lit(min(0.6 * pause_ms, 900.0))).otherwise(F.lit(float(pause_ms)))
+    last = F.lag("text").over(by_time())
+    breaks = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by_time()) > limit, F.lit(False)) | F.coalesce(ends_sentence(last) | last.endswith(","), F.lit(False))
+    grouped = _hard_islands(with_p, breaks).groupBy("source_id", "_island").agg(ordered("start_ms", "word_idx", "end_ms").alias("w"))
+    chunk = lambda first, start, x, n: F.struct(first.alias("first_idx"), x["word_idx"].alias("last_idx"), start.alias("start_ms"), x["end_ms"].alias("end_ms"), n.alias("n_words"))
+
+    def step(done: Column, x: Column) -> Column:
+        now = F.try_element_at(done, F.lit(-1))
+        opens = now.isNull() | (now["n_words"] >= max_words) | (x["end_ms"] - now["start_ms"] > max_ms)
+        longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(chunk(now["first_idx"], now["start_ms"], x, now["n_words"] + 1)))
+        return F.when(opens, F.concat(done, F.array(chunk(x["word_idx"], x["start_ms"], x, F.lit(1))))).otherwise(longer)
+
+    start = F.expr("cast(array() as array<struct<first_idx:bigint,last_idx:bigint,start_ms:bigint,end_ms:bigint,n_words:int>>)")
+    return grouped.select("source_id", F.inline(F.aggregate("w", start, step)))
 
 
 def phrase_units(chunks: DataFrame, pause_ms: int = 350, max_ms: int = 4000, max_words: int = 8) -> DataFrame:

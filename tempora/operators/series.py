@@ -49,19 +49,22 @@ def gaussian_smooth(scores: DataFrame, sigma: float = 1.0, value: str = "raw_sco
 def otsu_threshold(scores: DataFrame, value: str = "smoothed") -> DataFrame:
     """source_id, threshold: halfway between the neighbours in value that part the scores with most variance between; ties averaged.
 
-    A source whose scores are all equal has that score as threshold.
+    A source whose scores are all equal has that score as threshold. Scores are taken as whole millionths, so sums are exact in any
+    order; the threshold is rounded to millionths, halves up.
     """
-    order = Window.partitionBy("source_id").orderBy(value, "window_idx")
+    order = Window.partitionBy("source_id").orderBy("v", "window_idx")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col(value)
-    rows = scores.select("source_id", v.alias(value), F.lead(v).over(order).alias("next"), F.row_number().over(order).alias("n0"), F.sum(v).over(upto).alias("s0"), F.count("*").over(every).alias("n"), F.sum(v).over(every).alias("s"), F.min(v).over(every).alias("least"))
+    v = F.col("v")
+    whole = scores.select("source_id", "window_idx", F.round(F.col(value) * 1_000_000).cast("long").alias("v"))
+    rows = whole.select("source_id", "v", F.lead(v).over(order).alias("next"), F.row_number().over(order).alias("n0"), F.sum(v).over(upto).alias("s0"), F.count("*").over(every).alias("n"), F.sum(v).over(every).alias("s"), F.min(v).over(every).alias("least"))
     w0, w1 = F.col("n0") / F.col("n"), 1 - F.col("n0") / F.col("n")
-    diff = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0"))
-    cuts = rows.withColumn("variance", F.when(v < F.col("next") - 1e-9, w0 * w1 * diff * diff)).withColumn("cut", (v + F.col("next")) / 2)
+    diff = (F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0"))) / 1_000_000
+    cuts = rows.withColumn("variance", F.when(v < F.col("next"), w0 * w1 * diff * diff))
     best = F.max("variance").over(Window.partitionBy("source_id"))
-    top = cuts.withColumn("cut", F.when(F.col("variance") >= best - 1e-9, F.col("cut")))
-    return top.groupBy("source_id").agg(F.coalesce(F.avg("cut"), F.min("least")).alias("threshold"))
+    top = cuts.withColumn("cut", F.when(F.col("variance") >= best - 1e-9, v + F.col("next")))
+    found = top.groupBy("source_id").agg(F.sum("cut").alias("total"), (2 * F.count("cut")).alias("k"), F.min("least").alias("least"))
+    return found.select("source_id", (F.when(F.col("k") > 0, F.expr("(2 * total + k) div (2 * k)")).otherwise(F.col("least")) / 1_000_000).alias("threshold"))
 
 
 def score_spans(scores: DataFrame, thresholds: DataFrame, drop: float = 0.70, value: str = "smoothed") -> DataFrame:
@@ -163,9 +166,11 @@ def tiles(spans: DataFrame, max_ms: int = 75_000, least_ms: int = 15_000, short_
 
 def rank_regions(spans: DataFrame, smoothed: DataFrame, k: int = 4) -> DataFrame:
     """The k spans of each source with the best mean smoothed score of the windows they overlap (0 without any)."""
-    windows = smoothed.select("source_id", "smoothed", "window_start", "window_end")
-    means = interval_join(spans, windows, right_span=("window_start", "window_end"), bucket_ms=600_000).groupBy("source_id", "start_ms", "end_ms").agg(F.avg("r_smoothed").alias("mean"))
-    all_spans = spans.select("source_id", "start_ms", "end_ms").join(means, ["source_id", "start_ms", "end_ms"], "left").withColumn("mean", F.round(F.coalesce("mean", F.lit(0.0)), 6))
+    # whole millionths, so that means do not depend on the order of the sum; means are rounded to millionths, halves up
+    windows = smoothed.select("source_id", F.round(F.col("smoothed") * 1_000_000).cast("long").alias("v"), "window_start", "window_end")
+    sums = interval_join(spans, windows, right_span=("window_start", "window_end"), bucket_ms=600_000).groupBy("source_id", "start_ms", "end_ms").agg(F.sum("r_v").alias("total"), F.count("*").alias("n"))
+    means = sums.select("source_id", "start_ms", "end_ms", (F.expr("(2 * total + n) div (2 * n)") / 1_000_000).alias("mean"))
+    all_spans = spans.select("source_id", "start_ms", "end_ms").join(means, ["source_id", "start_ms", "end_ms"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("mean").desc(), "start_ms", "end_ms"))
     return all_spans.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -100,10 +100,10 @@ def ema_gallery(embeddings: DataFrame, alpha: float = 0.9) -> DataFrame:
 
 
 def speaking_evidence(segments: DataFrame, detections: DataFrame) -> DataFrame:
-    """source_id, speaker, track_id, evidence: motion over 0.1 of a track while a speaker speaks, summed."""
-    points = detections.filter("motion > 0.1").select("source_id", "track_id", "motion", F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
+    """source_id, speaker, track_id, evidence: the motion of a track while a speaker speaks, summed over the speaker's segments, where over 0.1."""
+    points = detections.select("source_id", "track_id", "motion", F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
     pairs = interval_join(points, segments.select("source_id", "speaker", "start_ms", "end_ms"), mode="closed", bucket_ms=3_600_000)
-    return pairs.groupBy("source_id", F.col("r_speaker").alias("speaker"), "track_id").agg(F.sum("motion").alias("evidence"))
+    return pairs.groupBy("source_id", F.col("r_speaker").alias("speaker"), "track_id").agg(F.sum("motion").alias("evidence")).filter(F.round("evidence", 6) > 0.1)
 
 
 def greedy_one_to_one(pairs: DataFrame, a: str, b: str, weight: str, on: list[str] | None = None) -> DataFrame:

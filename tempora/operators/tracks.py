@@ -43,19 +43,31 @@ def prominence(detections: DataFrame, width: float = 1920.0, height: float = 108
     return a.select(*TRACK, clamp(score, 0.0, 1.0).alias("prominence"))
 
 
+#: By window size, for each place from the edge to the middle: the weights of the window's values in a quadratic fit there, and their divisor.
+SAVGOL = {
+    7: [([32, 15, 3, -4, -6, -3, 5], 42), ([5, 4, 3, 2, 1, 0, -1], 14), ([1, 3, 4, 4, 3, 1, -2], 14), ([-2, 3, 6, 7, 6, 3, -2], 21)],
+    5: [([31, 9, -3, -5, 3], 35), ([9, 13, 12, 6, -5], 35), ([-3, 12, 17, 12, -3], 35)],
+}
+
+
 def smooth_trajectory(keyframes: DataFrame, lo: float = 0.0, hi: float = 1920.0) -> DataFrame:
-    """``smoothed``: quadratic Savitzky-Golay over 7 keyframes inside a shot of at least 7 (over 5 from 5), clipped; fewer stay. Ends keep the fit of their side."""
+    """``smoothed``: quadratic Savitzky-Golay inside a shot, over 7 keyframes, over 5 in a shot of 5 or 6; a shot of 4 is clipped only, shorter
+    ones stay. Ends keep the fit of their side."""
     w = Window.partitionBy(*SHOT).orderBy("t_ms")
     n = F.count("*").over(Window.partitionBy(*SHOT))
     at = lambda k: F.lead("cx", k).over(w) if k >= 0 else F.lag("cx", -k).over(w)
     fit = lambda cs, ks: sum((F.lit(float(c)) * at(k) for c, k in zip(cs[1:], ks[1:])), F.lit(float(cs[0])) * at(ks[0]))
-    seven = fit([-2, 3, 6, 7, 6, 3, -2], range(-3, 4)) / 21
-    edges = [([32, 15, 3, -4, -6, -3, 5], range(0, 7), 42), ([5, 4, 3, 2, 1, 0, -1], range(-1, 6), 14), ([1, 3, 4, 4, 3, 1, -2], range(-2, 5), 14)]
     i, left = F.row_number().over(w) - 1, n - F.row_number().over(w)
-    value = seven
-    for k, (cs, ks, d) in enumerate(edges):
-        value = F.when(i == k, fit(cs, ks) / d).when(left == k, fit(cs, [-x for x in ks]) / d).otherwise(value)
-    return keyframes.withColumn("smoothed", F.when(n >= 7, clamp(value, lo, hi)).otherwise(F.col("cx")))
+
+    def smooth(size: int) -> Column:
+        half = size // 2
+        value = fit(SAVGOL[size][half][0], range(-half, half + 1)) / SAVGOL[size][half][1]
+        for k, (cs, d) in enumerate(SAVGOL[size][:half]):
+            ks = range(-k, size - k)
+            value = F.when(i == k, fit(cs, ks) / d).when(left == k, fit(cs, [-x for x in ks]) / d).otherwise(value)
+        return value
+
+    return keyframes.withColumn("smoothed", F.when(n >= 7, clamp(smooth(7), lo, hi)).when(n >= 5, clamp(smooth(5), lo, hi)).when(n == 4, clamp(F.col("cx"), lo, hi)).otherwise(F.col("cx")))
 
 
 def scale_deadband(ideal: DataFrame, band: float = 0.05, max_step: float = 0.02) -> DataFrame:
@@ -72,30 +84,31 @@ def scale_deadband(ideal: DataFrame, band: float = 0.05, max_step: float = 0.02)
     return listed.select(*SHOT, F.inline(F.aggregate("s", start, lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["t_ms"].alias("t_ms"), x["scale"].alias("scale")))).otherwise(step(acc, x)))))
 
 
-def hold_segments(samples: DataFrame, hold_ms: int = 800, jump: float = 120.0) -> DataFrame:
-    """Per shot: segments of held position (median); a new one begins when the position stays off the held one by over ``jump`` for hold_ms.
-
-    The held median feeds back on itself, so each shot (minutes at most) is one group.
+def hold_segments(samples: DataFrame, min_hold: int = 3, jump: float = 120.0) -> DataFrame:
+    """Per shot: segments of held position. It moves only to a place ``jump`` or more away where min_hold samples in a row stay within ``jump``
+    of the one before; then it is their median, from the first of them on. A sample near the held position, or a scattered one, starts the count anew.
+    A fold over a shot's samples in the JVM; min_hold of them at most are kept in its state.
     """
+    listed = samples.groupBy(*SHOT).agg(ordered("t_ms", "cx").alias("s"))
+    state = lambda held, wait, done: F.struct(held.alias("held"), wait.alias("wait"), done.alias("done"))
+    none = F.expr("cast(array() as array<struct<t_ms:bigint,cx:double>>)")
 
-    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_ms", kind="stable")
-        t, x = pdf["t_ms"].tolist(), pdf["cx"].tolist()
-        cuts, begin, away = [0], 0, None
-        for i in range(1, len(t)):
-            held = pd.Series(x[begin : (away if away is not None else i)]).median()
-            if abs(x[i] - held) <= jump:
-                away = None
-            elif away is None:
-                away = i
-            elif t[i] - t[away] >= hold_ms:
-                cuts.append(away)
-                begin, away = away, None
-        ends = [*cuts[1:], len(t)]
-        key = pdf.iloc[0]
-        return pd.DataFrame([(key["source_id"], key["shot_idx"], t[a], t[b - 1], float(pd.Series(x[a:b]).median())) for a, b in zip(cuts, ends)], columns=["source_id", "shot_idx", "start_ms", "end_ms", "cx"])
-
-    return samples.select(*SHOT, "t_ms", "cx").groupBy(*SHOT).applyInPandas(hold, "source_id long, shot_idx long, start_ms long, end_ms long, cx double")
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc["wait"], F.lit(-1))["cx"]
+        here = F.array(F.struct(x["t_ms"].alias("t_ms"), x["cx"].alias("cx")))
+        wait = F.when(F.abs(x["cx"] - last) >= jump, here).otherwise(F.concat(acc["wait"], here))
+        values = F.sort_array(F.transform(wait, lambda v: v["cx"]))
+        middle = (F.get(values, F.lit((min_hold - 1) // 2)) + F.get(values, F.lit(min_hold // 2))) / 2
+        moved = state(middle, none, F.concat(acc["done"], F.array(F.struct(F.get(wait, F.lit(0))["t_ms"].alias("t_ms"), middle.alias("cx")))))
+        near = F.abs(x["cx"] - acc["held"]) < jump
+        return F.when(near, state(acc["held"], none, acc["done"])).when(F.size(wait) >= min_hold, moved).otherwise(state(acc["held"], wait, acc["done"]))
+
+    first = F.col("s")[0]
+    start = state(first["cx"], none, F.array(F.struct(first["t_ms"].alias("t_ms"), first["cx"].alias("cx"))))
+    held = F.aggregate(F.slice("s", F.lit(2), F.size("s")), start, step, lambda acc: acc["done"])
+    points = listed.select(*SHOT, F.element_at("s", -1)["t_ms"].alias("last"), F.posexplode(held).alias("k", "p"))
+    ends = F.lead("p.t_ms").over(Window.partitionBy(*SHOT).orderBy("k"))
+    return points.select(*SHOT, F.col("p.t_ms").alias("start_ms"), F.coalesce(ends, "last").alias("end_ms"), F.col("p.cx").alias("cx"))
 
 
 def containment_violations(keyframes: DataFrame, detections: DataFrame, tolerance: float = 20.0, width: float = 608.0, least: int = 2) -> DataFrame:

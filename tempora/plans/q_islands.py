@@ -148,7 +148,14 @@ def o48_caption_chunks(spark, sf_dir):
     return I.caption_chunks(X.words(spark, sf_dir))
 
 
-@query(_chunk_sql("coalesce(start_ms - pe > (case when word_idx % 3 = 0 then 180 else 350 end), false) or coalesce(pt, false)", "r.n >= 5 or (r.n >= 2 and trim(r.text) like '%,') or r.end_ms - r.begin_ms > 3000"))
+@query(with_(WORDS, f"""
+kw as (select *, row_number() over w as i from words where regexp_matches(text, '[\\p{{L}}\\p{{N}}]'){OVER}),
+kb as (select *, lag(end_ms) over w as pe, lag(word_idx) over w as pw, lag(regexp_matches(trim(text), {TERM}) or text like '%,') over w as pt from kw{OVER}),
+kh as (select *, coalesce(start_ms - pe > case when (pw + 1) % 3 = 0 then 210 else 350 end, false) or coalesce(pt, false) as hard from kb),
+rec as (select source_id, i, word_idx, start_ms, end_ms, 1 as n, start_ms as begin_ms, word_idx as first_idx from kh where i = 1
+  union all select h.source_id, h.i, h.word_idx, h.start_ms, h.end_ms, case when h.opens then 1 else h.n + 1 end, case when h.opens then h.start_ms else h.begin_ms end, case when h.opens then h.word_idx else h.first_idx end
+  from (select h.*, r.n, r.begin_ms, r.first_idx, h.hard or r.n >= 5 or h.end_ms - r.begin_ms > 3000 as opens from rec r join kh h on h.source_id = r.source_id and h.i = r.i + 1) h)""")
+  + "select source_id, first_idx, max(word_idx) as last_idx, min(start_ms) as start_ms, max(end_ms) as end_ms, cast(count(*) as integer) as n_words from rec group by 1, 2")
 def o50_speech_chunks(spark, sf_dir):
     w = X.words(spark, sf_dir)
     likely = w.select("source_id", (F.col("word_idx") - 1).alias("word_idx"), F.when(F.col("word_idx") % 3 == 0, 0.9).otherwise(0.1).alias("p_boundary"))

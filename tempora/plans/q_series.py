@@ -28,9 +28,12 @@ ss as (select w.source_id, w.window_idx, w.window_start, w.window_end, sn.n, w.r
   join window_scores v on v.source_id = w.source_id and v.window_idx = greatest(0, least(w.window_idx + so.k, sn.last)) group by all),
 smoothed as (select source_id, window_idx, window_start, window_end, round(case when n = 1 then own else sm end, 6) as smoothed from ss)"""
 OTSU = """
-oz as (select source_id, smoothed as v, lead(smoothed) over o as nx, row_number() over o as n0, sum(smoothed) over (partition by source_id order by smoothed, window_idx rows unbounded preceding) as s0, count(*) over (partition by source_id) as n, sum(smoothed) over (partition by source_id) as s from smoothed window o as (partition by source_id order by smoothed, window_idx)),
-ov as (select *, case when v < nx - 1e-9 then (n0 * 1.0 / n) * (1 - n0 * 1.0 / n) * power(s0 / n0 - (s - s0) / (n - n0), 2) end as var from oz),
-otsu as (select source_id, coalesce(avg((v + nx) / 2) filter (var >= mx - 1e-9), min(v)) as threshold, max(v) - min(v) <= 1e-9 as flat from (select *, max(var) over (partition by source_id) as mx from ov) group by 1)"""
+ow as (select source_id, window_idx, cast(round(smoothed * 1000000) as bigint) as v from smoothed),
+oz as (select source_id, v, lead(v) over o as nx, row_number() over o as n0, sum(v) over (partition by source_id order by v, window_idx rows unbounded preceding) as s0, count(*) over (partition by source_id) as n, sum(v) over (partition by source_id) as s from ow window o as (partition by source_id order by v, window_idx)),
+od as (select *, (s0::double / n0 - (s - s0)::double / (n - n0)) / 1000000 as diff from oz),
+ov as (select *, case when v < nx then (n0::double / n) * (1 - n0::double / n) * diff * diff end as var from od),
+og as (select source_id, cast(sum(v + nx) filter (var >= mx - 1e-9) as bigint) as total, 2 * count(*) filter (var >= mx - 1e-9) as k, min(v) as least, max(v) - min(v) as spread from (select *, max(var) over (partition by source_id) as mx from ov) group by 1),
+otsu as (select source_id, case when k > 0 then (2 * total + k) // (2 * k) else least end / 1000000.0::double as threshold, spread = 0 as flat from og)"""
 
 
 def kadane(series: str, tau: str) -> str:
@@ -129,7 +132,7 @@ def o100_midpoints(spark, sf_dir):
 
 
 @query(with_(SCORES, SPANS) + """
-, m as (select s.source_id, s.start_ms, s.end_ms, round(avg(w.smoothed), 6) as mean from spans s join smoothed w on w.source_id = s.source_id and s.end_ms > w.window_start and s.start_ms < w.window_end group by 1, 2, 3),
+, m as (select s.source_id, s.start_ms, s.end_ms, (2 * cast(sum(cast(round(w.smoothed * 1000000) as bigint)) as bigint) + count(*)) // (2 * count(*)) / 1000000.0::double as mean from spans s join smoothed w on w.source_id = s.source_id and s.end_ms > w.window_start and s.start_ms < w.window_end group by 1, 2, 3),
 r as (select *, row_number() over (partition by source_id order by mean desc, start_ms, end_ms) as rank from m)
 select * from r where rank <= 4""")
 def o108_rank_regions(spark, sf_dir):

@@ -75,7 +75,7 @@ def day(spark, sf_dir):
 
 
 EVIDENCE = """
-ev as (select d.source_id, i.cls as speaker, d.track_id, round(sum(d.motion), 6) as evidence from detections d join intervals i on i.source_id = d.source_id and i.cls in ('purchase', 'signup') and d.t_ms >= i.start_ms and d.t_ms <= i.end_ms where d.motion > 0.1 group by 1, 2, 3)"""
+ev as (select d.source_id, i.cls as speaker, d.track_id, round(sum(d.motion), 6) as evidence from detections d join intervals i on i.source_id = d.source_id and i.cls in ('purchase', 'signup') and d.t_ms >= i.start_ms and d.t_ms <= i.end_ms group by 1, 2, 3 having round(sum(d.motion), 6) > 0.1)"""
 
 
 @query(with_(INTERVALS, DETECTIONS, EVIDENCE) + """

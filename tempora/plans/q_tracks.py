@@ -48,14 +48,31 @@ def keyframes(spark, sf_dir):
     return d.groupBy("source_id", F.lit(0).cast("long").alias("shot_idx"), "t_ms").agg(F.min("cx").alias("cx"))
 
 
-@query()
+KEYFRAMES = "kf as (select source_id, 0::bigint as shot_idx, t_ms, min(cx) as cx from detections group by source_id, t_ms)"
+_FITS = ", ".join(f"({size}, {j}, {list(cs)}::double[], {d})" for size, places in T.SAVGOL.items() for j, (cs, d) in enumerate([*places, *[(c[::-1], e) for c, e in places[-2::-1]]]))
+
+
+@query(with_(INTERVALS, DETECTIONS, KEYFRAMES) + f"""
+, fits(wl, j, cs, d) as (values {_FITS}),
+l as (select source_id, shot_idx, list(cx order by t_ms) as x, count(*) as n, case when count(*) >= 7 then 7 when count(*) >= 5 then 5 else 1 end as wl from kf group by 1, 2),
+p as (select k.*, x, n, wl, row_number() over (partition by source_id, shot_idx order by t_ms) - 1 as i from kf k join l using (source_id, shot_idx)),
+b as (select *, greatest(0, least(i - wl // 2, n - wl)) as s from p),
+f as (select b.*, list_sum(list_transform(range(b.wl), lambda q: cs[q + 1] * x[s + q + 1])) / d as v from b left join fits on fits.wl = b.wl and fits.j = i - s)
+select source_id, shot_idx, t_ms, cx, round(case when n < 4 then cx else greatest(0, least(1920, coalesce(v, cx))) end, 6) as smoothed from f""")
 def o96_smooth_trajectory(spark, sf_dir):
     return T.smooth_trajectory(keyframes(spark, sf_dir)).withColumn("smoothed", F.round("smoothed", 6))
 
 
-@query()
+@query(with_(INTERVALS, DETECTIONS, KEYFRAMES) + """
+, k as (select *, row_number() over (partition by source_id, shot_idx order by t_ms) as i, max(t_ms) over (partition by source_id, shot_idx) as last from kf),
+r as (select source_id, shot_idx, last, i, cx as held, []::bigint[] as wt, []::double[] as wx, t_ms as begun from k where i = 1 union all
+  select source_id, shot_idx, last, i, case when moved then list_aggregate(nx, 'median') else held end, case when moved or near then [] else nt end, case when moved or near then [] else nx end, case when moved then nt[1] end from
+  (select *, not near and len(nx) >= 3 as moved from (select k.source_id, k.shot_idx, k.last, k.i, r.held, abs(k.cx - r.held) < 200 as near,
+     case when len(r.wx) > 0 and abs(k.cx - r.wx[-1]) >= 200 then [k.t_ms] else list_append(r.wt, k.t_ms) end as nt, case when len(r.wx) > 0 and abs(k.cx - r.wx[-1]) >= 200 then [k.cx] else list_append(r.wx, k.cx) end as nx
+     from r join k on k.source_id = r.source_id and k.shot_idx = r.shot_idx and k.i = r.i + 1) y) z)
+select source_id, shot_idx, begun as start_ms, coalesce(lead(begun) over (partition by source_id, shot_idx order by i), last) as end_ms, held as cx from r where begun is not null""")
 def o97_hold_segments(spark, sf_dir):
-    return T.hold_segments(keyframes(spark, sf_dir), 3_600_000, 200.0)
+    return T.hold_segments(keyframes(spark, sf_dir), 3, 200.0)
 
 
 @query(with_(INTERVALS, DETECTIONS) + """

@@ -85,8 +85,9 @@ def validate_schema(df: DataFrame, required: dict[str, str]) -> tuple[DataFrame,
 
 
 def reconstruct_metadata(candidates: DataFrame, schema: str) -> DataFrame:
-    """metadata (struct) parsed from metadata_json, with start_ms, end_ms and score from the core columns where it lacks them; corrupt flags bad JSON."""
-    parsed = candidates.withColumn("metadata", F.from_json("metadata_json", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    """metadata (struct) parsed from metadata_json, with start_ms, end_ms and score from the core columns where it lacks them, as for null or blank JSON; corrupt flags bad JSON."""
+    given = F.when(F.trim("metadata_json") != "", F.col("metadata_json"))
+    parsed = candidates.withColumn("metadata", F.from_json(given, schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     corrupt = F.coalesce(F.col("metadata._corrupt").isNotNull(), F.lit(False))
     fields = [x.split()[0] for x in schema.split(", ")]
     core = F.struct(*((F.coalesce(F.col(f"metadata.{f}"), F.col(f)) if f in candidates.columns else F.col(f"metadata.{f}")).alias(f) for f in fields))
@@ -94,12 +95,13 @@ def reconstruct_metadata(candidates: DataFrame, schema: str) -> DataFrame:
 
 
 def pair_corpus(files: DataFrame, media: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
-    """media file and the first existing transcript of its folder and stem. files: path."""
-    media, names = media or ["mp4", "mkv", "mov", "webm"], names or [".words.json", ".transcript.json", ".json", ".srt"]
+    """media file and the first existing transcript of its folder and stem, in the order of ``names``. files: path."""
+    media, names = media or ["mp4", "mov", "mkv", "wav", "m4a", "mp3", "webm"], names or [".words.json", ".json", "_words.json", ".transcript.json"]
     parts = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
     m = parts.filter(F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).isin(media)).select("dir", F.col("path").alias("media"), F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"))
-    rank = F.coalesce(*(F.when(F.col("name").endswith(n), F.struct(F.lit(i).alias("rank"), F.expr(f"substring(name, 1, length(name) - {len(n)})").alias("stem"))) for i, n in enumerate(names)))
-    t = parts.withColumn("r", rank).filter("r is not null").select("dir", F.col("r.stem").alias("stem"), F.col("r.rank").alias("rank"), F.col("path").alias("transcript"))
+    # a name may end in several of the suffixes, each with its own stem
+    ranks = F.array(*(F.when(F.col("name").endswith(n), F.struct(F.lit(i).alias("rank"), F.expr(f"substring(name, 1, length(name) - {len(n)})").alias("stem"))) for i, n in enumerate(names)))
+    t = parts.withColumn("r", F.explode(F.array_compact(ranks))).select("dir", F.col("r.stem").alias("stem"), F.col("r.rank").alias("rank"), F.col("path").alias("transcript"))
     best = m.join(t, ["dir", "stem"]).groupBy("media").agg(F.min(F.struct("rank", "transcript")).alias("b"))
     return best.select("media", F.col("b.transcript").alias("transcript"))
 
