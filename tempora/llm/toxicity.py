@@ -65,13 +65,14 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", table: in
 
     def train(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending")])
+        h = group["h"].to_numpy()
+        group = group.filter(pa.array(np.append(True, h[1:] != h[:-1])))  # one row for a doc_id
         lists = group["x"].combine_chunks()
         x = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
         used, values, bias = ftrl_fit(x, group["y"].to_numpy(), table, **ftrl)
         return pa.table({"number": np.append(used, table).astype(np.int64), "weight": np.append(values, bias).astype(np.float64)})
 
-    # one row for a doc_id, however many rows of the documents have it
-    prepared = sample.mapInArrow(features, "h long, y int, x array<int>").groupBy("h", "y").agg(F.min("x").alias("x"))
+    prepared = sample.mapInArrow(features, "h long, y int, x array<int>")
     weights = prepared.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(train, "number long, weight double").toPandas()
     if weights.empty:
         return np.empty(0, np.int64), np.empty(0), 0.0
