@@ -72,6 +72,8 @@ def label_match(gaps: DataFrame, labels: DataFrame) -> DataFrame:
     """Each gap with its human label (``label``, ``tier``): (hash, idx), then hash and half overlap, then idx, then half overlap.
 
     gaps: source_id, source_hash, gap_idx, start_ms, end_ms. labels: label_id, source_hash (null: any), gap_idx, start_ms, end_ms, label.
+    Labels of a null hash are held against every source: their least label of an index is joined, but those that fit by overlap alone give
+    a pair with each overlapping gap that no earlier tier labels.
     """
     key = ["source_id", "gap_idx"]
     base = gaps.select("source_id", "source_hash", "gap_idx", "start_ms", "end_ms")
@@ -82,9 +84,11 @@ def label_match(gaps: DataFrame, labels: DataFrame) -> DataFrame:
     fits = (2 * both >= shorter) | near
     two = interval_join(base, labels.filter("source_hash is not null").select("source_hash", "start_ms", "end_ms", "label_id", "label"), ["source_hash"]).filter(fits).select(*key, F.lit(2).alias("tier"), F.col("r_label_id").alias("label_id"), F.col("r_label").alias("label"))
     loose = labels.filter("source_hash is null")
-    three = base.join(loose.select("gap_idx", "label_id", "label"), "gap_idx").select(*key, F.lit(3).alias("tier"), "label_id", "label")
-    four = interval_join(base.withColumn("_k", F.lit(0)), loose.select(F.lit(0).alias("_k"), "start_ms", "end_ms", "label_id", "label"), ["_k"]).filter(fits).select(*key, F.lit(4).alias("tier"), F.col("r_label_id").alias("label_id"), F.col("r_label").alias("label"))
-    best = one.unionByName(two).unionByName(three).unionByName(four).groupBy(*key).agg(F.min(F.struct("tier", "label_id", "label")).alias("b"))
+    least = loose.groupBy("gap_idx").agg(F.min(F.struct("label_id", "label")).alias("l"))
+    three = base.join(least, "gap_idx").select(*key, F.lit(3).alias("tier"), "l.label_id", "l.label")
+    earlier = one.unionByName(two).unionByName(three)
+    four = interval_join(base.join(earlier.select(*key), key, "left_anti").withColumn("_k", F.lit(0)), loose.select(F.lit(0).alias("_k"), "start_ms", "end_ms", "label_id", "label"), ["_k"]).filter(fits).select(*key, F.lit(4).alias("tier"), F.col("r_label_id").alias("label_id"), F.col("r_label").alias("label"))
+    best = earlier.unionByName(four).groupBy(*key).agg(F.min(F.struct("tier", "label_id", "label")).alias("b"))
     return gaps.join(best.select(*key, "b.tier", "b.label"), key, "left")
 
 

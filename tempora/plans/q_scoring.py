@@ -71,21 +71,20 @@ def o86_weak_labels(spark, sf_dir):
 
 
 @query(with_(WORDS, GAPS) + """
-, g as (select *, 'h' || (source_id % 3) as source_hash from gaps),
-l as (select row_number() over (order by source_id, gap_idx) as label_id, case when gap_idx % 4 = 3 then null else source_hash end as source_hash, case when gap_idx % 4 = 1 then gap_idx + 100000 else gap_idx end as gap_idx, start_ms + 5 as start_ms, end_ms + 15 as end_ms, 'c' || (gap_idx % 6) as label from g where source_id < 9 and gap_idx % 7 = 0),
+, g as (select *, 'h' || (source_id // 3) as source_hash from gaps),
+l as (select source_id * 1000000000 + gap_idx as label_id, case when source_id & (source_id - 1) = 0 and gap_idx % 4 = 3 then null else source_hash end as source_hash, case when gap_idx % 4 = 1 then gap_idx + 100000 else gap_idx end as gap_idx, start_ms + 5 as start_ms, end_ms + 15 as end_ms, 'c' || (gap_idx % 6) as label from g where gap_idx % 7 = 0),
 m as (select g.source_id, g.gap_idx, 1 as tier, label_id, label from g join l on l.source_hash = g.source_hash and l.gap_idx = g.gap_idx union all
- select g.source_id, g.gap_idx, case when l.source_hash is null then 4 else 2 end, label_id, label from g join l on (l.source_hash is null or l.source_hash = g.source_hash) and least(g.end_ms, l.end_ms) > greatest(g.start_ms, l.start_ms) and (2 * (least(g.end_ms, l.end_ms) - greatest(g.start_ms, l.start_ms)) >= greatest(least(g.end_ms - g.start_ms, l.end_ms - l.start_ms), 1) or (abs(g.start_ms - l.start_ms) < 100 and abs(g.end_ms - l.end_ms) < 100)) union all
- select g.source_id, g.gap_idx, 3, label_id, label from g join l on l.source_hash is null and l.gap_idx = g.gap_idx),
+ select g.source_id, g.gap_idx, 2, label_id, label from g join l on l.source_hash = g.source_hash and least(g.end_ms, l.end_ms) > greatest(g.start_ms, l.start_ms) and (2 * (least(g.end_ms, l.end_ms) - greatest(g.start_ms, l.start_ms)) >= greatest(least(g.end_ms - g.start_ms, l.end_ms - l.start_ms), 1) or (abs(g.start_ms - l.start_ms) < 100 and abs(g.end_ms - l.end_ms) < 100)) union all
+ select g.source_id, g.gap_idx, 3, label_id, label from g join (select * from l where source_hash is null) l on l.gap_idx = g.gap_idx union all
+ select g.source_id, g.gap_idx, 4, label_id, label from g join (select * from l where source_hash is null) l on least(g.end_ms, l.end_ms) > greatest(g.start_ms, l.start_ms) and (2 * (least(g.end_ms, l.end_ms) - greatest(g.start_ms, l.start_ms)) >= greatest(least(g.end_ms - g.start_ms, l.end_ms - l.start_ms), 1) or (abs(g.start_ms - l.start_ms) < 100 and abs(g.end_ms - l.end_ms) < 100))),
 b as (select *, row_number() over (partition by source_id, gap_idx order by tier, label_id) as k from m)
 select g.source_id, g.gap_idx, b.tier, b.label from g left join b on b.source_id = g.source_id and b.gap_idx = g.gap_idx and k = 1""")
 def o36_label_match(spark, sf_dir):
-    from pyspark.sql import Window
-
-    g = gaps(spark, sf_dir).withColumn("source_hash", F.concat(F.lit("h"), F.col("source_id") % 3))
-    # a fixture of few rows: the labels of some sources, numbered
-    chosen = g.filter("source_id < 9 and gap_idx % 7 = 0").withColumn("label_id", F.row_number().over(Window.orderBy("source_id", "gap_idx")))
-    i = F.col("gap_idx")
-    labels = chosen.select("label_id", F.when(i % 4 == 3, None).otherwise(F.col("source_hash")).alias("source_hash"), F.when(i % 4 == 1, i + 100000).otherwise(i).alias("gap_idx"), (F.col("start_ms") + 5).alias("start_ms"), (F.col("end_ms") + 15).alias("end_ms"), F.concat(F.lit("c"), i % 6).alias("label"))
+    source, i = F.col("source_id"), F.col("gap_idx")
+    g = gaps(spark, sf_dir).withColumn("source_hash", F.concat(F.lit("h"), F.floor(source / 3).cast("string")))
+    # every source has labels, one for each seventh gap; those of sources 0, 1, 2, 4, 8, ... stand partly without a hash
+    named = F.when((source.bitwiseAND(source - 1) == 0) & (i % 4 == 3), None).otherwise(F.col("source_hash")).alias("source_hash")
+    labels = g.filter("gap_idx % 7 = 0").select((source * 1_000_000_000 + i).alias("label_id"), named, F.when(i % 4 == 1, i + 100000).otherwise(i).alias("gap_idx"), (F.col("start_ms") + 5).alias("start_ms"), (F.col("end_ms") + 15).alias("end_ms"), F.concat(F.lit("c"), i % 6).alias("label"))
     return G.label_match(g, labels).select("source_id", "gap_idx", "tier", "label")
 
 

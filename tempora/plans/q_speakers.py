@@ -52,13 +52,14 @@ def o66_speaker_roles(spark, sf_dir):
 
 
 @query("""
-with t as (select vec_id, label % 4 as source_id, embedding from embeddings where vec_id % 5 = 0), g as (select vec_id, label % 4 as source_id, embedding from embeddings where vec_id % 5 = 1),
+with e as (select vec_id, vec_id // 40 as source_id, embedding from embeddings), t as (select * from e where vec_id % 2 = 0), g as (select * from e where vec_id % 2 = 1),
 p as (select t.source_id, t.vec_id as track_id, g.vec_id as match_id, round(list_cosine_similarity(t.embedding::double[], g.embedding::double[]), 6) as similarity from t join g using (source_id)),
 r as (select *, row_number() over (partition by source_id, track_id order by similarity desc, match_id) as k from p where similarity >= 0.2)
 select source_id, track_id, match_id, similarity from r where k = 1""")
 def o40_gallery_match(spark, sf_dir):
-    e = X.table(spark, sf_dir, "embeddings").withColumn("source_id", F.col("label") % 4)
-    return S.gallery_match(e.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "track_id"), e.filter("vec_id % 5 = 1").withColumnRenamed("vec_id", "gallery_id"), 0.2)
+    # every vector has a role: sources of 40, half of them tracks and half gallery
+    e = X.table(spark, sf_dir, "embeddings").withColumn("source_id", F.floor(F.col("vec_id") / 40))
+    return S.gallery_match(e.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "track_id"), e.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", "gallery_id"), 0.2)
 
 
 @query()
