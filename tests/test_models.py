@@ -52,3 +52,30 @@ def test_pause_model_on_held_out_sources(spark):
     with pytest.raises(ValueError):
         M.train_pause_model(rows.limit(50), Q.PAUSE_FEATURES)
     rows.unpersist()
+
+
+def test_discovery_on_a_few_documents(spark):
+    from tempora.operators import discovery as D
+    from tempora.sources import fixtures as X
+
+    w = X.document_words(spark, f"{DATA}/sf0.001").filter("source_id < 6").cache()
+    scores = w.groupBy("source_id", F.floor(F.col("start_ms") / 10_000).alias("window_idx")).agg(F.lit("a").alias("provider"), F.round(F.avg(F.length("text")) / 20, 3).alias("raw_score"))
+    scores = scores.withColumn("window_start", F.col("window_idx") * 10_000).withColumn("window_end", F.col("window_idx") * 10_000 + 15_000)
+    forty = w.groupBy("source_id", F.floor(F.col("word_idx") / 40).alias("k")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("text", "word_idx").alias("hook"), F.max_by("text", "word_idx").alias("payoff_text"))
+    model = forty.withColumn("score", (F.col("k") * 37 % 100) / 100.0).withColumn("score_source", F.lit("llm"))
+    events = spark.createDataFrame([(0, "Laughter", 0.9, 0, 20_000)], "source_id long, event_type string, confidence double, start_ms long, end_ms long")
+    # a model's candidate that is near another with a better score goes
+    double = model.filter("k = 1").withColumn("start_ms", F.col("start_ms") + 500).withColumn("score", F.lit(0.01))
+    got = D.discover_candidates(w, scores, events, model.unionByName(double), n=3).collect()
+    ends = {r.source_id: r.d for r in w.groupBy("source_id").agg(F.max("end_ms").alias("d")).collect()}
+    assert {r.source_id for r in got} <= set(ends) and got
+    for s in {r.source_id for r in got}:
+        mine = sorted((r for r in got if r.source_id == s), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, len(mine) + 1)) and len({r.cand_id for r in mine}) == len(mine)
+        assert sum(r.selected for r in mine) == min(3, sum(r.eligible for r in mine))
+        assert all(r.eligible == (r.score_source == "llm" and r.score >= 0.65) for r in mine)
+        assert all(0 <= r.start_ms < r.end_ms <= ends[s] for r in mine)
+        near = [(a, b) for a in mine for b in mine if a.rank < b.rank and abs(a.start_ms - b.start_ms) < 5000 and abs(a.end_ms - b.end_ms) < 6000]
+        assert not near
+    assert all((r.n_events > 0) == (r.source_id == 0 and r.start_ms < 20_000) for r in got)
+    w.unpersist()
