@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, line_dedup, mixing, ngram_join, packing, quality, secrets, token_files, toxicity, url_filter
+from . import alignment, fingerprint, licenses, line_dedup, manifest, mixing, ngram_join, packing, quality, secrets, token_files, toxicity, url_filter
 from .common import scratch_path, table
 
 
@@ -63,11 +63,26 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = alignment.align_tokenizers(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_best_fit_packing, op3_multiset_fingerprint, op4_ftrl_toxicity, op5_source_mixing, op6_secret_ledger,
-    op7_url_trees, op8_token_files, op9_line_frequency_quality, op10_line_templates,
+    op7_url_trees, op8_token_files, op9_line_frequency_quality, op10_line_templates, op11_token_alignment,
+    op12_license_join, op13_merkle_manifest,
 )}
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE, "op3_multiset_fingerprint": fingerprint.ORACLE, "op6_secret_ledger": secrets.ORACLE,
     "op9_line_frequency_quality": quality.ORACLE, "op10_line_templates": line_dedup.ORACLE,
+    "op12_license_join": licenses.ORACLE, "op13_merkle_manifest": manifest.ORACLE,
 }
