@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import boundaries as B
 from ..operators import gaps as G
+from ..operators import islands as I
 from ..operators import pacing as P
+from ..operators import screens as S
 from ..sources import fixtures as X
 from .q_intervals import RETAINED, cut_clips
-from .q_islands import TERM
+from .q_islands import OVER, TERM
 from .q_scoring import evidence
 from .registry import query
 from .sql import CANDIDATES, INTERVALS, SILENCES, WORDS, with_
@@ -159,3 +161,39 @@ def o116_boundary_trace(spark, sf_dir):
     return B.boundary_trace(rows, w)
 
 
+
+
+#: Lines of 14 wide characters; a scene starts every 7 s and lasts 5 s, so scenes cut cues.
+LIMIT = 700
+
+
+@query(with_(WORDS, f"""
+cb as (select *, lag(end_ms) over w as pe, lag(speaker) over w as ps, lag(regexp_matches(trim(text), '[.,!?。！？;；]$')) over w as pc from words{OVER}),
+ci as (select *, sum(case when coalesce(pc, false) or coalesce(start_ms - pe >= 400, false) or coalesce(ps <> speaker, false) then 1 else 0 end) over (partition by source_id order by start_ms, word_idx rows unbounded preceding) as k from cb),
+cp as (select *, (row_number() over (partition by source_id, k order by start_ms, word_idx) - 1) // 8 as p from ci),
+cg as (select source_id, k, p, min(start_ms) as start_ms, max(end_ms) as end_ms, string_agg(text, ' ' order by word_idx) as text from cp group by 1, 2, 3),
+cues as (select source_id, row_number() over (partition by source_id order by k, p) - 1 as cue_idx, start_ms, end_ms, trim(text) as text from cg),
+sc as (select source_id, max(end_ms) as d from words group by 1),
+scenes as (select source_id, unnest(range(d // 7000 + 1)) as scene_idx, unnest(range(d // 7000 + 1)) * 7000 as lo, unnest(range(d // 7000 + 1)) * 7000 + 5000 as hi from sc),
+cl as (select source_id, cue_idx, unnest(c) as rest, generate_subscripts(c, 1) as ci from (select source_id, cue_idx, regexp_extract_all(text, '[^，。！？!?；;、,：:]+[，。！？!?；;、,：:]*') as c from cues)),
+-- a clause too wide is cut at a space: the last one that fits if it fills half a line, else the first
+cut as (select source_id, cue_idx, ci, 0 as k, cast(null as varchar) as piece, trim(rest) as rest from cl
+  union all select source_id, cue_idx, ci, k + 1, trim(rest[1:n]), trim(rest[n + 1:]) from (
+    select *, case when 55 * length(rest) <= {LIMIT} then length(rest) else coalesce(list_max(list_filter(sp, lambda i: 110 * i >= {LIMIT})), list_min(sp), {LIMIT} // 55) end as n
+    from (select *, list_filter(range(1, length(rest)), lambda i: rest[i] = ' ' and 55 * i <= {LIMIT}) as sp from cut where rest <> ''))),
+pieces as (select source_id, cue_idx, row_number() over (partition by source_id, cue_idx order by ci, k) as i, piece from cut where piece <> ''),
+ln as (select source_id, cue_idx, i, piece as line, 0 as l from pieces where i = 1
+  union all select p.source_id, p.cue_idx, p.i, case when 55 * length(line || ' ' || piece) <= {LIMIT} then line || ' ' || piece else piece end, l + case when 55 * length(line || ' ' || piece) <= {LIMIT} then 0 else 1 end
+  from ln join pieces p on p.source_id = ln.source_id and p.cue_idx = ln.cue_idx and p.i = ln.i + 1),
+lines as (select source_id, cue_idx, l, arg_max(line, i) as line from ln group by 1, 2, 3),
+scr as (select source_id, cue_idx, l // 2 as screen_idx, string_agg(line, chr(10) order by l) as text, greatest(sum(55 * length(line)), 100) as w from lines group by 1, 2, 3),
+acc as (select *, sum(w) over (partition by source_id, cue_idx order by screen_idx) as u, sum(w) over (partition by source_id, cue_idx) as t from scr),
+paced as (select a.source_id, a.cue_idx, screen_idx, a.text, start_ms + cast(round((end_ms - start_ms) * (u - w) / t) as bigint) as s, start_ms + cast(round((end_ms - start_ms) * u / t) as bigint) as e from acc a join cues using (source_id, cue_idx))""") + """
+select source_id, scene_idx, row_number() over (partition by source_id, scene_idx order by greatest(s, lo), cue_idx, screen_idx) as idx, cue_idx, screen_idx, greatest(s, lo) - lo as start_ms, least(e, hi) - lo as end_ms, text
+from paced join scenes using (source_id) where e > lo and s < hi and e > s""")
+def o138_slice_and_pace(spark, sf_dir):
+    w = X.words(spark, sf_dir)
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("d") / 7000)))
+    scenes = w.groupBy("source_id").agg(F.max("end_ms").alias("d")).select("source_id", k.alias("scene_idx"))
+    scenes = scenes.select("source_id", "scene_idx", (F.col("scene_idx") * 7000).alias("start_ms"), (F.col("scene_idx") * 7000 + 5000).alias("end_ms"))
+    return S.slice_and_pace(I.cues(w), scenes, LIMIT)
