@@ -7,18 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import written
+from ..functions.shared import shared_path, written
 from ..sources import fixtures as X
 from ..streaming import live as L
 from .registry import query
-from .sql import WORDS, with_
+from .sql import DETECTIONS, INTERVALS, WORDS, with_
 
 
-def streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The rows as a stream of the files they are written to."""
+def streamed(spark: SparkSession, rows: DataFrame, per_trigger: int | None = None) -> DataFrame:
+    """The rows as a stream of the files they are written to, all of them or so many in a trigger."""
     table = written(rows, "stream-input")
     folder = table.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(rows.schema).parquet(folder)
+    reader = spark.readStream.schema(rows.schema)
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(folder)
 
 
 def finished(stream: DataFrame) -> DataFrame:
@@ -54,13 +55,35 @@ def o130_live_speech_rate(spark, sf_dir):
     return out.select("source_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n_words")
 
 
-@query()
+@query(with_(INTERVALS, DETECTIONS) + """
+, o as (select source_id, cast(track_id as bigint) as track_id, t_ms, conf, row_number() over (partition by source_id, track_id order by t_ms, conf) as i from detections),
+r as (select source_id, track_id, i, t_ms, conf >= 0.5 as speaking, conf >= 0.5 as changed, case when conf >= 0.5 then t_ms end as since from o where i = 1
+  union all select source_id, track_id, i, t_ms, was <> turns, turns, case when turns then t_ms else before end from (
+    select *, coalesce(t_ms - before >= 3600000, true) and case when was then conf < 0.35 else conf >= 0.5 end as turns from (
+      select o.*, r.speaking and o.t_ms - r.t_ms <= 86400000 as was, case when o.t_ms - r.t_ms <= 86400000 then r.since end as before
+      from r join o on o.source_id = r.source_id and o.track_id = r.track_id and o.i = r.i + 1)))
+select source_id, track_id, t_ms, speaking from r where changed""")
 def o131_live_hysteresis(spark, sf_dir):
+    """The detections as a stream, and one row far ahead that lets the watermark pass all of them."""
     d = X.detections(X.intervals(spark, sf_dir)).select("source_id", F.col("track_id").cast("long").alias("track_id"), "t_ms", F.col("conf").alias("p"))
-    return finished(L.live_hysteresis(streamed(spark, d.repartition("source_id", "track_id").sortWithinPartitions("t_ms")), 0.5, 0.35, 3_600_000))
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("source_id"), F.lit(-1).cast("long").alias("track_id"), F.lit(8 * 10**12).cast("long").alias("t_ms"), F.lit(0.0).alias("p"))
+    return finished(L.live_hysteresis(streamed(spark, d.unionByName(last)), 0.5, 0.35, 3_600_000)).filter("source_id >= 0")
 
 
 @query("select user_id, event_id % 500 as k from events group by 1, 2")
 def o132_replay_safe(spark, sf_dir):
     e = X.table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 500).alias("k"), F.col("ts").cast("timestamp").alias("ts"))
     return finished(L.replay_safe(streamed(spark, e), ["user_id", "k"], late="3650 days")).select("user_id", "k")
+
+
+@query("""select user_id, event_id % 50 as k, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by all""")
+def o132_upsert_batches(spark, sf_dir):
+    """The events in several triggers, each upserted into the table's next version; the newest event of every key stays."""
+    e = X.table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 50).alias("k"), "event_id", "event_type", "value")
+    path = shared_path(spark, "upserted")
+    run = (
+        streamed(spark, e.repartition(4), per_trigger=1).writeStream.foreachBatch(L.upsert_batches(path, ["user_id", "k"], "event_id"))
+        .option("checkpointLocation", shared_path(spark, "upsert-state")).trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return L.latest_version(spark, path, e.schema)
