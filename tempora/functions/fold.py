@@ -15,7 +15,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def ordered(*fields: str) -> Column:
     """The group's rows as an array of structs in the order of the fields."""
-    return F.array_sort(F.collect_list(F.struct(*fields)))
+    return F.sort_array(F.collect_list(F.struct(*fields)))
 
 
 def joined(fields: list[str], text: str, sep: str = " ") -> Column:

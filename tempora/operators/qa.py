@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from .intervals import interval_join
 
 
 def classification_metrics(predictions: DataFrame, threshold: float = 0.65) -> DataFrame:
     """n, error, logloss, precision and recall at the threshold, auc, pr_auc of predictions (truth 0/1, predicted 0/1, p).
 
-    The areas come from counts per distinct p, so the ordered window holds distinct scores, not rows.
+    The areas come from counts per distinct p and a prefix scan in two levels: scores are dealt by ranges, summed within a range, and a range's row
+    starts from the sum of the ranges before it. Only the ranges' own sums (one row each) are ordered in one place.
     """
     p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("p")))
     hit = F.col("p") >= threshold
@@ -20,8 +22,14 @@ def classification_metrics(predictions: DataFrame, threshold: float = 0.65) -> D
         F.try_divide(F.count_if(hit & (F.col("truth") == 1)), F.count_if(hit)).alias("precision"), F.try_divide(F.count_if(hit & (F.col("truth") == 1)), F.count_if(F.col("truth") == 1)).alias("recall"),
     )
     steps = predictions.groupBy("p").agg(F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg"))
-    w = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
+    dealt = steps.repartitionByRange(int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("p").desc())
+    dealt = written(dealt.withColumn("part", F.spark_partition_id()), "score-steps")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = sums.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in ("pos", "neg")))
+    w = Window.partitionBy("part").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each range
+    run = dealt.join(F.broadcast(sums), "part").withColumn("tp", F.sum("pos").over(w) + F.col("before_pos")).withColumn("fp", F.sum("neg").over(w) + F.col("before_neg"))
     areas = run.agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("a"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     areas = areas.select(F.lit(0).alias("_k"), F.try_divide("a", F.col("np") * F.col("nn")).alias("auc"), F.try_divide("ap", "np").alias("pr_auc"))
     return base.withColumn("_k", F.lit(0)).join(areas, "_k").drop("_k")  # one row with one row

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import ordered
+from ..functions.shared import written
 from .intervals import interval_join
 
 
@@ -18,24 +21,42 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(*rank_order())))
 
 
-def dedup_greedy(candidates: DataFrame, start_ms: int = 5000, end_ms: int = 6000, overlap: float = 0.65) -> DataFrame:
-    """In rank order, drop a candidate near a kept one: start and end closer than given, or a larger overlap with the same hook.
+def conflicts(ranked: DataFrame, start_ms: int, end_ms: int, overlap: float) -> DataFrame:
+    """source_id, worse, better (ranks): pairs of a source that cannot both stay, once each.
 
-    The choice depends on the order, so it is a fold over the source's ranked list; it carries bounds and hooks alone.
+    Near ones meet in buckets of start_ms (the worse one looks into its own and both neighbours), overlapping ones of the same hook in an interval join.
     """
-    ranked = rank_candidates(candidates)
-    listed = ranked.groupBy("source_id").agg(ordered("rank", "start_ms", "end_ms", "hook").alias("c"))
-    kind = "struct<rank:int,start_ms:bigint,end_ms:bigint,hook:string>"
+    rows = ranked.select("source_id", "rank", "start_ms", "end_ms", "hook")
+    bucket = F.floor(F.col("start_ms") / start_ms)
+    a = rows.select("source_id", F.col("rank").alias("worse"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("b"))
+    b = rows.select("source_id", F.col("rank").alias("better"), "start_ms", "end_ms", bucket.alias("b"))
+    close = (F.col("better") < F.col("worse")) & (F.abs(F.col("s") - F.col("start_ms")) < start_ms) & (F.abs(F.col("e") - F.col("end_ms")) < end_ms)
+    near = a.join(b, ["source_id", "b"]).filter(close).select("source_id", "worse", "better")
+    pairs = interval_join(rows, rows, ["source_id", "hook"]).filter("r_rank < rank")
+    both = F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")
+    shorter = F.greatest(F.least(F.col("end_ms") - F.col("start_ms"), F.col("r_end_ms") - F.col("r_start_ms")), F.lit(1000))
+    same = pairs.filter(both / shorter > overlap).select("source_id", F.col("rank").alias("worse"), F.col("r_rank").alias("better"))
+    return near.unionByName(same).distinct()
 
-    def clash(x: Column, y: Column) -> Column:
-        both = F.greatest(F.least(x["end_ms"], y["end_ms"]) - F.greatest(x["start_ms"], y["start_ms"]), F.lit(0))
-        shorter = F.greatest(F.least(x["end_ms"] - x["start_ms"], y["end_ms"] - y["start_ms"]), F.lit(1000))
-        near = (F.abs(x["start_ms"] - y["start_ms"]) < start_ms) & (F.abs(x["end_ms"] - y["end_ms"]) < end_ms)
-        return near | ((both / shorter > overlap) & (x["hook"] == y["hook"]))
 
-    kept = F.aggregate("c", F.expr(f"cast(array() as array<{kind}>)"), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x.cast(kind)))))
-    keep = listed.select("source_id", F.explode(F.transform(kept, lambda x: x["rank"])).alias("rank"))
-    return ranked.join(keep, ["source_id", "rank"], "left_semi").drop("rank")
+def dedup_greedy(candidates: DataFrame, start_ms: int = 5000, end_ms: int = 6000, overlap: float = 0.65) -> DataFrame:
+    """In rank order, drop a candidate near a kept one: start and end closer than given, or a larger overlap with the same hook.
+
+    The choice is the greedy independent set of the conflict graph, found in rounds: candidates that no undecided better one conflicts with stay, and
+    theirs go. A round takes all sources and parts of a source at once, so there are as many rounds as the longest chain of
+    conflicts that wait for each other, not as candidates. Only edges between undecided candidates are carried on.
+    """
+    ranked = written(rank_candidates(candidates), "ranked")
+    edges, gone = written(conflicts(ranked, start_ms, end_ms, overlap), "conflicts"), []
+    while not edges.isEmpty():
+        loser = edges.select("source_id", F.col("worse").alias("better"))
+        settled = edges.join(loser, ["source_id", "better"], "left_anti")
+        lost = written(settled.select("source_id", F.col("worse").alias("rank")).distinct(), "lost")
+        gone.append(lost)
+        left = edges.join(lost.withColumnRenamed("rank", "worse"), ["source_id", "worse"], "left_anti")
+        edges = written(left.join(lost.withColumnRenamed("rank", "better"), ["source_id", "better"], "left_anti"), "conflicts")
+    kept = ranked if not gone else ranked.join(reduce(DataFrame.unionByName, gone), ["source_id", "rank"], "left_anti")
+    return kept.select(*candidates.columns)
 
 
 def balanced_top_n(candidates: DataFrame, durations: DataFrame, n: int) -> DataFrame:
@@ -69,25 +90,45 @@ def select_rank_range(ranked: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def tfidf(candidates: DataFrame, words: DataFrame) -> DataFrame:
-    """source_id, cand_id, term, weight: single words and pairs in a candidate, tf = n / all, idf = ln(candidates / df) + 1, length one. A long table, no vectors."""
+    """source_id, cand_id, term, weight: single words and pairs in a candidate, tf = n / all, idf = ln(candidates / df) + 1, length one. A long table, no vectors.
+
+    A term's document frequency comes from a partial count and a join, so a word that all candidates have does not meet in one window; the windows are of one candidate each.
+    """
     inside = interval_join(words.select("source_id", "word_idx", F.lower("text").alias("text"), "start_ms", "end_ms"), candidates.select("source_id", "cand_id", "start_ms", "end_ms"))
     w = Window.partitionBy("source_id", "r_cand_id").orderBy("start_ms", "word_idx")
     pairs = inside.withColumn("next", F.lead("text").over(w))
     terms = pairs.select("source_id", F.col("r_cand_id").alias("cand_id"), F.explode(F.when(F.col("next").isNull(), F.array("text")).otherwise(F.array(F.col("text"), F.concat_ws(" ", "text", "next")))).alias("term"))
-    tf = terms.groupBy("source_id", "cand_id", "term").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("source_id", "cand_id"))
-    df = F.count("*").over(Window.partitionBy("source_id", "term"))
+    tf = written(terms.groupBy("source_id", "cand_id", "term").agg(F.count("*").alias("n")), "terms")  # counted again by term, and joined
+    df = tf.groupBy("source_id", "term").agg(F.count("*").alias("df"))
     docs = candidates.groupBy("source_id").agg(F.count("*").alias("docs"))
-    weighted = tf.withColumn("tf", F.col("n") / total).withColumn("df", df).join(docs, "source_id").withColumn("raw", F.col("tf") * (F.log(F.col("docs") / F.col("df")) + 1))
+    total = F.sum("n").over(Window.partitionBy("source_id", "cand_id"))
+    weighted = tf.join(df, ["source_id", "term"]).withColumn("tf", F.col("n") / total).join(docs, "source_id").withColumn("raw", F.col("tf") * (F.log(F.col("docs") / F.col("df")) + 1))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("source_id", "cand_id")))
     return weighted.select("source_id", "cand_id", "term", (F.col("raw") / norm).alias("weight"))
 
 
-def cosine_pairs(weights: DataFrame, pairs: DataFrame) -> DataFrame:
-    """similarity of the given pairs (source_id, a_id, b_id) only, by a join on terms."""
-    a = pairs.join(weights.select("source_id", F.col("cand_id").alias("a_id"), "term", F.col("weight").alias("wa")), ["source_id", "a_id"])
-    both = a.join(weights.select("source_id", F.col("cand_id").alias("b_id"), "term", F.col("weight").alias("wb")), ["source_id", "b_id", "term"])
-    return both.groupBy("source_id", "a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+def term_vectors(weights: DataFrame) -> DataFrame:
+    """source_id, cand_id, v: the terms of a candidate in order, with their weights."""
+    return weights.groupBy("source_id", "cand_id").agg(ordered("term", "weight").alias("v"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """The product of two term vectors, null if they share no term: both in one sorted array, where a shared term's weights are neighbours."""
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        met = F.coalesce(acc["sum"], F.lit(0.0)) + acc["weight"] * x["weight"]
+        return F.struct(x["term"].alias("term"), x["weight"].alias("weight"), F.when(x["term"] == acc["term"], met).otherwise(acc["sum"]).alias("sum"))
+
+    return F.aggregate(F.sort_array(F.concat(a, b)), start, step, lambda acc: acc["sum"])
+
+
+def cosine_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """similarity of the given pairs (source_id, a_id, b_id) that share a term, from ``term_vectors``: each pair takes its two vectors and is one row throughout."""
+    a = pairs.select("source_id", "a_id", "b_id").join(vectors.select("source_id", F.col("cand_id").alias("a_id"), F.col("v").alias("va")), ["source_id", "a_id"])
+    both = a.join(vectors.select("source_id", F.col("cand_id").alias("b_id"), F.col("v").alias("vb")), ["source_id", "b_id"])
+    shared = F.when(F.arrays_overlap(F.col("va.term"), F.col("vb.term")), dot(F.col("va"), F.col("vb")))
+    return both.select("source_id", "a_id", "b_id", shared.alias("similarity")).filter("similarity is not null")
 
 
 def overlapping_pairs(candidates: DataFrame, least_ms: int = 2000) -> DataFrame:
@@ -103,7 +144,7 @@ def redundancy_filter(candidates: DataFrame, words: DataFrame, threshold: float
 
     A candidate that loses any pair is removed, even where it wins another.
     """
-    pairs = cosine_pairs(tfidf(candidates, words), overlapping_pairs(candidates, least_ms)).withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= threshold)
+    pairs = cosine_pairs(written(term_vectors(tfidf(candidates, words)), "vectors"), overlapping_pairs(candidates, least_ms)).withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= threshold)
     score = candidates.select("source_id", "cand_id", "score")
     scored = pairs.join(score.select("source_id", F.col("cand_id").alias("a_id"), F.col("score").alias("sa")), ["source_id", "a_id"]).join(score.select("source_id", F.col("cand_id").alias("b_id"), F.col("score").alias("sb")), ["source_id", "b_id"])
     reason = F.when(F.col("similarity") >= 0.95, "near-exact duplicate").when(F.col("similarity") >= 0.90, "high content similarity").otherwise("significant content overlap")

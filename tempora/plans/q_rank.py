@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from ..operators import rank as R
 from ..sources import fixtures as X
 from .registry import query
@@ -53,7 +54,7 @@ COSINE = "cosine as (select p.*, round(sum(x.weight * y.weight), 6) as similarit
 def o72_cosine_pairs(spark, sf_dir):
     w = X.words(spark, sf_dir)
     c = X.candidates(w)
-    return R.cosine_pairs(R.tfidf(c, w), R.overlapping_pairs(c)).withColumn("similarity", F.round("similarity", 6))
+    return R.cosine_pairs(written(R.term_vectors(R.tfidf(c, w)), "vectors"), R.overlapping_pairs(c)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(with_(WORDS, CANDIDATES, PAIRS, TFIDF, COSINE) + """
