@@ -180,6 +180,34 @@ def merge_tracks(tracks: DataFrame, edges: DataFrame, max_rounds: int = 30) -> D
     raise RuntimeError("tracks did not settle")
 
 
+def united_detections(persons: DataFrame, detections: DataFrame, grain_ms: int = 1) -> DataFrame:
+    """source_id, shot_idx, person, track_id (the detection's own), t_ms and detections' other columns of every person.
+
+    persons: TRACK and person (``merge_tracks``). A person's track with the most detections (the least track_id of equals) gives all of its own. The
+    others, in order of track_id, give theirs at times that no track before them covers: those of one ``grain_ms`` are one time, and the first
+    by t_ms and the other columns is taken. One aggregate over (person, time) settles that, so tracks are not compared with each other.
+    """
+    t = detections.join(persons.select(*TRACK, "person"), TRACK).withColumn("_at", F.floor(F.col("t_ms") / grain_ms))
+    t = written(t, "person-detections")  # read for the sizes, the leaders and the rest
+    size = t.groupBy(*SHOT, "person", "track_id").agg(F.count("*").alias("n"))
+    leader = size.groupBy(*SHOT, "person").agg(F.max_by("track_id", F.struct("n", -F.col("track_id"))).alias("leader"))
+    more = sorted(c for c in detections.columns if c not in (*TRACK, "t_ms"))
+    marked = t.join(leader, [*SHOT, "person"])
+    own = marked.filter("track_id = leader")
+    order = F.struct("track_id", "t_ms", *more)
+    rest = marked.filter("track_id <> leader").groupBy(*SHOT, "person", "_at").agg(F.min(order).alias("d"))
+    rest = rest.join(own.select(*SHOT, "person", "_at").distinct(), [*SHOT, "person", "_at"], "left_anti")
+    columns = [*SHOT, "person", "track_id", "t_ms", *more]
+    return own.select(*columns).unionByName(rest.select(*SHOT, "person", "d.*"))
+
+
+def merged_tracks(persons: DataFrame, detections: DataFrame, grain_ms: int = 1) -> DataFrame:
+    """source_id, shot_idx, person, n_tracks, n_detections, start_ms, end_ms, cx (mean) of every person, from their united detections (with cx)."""
+    united = united_detections(persons, detections, grain_ms)
+    return united.groupBy(*SHOT, "person").agg(
+        F.countDistinct("track_id").alias("n_tracks"), F.count("*").alias("n_detections"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.avg("cx").alias("cx"))
+
+
 def layout_state_machine(frames: DataFrame, enter_ms: int = 600, leave_ms: int = 750) -> DataFrame:
     """Per shot: mode (single or dual) over time from frames (t_ms, pair, n_people): dual after the same valid pair for enter_ms, back after its
     absence for leave_ms or at once with three or more. pair is null where there is no valid one. One fold per shot."""

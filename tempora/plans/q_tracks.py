@@ -112,6 +112,27 @@ def o123_merge_tracks(spark, sf_dir):
     return T.merge_tracks(tracks, T.track_edges(tracks)).select("source_id", "track_id", "person")
 
 
+@query(with_(INTERVALS, """
+tr as (select source_id, event_id as track_id, start_ms, end_ms, value * 3.84 as cx from intervals),
+ed as (select a.source_id, a.track_id as a, b.track_id as b from tr a join tr b on a.source_id = b.source_id and a.track_id < b.track_id and a.end_ms >= b.start_ms - 1000 and a.start_ms <= b.end_ms + 1000 and abs(a.cx - b.cx) <= 80),
+ee as (select source_id, a, b from ed union all select source_id, b, a from ed),
+reach as (select source_id, track_id as a, track_id as b from tr union select r.source_id, r.a, e.b from reach r join ee e on e.source_id = r.source_id and e.a = r.b),
+pe as (select source_id, a as track_id, min(b) as person from reach group by 1, 2),
+de as (select source_id, track_id, person, k, (start_ms // 600000 + k) * 600000 as t_ms, cx + k as cx from (select *, unnest(range(track_id % 5 + 1)) as k from tr join pe using (source_id, track_id))),
+ld as (select source_id, person, arg_max(track_id, n * 1000000000 - track_id) as leader from (select source_id, person, track_id, count(*) as n from de group by all) group by 1, 2),
+dl as (select *, min(case when track_id = leader then -1 else track_id end) over (partition by source_id, person, t_ms) as first from de join ld using (source_id, person))""") + """
+select source_id, person, count(distinct track_id) as n_tracks, count(*) as n_detections, min(t_ms) as start_ms, max(t_ms) as end_ms, round(avg(cx), 6) as cx
+from dl where case when first = -1 then track_id = leader else track_id = first end group by 1, 2""")
+def o123_merged_tracks(spark, sf_dir):
+    """The persons of o123_merge_tracks with their united detections: up to five of each track, on a grid of ten minutes."""
+    i = X.intervals(spark, sf_dir)
+    tracks = i.select("source_id", F.lit(0).cast("long").alias("shot_idx"), F.col("event_id").alias("track_id"), "start_ms", "end_ms", (F.col("value") * 3.84).alias("cx"))
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("track_id") % 5))
+    seen = tracks.withColumn("k", k).select("source_id", "shot_idx", "track_id", ((F.floor(F.col("start_ms") / 600_000) + F.col("k")) * 600_000).alias("t_ms"), (F.col("cx") + F.col("k")).alias("cx"))
+    persons = T.merge_tracks(tracks, T.track_edges(tracks))
+    return T.merged_tracks(persons, seen).drop("shot_idx").withColumn("cx", F.round("cx", 6))
+
+
 @query()
 def o125_layout_state_machine(spark, sf_dir):
     d = detections(spark, sf_dir)
