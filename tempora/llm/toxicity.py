@@ -52,11 +52,14 @@ def ftrl_fit(
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", table: int = 1 << 18, max_labelled: int = 20_000, **ftrl) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on labelled documents (label 0 or 1; null labels are left out, a doc_id with both counts as 1; of a repeated doc_id one text is taken)."""
+    """Fit on labelled documents (label 0 or 1; null labels are left out, a doc_id with both counts as 1; of a repeated doc_id the text with the least hash is taken)."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     known = known.withColumn("_h", F.xxhash64(F.col("doc_id"))).orderBy("_h").limit(max_labelled)
     # max_labelled rows of three numbers at most, so it may be broadcast
-    sample = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("_h", "text", "_y")
+    sample = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("_h", "text", "_y", F.xxhash64("text").alias("_t"))
+    # of a repeated doc_id the text of the least hash, once: however many rows have the id and in whatever order they come, one goes on
+    least = F.broadcast(sample.groupBy("_h").agg(F.min("_t").alias("_t")))
+    sample = sample.join(least, ["_h", "_t"]).dropDuplicates(["_h", "_t"]).select("_h", "text", "_y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,8 +68,6 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", table: in
 
     def train(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending")])
-        h = group["h"].to_numpy()
-        group = group.filter(pa.array(np.append(True, h[1:] != h[:-1])))  # one row for a doc_id
         lists = group["x"].combine_chunks()
         x = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
         used, values, bias = ftrl_fit(x, group["y"].to_numpy(), table, **ftrl)
