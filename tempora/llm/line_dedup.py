@@ -142,11 +142,11 @@ def recurring_passages(documents: DataFrame) -> DataFrame:
     runs = texts.select("doc_id", "content", "text_hash", F.explode(passage_windows(word_array(F.col("text")))).alias("w"))
     runs = written(runs.select("doc_id", "content", "text_hash", "w.key", "w.at"), "passages")
     where = F.struct("doc_id", "text_hash", "at")
-    shared = runs.groupBy("key").agg(F.min(where).alias("first"), F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
-    shared = shared.filter(F.col("lo") != F.col("hi")).select("key", "first")
+    shared = runs.groupBy("key").agg(F.min(where).alias("first"), F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.count("*").alias("n"))
+    shared = written(shared.filter(F.col("lo") != F.col("hi")).select("key", "first", "n"), "shared-passages")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     # a repetition that overlaps the first occurrence would take words of it
-    later = runs.join(shared, "key").filter((where > F.col("first")) & ~(same & (F.col("at") < F.col("first.at") + WINDOW)))
+    later = joined_to_keys(runs, shared, "key", runs.count()).filter((where > F.col("first")) & ~(same & (F.col("at") < F.col("first.at") + WINDOW)))
     return later.groupBy("content").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
 
