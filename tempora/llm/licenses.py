@@ -33,7 +33,7 @@ from .common import written
 #: Separates words once A-Z are lower case; the texts' own letters A-Z belong to words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTHS = (16, 32, 64, 256)
-THRESHOLD = 0.9
+THRESHOLD = 0.95
 
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
