@@ -3,7 +3,8 @@
 A text is encoded by a byte-level BPE (A, with a space before the text) and a piece model (B, which adds that space itself). Every token stands
 for bytes, so cumulative lengths are the byte offsets where tokens end. Two dictionaries, from end to token index, are intersected
 as hash sets: the sorted common keys cut both id lists into groups that cover the same bytes, and the links (A-B pairs of
-overlapping tokens) are expanded group by group.
+overlapping tokens) are expanded group by group. Both tokenizers end a token before a space that follows a character, so a text is cut there into
+runs; no group reaches over such a cut, and each distinct run of a batch is encoded and aligned once, with a bounded memory of runs.
 
 The corpus-wide count of an id pair is the number of documents that hold it linked. Texts are encoded once: every document's
 distinct pairs, with how often each occurs, are written to the shared folder. Counts come from those by a partial sum in each task. Going back
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,12 @@ from .hashing import text_chunks
 #: There are fewer hot pairs than this, so their broadcast is bounded.
 HOT = 1 << 18
 FACTS = "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<bigint>, times array<bigint>"
+#: Runs remembered by a Python worker before it starts anew.
+MAX_RUNS = 500_000
+#: Runs laid end to end to be encoded.
+JOINED = 500
+#: Where a text may be cut, and what makes the plain cut at every space wrong: a space at the start or after white space.
+SPACED, ODD = re.compile(r"(?<=\S) "), re.compile(r"^\s|\s ")
 #: A pair is one number: the A id times this, and the B id.
 STRIDE = 1 << 32
 
@@ -65,24 +74,91 @@ class Aligner:
         back = byte_of_char()
         entries = [self.a.id_to_token(i) or "" for i in range(size)]
         self.bytes_a = [bytes(back[c] for c in e) if all(c in back for c in e) else b"" for e in entries]
-        self.bytes_b = [piece_bytes(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [piece_bytes(p, self.b.is_byte(i)) for i, p in enumerate(pieces)]
+        # no token of B reaches from another character over a space, so B's tokens too can be found run by run
+        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.width_a = np.array([len(x) for x in self.bytes_a])
         self.width_b = np.array([len(x) for x in self.bytes_b])
         # an id as text, with what follows it: for A a comma or the bar before B's ids, for B a comma or the end of the group
         self.text = np.array([f"{i}{end}" for ids, ends in ((size, ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(ids)], object)
         self.at = {"a,": 0, "a|": size, "b,": 2 * size, "b;": 2 * size + len(self.bytes_b)}
+        self.forget()
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both tokenizers for every text; none of either where the text is empty or joined bytes differ from those of a space and the text."""
+    def forget(self) -> None:
+        """Begin anew with runs known."""
+        self.place: dict[str, int] = {}
+        self.written: list[str] = []
+        self.sizes = np.zeros((1 << 14, 4), np.int64)  # A tokens, B tokens, groups, links (-1 each: bytes differ)
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.links = np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def runs(self, text: str) -> list[str]:
+        """The text cut at spaces where both tokenizers end a token, whatever stands around: after a character that is no white space."""
+        if not self.cuts or text.endswith(" "):
+            return [text]
+        return SPACED.split(text) if ODD.search(text) else text.split(" ")
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both tokenizers for every text with a space before it; None where the joined bytes differ from it."""
+        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         spaced = [" " + t for t in texts]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        out = []
-        for t, a, b in zip(spaced, ids_a, ids_b):
+        for t, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
             raw = t.encode()
-            same = len(raw) > 1 and b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-            out.append((np.array(a if same else [], np.int64), np.array(b if same else [], np.int64)))
-        return out
+            same = b"".join(map(of_a, a.ids)) == raw and b"".join(map(of_b, b)) == raw
+            yield (np.array(a.ids, np.int64), np.array(b, np.int64)) if same else None
+
+    def learn(self, runs: list[str]) -> None:
+        """Align runs that are not known, many of them laid end to end: every run's end is a common one."""
+        # one that ends in white space, the last of its text, could share a token with the space after it
+        plain = [r for r in runs if r and not r[-1].isspace()] if len(runs) > 1 else []
+        for run in runs if not plain else [r for r in runs if not r or r[-1].isspace()]:
+            self.remember([run], next(self.encode([run])))
+        chunks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for chunk, ids in zip(chunks, self.encode([" ".join(c) for c in chunks])):
+            if ids:
+                self.remember(chunk, ids)
+            else:  # the bytes of some run differ
+                for run in chunk:
+                    self.learn([run])
+
+    def remember(self, runs: list[str], ids: tuple[np.ndarray, np.ndarray] | None) -> None:
+        a, b = ids or (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        ends_a, ends_b, cut_a, cut_b = self.groups(a, b)
+        i, j = linked(ends_a, ends_b, cut_a, cut_b)
+        stops = np.cumsum([len(r.encode()) + 1 for r in runs])
+        # tokens, groups and links up to the end of each run
+        to_a, to_b = np.searchsorted(ends_a, stops, "right"), np.searchsorted(ends_b, stops, "right")
+        groups, links = np.searchsorted(cut_a, to_a, "right"), np.searchsorted(i, to_a, "left")
+        counts = np.diff(np.stack([to_a, to_b, groups, links], 1), axis=0, prepend=0)
+        parts = self.written_groups(a, b, cut_a, cut_b).split(";")
+        upto, first = groups.tolist(), len(self.written)
+        self.place.update(zip(runs, range(first, first + len(runs))))
+        self.written += [parts[x] if y == x + 1 else ";".join(parts[x:y]) for x, y in zip([0, *upto], upto)]
+        self.sizes = put(self.sizes, first, counts if ids else np.full((1, 4), -1))
+        self.starts = put(self.starts, first, self.used + links - counts[:, 3])
+        self.links = put(self.links, self.used, a[i] * STRIDE + b[j])
+        self.used += len(i)
+
+    def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, np.ndarray]]:
+        """Of every text: its numbers of A tokens, B tokens, groups and links, its groups as text, and its links, one pair each."""
+        cut = [self.runs(t) for t in texts]
+        if len(self.place) > MAX_RUNS or self.used > 8 * MAX_RUNS:
+            self.forget()
+        seen = set(chain.from_iterable(cut))
+        if new := [r for r in seen if r not in self.place]:
+            self.learn(new)
+        get = self.place.__getitem__
+        for text, runs in zip(texts, cut):
+            at = np.fromiter(map(get, runs), np.int64, len(runs))
+            sizes = self.sizes[at]
+            if not text or (sizes[:, 1] < 0).any():
+                yield np.zeros(4, np.int64), "", np.zeros(0, np.int64)
+                continue
+            n = sizes[:, 3]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield sizes.sum(0), ";".join(map(self.written.__getitem__, at.tolist())), self.links[np.repeat(self.starts[at], n) + inside]
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ends of both lists' tokens in bytes, and for each group the number of A and of B tokens up to its end."""
@@ -104,24 +180,35 @@ class Aligner:
         return "".join(self.text[out].tolist())[:-1]
 
 
+def put(held: np.ndarray, at: int, rows: np.ndarray) -> np.ndarray:
+    """``held``, grown if need be, with the rows from ``at`` on."""
+    if at + len(rows) > len(held):
+        held = np.concatenate([held, np.zeros((at + len(rows), *held.shape[1:]), held.dtype)])
+    held[at : at + len(rows)] = rows
+    return held
+
+
 def linked(ends_a: np.ndarray, ends_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all links, slice by slice: where one side of a slice is one token, it meets all of the other; else by their ends."""
+    """Token numbers of all links in A's order, slice by slice: where one side of a slice is one token, it meets all of the other; else by their ends."""
     n_a, n_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
     first_a, first_b = cut_a - n_a, cut_b - n_b
     plain = (n_a == 1) | (n_b == 1)
     n = np.where(plain, n_a * n_b, 0)
     inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out_a = [np.repeat(first_a, n) + np.where(np.repeat(n_b == 1, n), inside, 0)]
-    out_b = [np.repeat(first_b, n) + np.where(np.repeat(n_b == 1, n), 0, inside)]
+    out_a = np.repeat(first_a, n) + np.where(np.repeat(n_b == 1, n), inside, 0)
+    out_b = np.repeat(first_b, n) + np.where(np.repeat(n_b == 1, n), 0, inside)
+    more_a, more_b = [], []
     for g in np.flatnonzero(~plain).tolist():
         i, j = int(first_a[g]), int(first_b[g])
         while i < cut_a[g] and j < cut_b[g]:
-            out_a.append(np.array([i]))
-            out_b.append(np.array([j]))
+            more_a.append(i)
+            more_b.append(j)
             end_a, end_b = ends_a[i], ends_b[j]
             i += int(end_a <= end_b)
             j += int(end_b <= end_a)
-    return np.concatenate(out_a), np.concatenate(out_b)
+    i, j = (np.append(x, np.array(more, np.int64)) for x, more in ((out_a, more_a), (out_b, more_b)))
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
 
 
 def aligned_documents(documents: DataFrame, vocabulary_a: str, vocabulary_b: str) -> DataFrame:
@@ -136,21 +223,13 @@ def aligned_documents(documents: DataFrame, vocabulary_a: str, vocabulary_b: str
             for start, _, ends in text_chunks(texts):
                 part = batch.slice(start, len(ends))
                 counts, digests, pairs, times = [], [], [], []
-                for a, b in both.encode(part.column("text").to_pylist()):
-                    if not len(a):
-                        counts.append((0, 0, 0, 0))
-                        digests.append("")
-                        pairs.append(np.empty(0, np.int64))
-                        times.append(np.empty(0, np.int64))
-                        continue
-                    ends_a, ends_b, cut_a, cut_b = both.groups(a, b)
-                    i, j = linked(ends_a, ends_b, cut_a, cut_b)
-                    found, often = np.unique(a[i] * STRIDE + b[j], return_counts=True)
-                    counts.append((len(a), len(b), len(cut_a), len(i)))
-                    digests.append(hashlib.sha256(both.written_groups(a, b, cut_a, cut_b).encode()).hexdigest())
+                for sizes, groups, links in both.align(part.column("text").to_pylist()):
+                    found, often = np.unique(links, return_counts=True)
+                    counts.append(sizes)
+                    digests.append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
                     pairs.append(found)
                     times.append(often)
-                n = np.array(counts, np.int64)
+                n = np.stack(counts)
                 at = pa.array(np.append(0, np.cumsum([len(x) for x in pairs])), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), pa.int64())) for x in (pairs, times)]
                 columns = [part.column("rid"), part.column("doc_id"), *(pa.array(n[:, k]) for k in range(4)), pa.array(digests), *lists]
