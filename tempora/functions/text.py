@@ -10,6 +10,16 @@ TERMINATORS = ".!?;:।॥"
 CLAUSE_ENDS = ".,!?。！？;；"
 # Hesitation tokens.
 FILLERS = ["um", "uh", "uhm", "umm", "erm", "hmm", "mm", "mmm", "ah", "er", "eh"]
+# Conjunctions that a caption line is broken before.
+CONJUNCTIONS = [
+    "and", "but", "or", "so", "because", "when", "if", "that", "with", "from", "into", "every", "on", "your", "my", "our", "their", "this", "which",
+    "aur", "lekin", "par", "ki", "toh", "kyunki", "agar", "jab", "tab",
+]
+# Terms that support emphasis.
+SUPPORTING_TERMS = [
+    "never", "always", "worst", "best", "secret", "mistake", "truth", "problem", "key", "crucial", "essential", "proven", "simple", "insane", "crazy", "shocking",
+    "biggest", "million", "billion", "dollars",
+]
 # Words that carry a sentence on, English first, then Hindi.
 CONTINUATIONS = [
     "because", "but", "and", "so", "then", "that's", "thats", "which", "what", "why", "the", "a", "an", "i", "when", "after", "before", "for",

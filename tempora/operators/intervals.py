@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.fold import ordered
 
 BUCKET_MS = 30_000
+ASOF_BUCKET_MS = 600_000
 
 
 def _bucketed(df: DataFrame, start: str, end: str, bucket_ms: int, closed: bool, widen: int, side: str) -> DataFrame:
@@ -68,35 +69,49 @@ def largest_covered(cuts: DataFrame, silences: DataFrame, keys: list[str]) -> Da
     return best.select(*keys, F.col("best.lo").alias("start_ms"), F.col("best.hi").alias("end_ms"))
 
 
-def _as_of(points: DataFrame, rows: DataFrame, at: str, row_at: str, value: list[str], point_keys: list[str], prefix: str, backward: bool, tie: list[str]) -> DataFrame:
-    """Both sides in one window per source; no range join. The last (first) row at or before (after) each point."""
-    payload = F.struct(*value)
-    side = points.select("source_id", F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*point_keys, at).alias("_point"), F.lit(None).cast(rows.select(payload.alias("v")).schema[0].dataType).alias("_row"), *(F.lit(None).cast(rows.schema[t].dataType).alias(f"_k{i}") for i, t in enumerate(tie)))
-    other = rows.select("source_id", F.col(row_at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(points.select(F.struct(*point_keys, at).alias("p")).schema[0].dataType).alias("_point"), payload.alias("_row"), *(F.col(t).alias(f"_k{i}") for i, t in enumerate(tie)))
+def _as_of(points: DataFrame, rows: DataFrame, at: str, row_at: str, value: list[str], point_keys: list[str], tie: list[str], before: str | None = None, after: str | None = None, bucket_ms: int = ASOF_BUCKET_MS) -> DataFrame:
+    """Each point with the last row at or before it (its columns get the prefix ``before``), the first at or after it (``after``), or both.
+
+    In two levels: a window per source and time bucket, then what other buckets carry over. A source is spread over as many tasks as it has
+    buckets; only one row a bucket is ordered per source. Rows without a source or time are never found, points without one find nothing.
+    """
+    payload, point = F.struct(*value), F.struct(*point_keys, at)
+    kind = lambda df, c: df.select(c.alias("x")).schema[0].dataType
+    side = points.select("source_id", F.col(at).alias("_t"), F.lit(1).alias("_side"), point.alias("_point"), F.lit(None).cast(kind(rows, payload)).alias("_row"), *(F.lit(None).cast(rows.schema[t].dataType).alias(f"_k{i}") for i, t in enumerate(tie)))
+    other = rows.filter(F.col("source_id").isNotNull() & F.col(row_at).isNotNull())
+    other = other.select("source_id", F.col(row_at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(kind(points, point)).alias("_point"), payload.alias("_row"), *(F.col(t).alias(f"_k{i}") for i, t in enumerate(tie)))
+    both = side.unionByName(other).withColumn("_bucket", F.floor(F.col("_t") / bucket_ms))
     ks = [F.col(f"_k{i}") for i in range(len(tie))]
-    if backward:
-        order = [F.col("_t"), F.col("_side"), *ks]
-    else:
-        order = [F.col("_t").desc(), F.col("_side"), *(k.desc() for k in ks)]
-    w = Window.partitionBy("source_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = side.unionByName(other).withColumn("_found", F.last("_row", ignorenulls=True).over(w)).filter("_side = 1")
-    return found.select("source_id", "_point.*", *(F.col(f"_found.{v}").alias(prefix + v) for v in value))
+    # one row a bucket: its last and first row, null where it has points alone
+    rank = F.when(F.col("_side") == 0, F.struct("_t", *ks))
+    edges = both.groupBy("source_id", "_bucket").agg(F.max_by("_row", rank).alias("_last"), F.min_by("_row", rank).alias("_first"))
+    found = both
+    for prefix, name, edge, turn in ((before, "_before", "_last", lambda c: c.asc()), (after, "_after", "_first", lambda c: c.desc())):
+        if prefix is None:
+            edges = edges.drop(edge)
+            continue
+        inside = Window.partitionBy("source_id", "_bucket").orderBy(turn(F.col("_t")), "_side", *map(turn, ks)).rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn(name, F.last("_row", ignorenulls=True).over(inside))
+        across = Window.partitionBy("source_id").orderBy(turn(F.col("_bucket"))).rowsBetween(Window.unboundedPreceding, -1)
+        edges = edges.withColumn(edge, F.last(edge, ignorenulls=True).over(across))
+    out = found.filter("_side = 1").join(edges, ["source_id", "_bucket"], "left")
+    taken = [F.coalesce(name, edge)[v].alias(prefix + v) for prefix, name, edge in ((before, "_before", "_last"), (after, "_after", "_first")) if prefix is not None for v in value]
+    return out.select("source_id", "_point.*", *taken)
 
 
 def asof_prev(points: DataFrame, words: DataFrame, at: str = "t_ms", keys: list[str] | None = None, value: list[str] | None = None, prefix: str = "prev_") -> DataFrame:
     """Each point with the last word that ends at or before it (nulls if none); ties go to the later word_idx."""
-    return _as_of(points, words, at, "end_ms", value or ["word_idx", "end_ms"], keys or [], prefix, True, ["word_idx"])
+    return _as_of(points, words, at, "end_ms", value or ["word_idx", "end_ms"], keys or [], ["word_idx"], before=prefix)
 
 
 def asof_next(points: DataFrame, words: DataFrame, at: str = "t_ms", keys: list[str] | None = None, value: list[str] | None = None, prefix: str = "next_") -> DataFrame:
     """Each point with the first word that starts at or after it; ties go to the earlier word_idx."""
-    return _as_of(points, words, at, "start_ms", value or ["word_idx", "start_ms"], keys or [], prefix, False, ["word_idx"])
+    return _as_of(points, words, at, "start_ms", value or ["word_idx", "start_ms"], keys or [], ["word_idx"], after=prefix)
 
 
 def nearest(points: DataFrame, words: DataFrame, keys: list[str], at: str = "t_ms", by: str = "start_ms") -> DataFrame:
     """Each point with the word whose start is nearest; the earlier one of equals."""
-    before = _as_of(points, words, at, by, ["word_idx", by], keys, "b_", True, ["word_idx"])
-    both = _as_of(before, words, at, by, ["word_idx", by], [*keys, "b_word_idx", f"b_{by}"], "a_", False, ["word_idx"])
+    both = _as_of(points, words, at, by, ["word_idx", by], keys, ["word_idx"], before="b_", after="a_")
     near = F.col(f"b_{by}").isNotNull() & (F.col(f"a_{by}").isNull() | (F.col(at) - F.col(f"b_{by}") <= F.col(f"a_{by}") - F.col(at)))
     return both.select("source_id", *keys, at, F.when(near, F.col("b_word_idx")).otherwise(F.col("a_word_idx")).alias("word_idx"), F.when(near, F.col(at) - F.col(f"b_{by}")).otherwise(F.col(f"a_{by}") - F.col(at)).alias("distance_ms"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import joined, ordered
-from ..functions.text import ends_clause, ends_sentence
+from ..functions.text import CONJUNCTIONS, SUPPORTING_TERMS, ends_clause, ends_sentence, normalize_token
 from ..functions.windows import by_time, so_far
 
 
@@ -154,12 +154,26 @@ def phrase_units(chunks: DataFrame, pause_ms: int = 350, max_ms: int = 4000, max
     ).drop("_run", "_unit")
 
 
-def wrap_lines(chunk_words: DataFrame, max_per_line: int = 3, lines: int = 2) -> DataFrame:
-    """chunk words (source_id, chunk_idx, word_idx, text) → line_1, line_2: capped at max_per_line × lines words, split in balance (first line longer)."""
-    listed = chunk_words.groupBy("source_id", "chunk_idx").agg(ordered("word_idx", "text").alias("w"))
-    capped = F.slice(F.transform("w", lambda x: x["text"]), 1, max_per_line * lines)
-    half = F.when(F.size(capped) <= max_per_line, F.size(capped)).otherwise(F.ceil(F.size(capped) / 2)).cast("int")
-    out = listed.withColumn("t", capped).withColumn("h", half)
+def line_break_hints(words: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """source_id, word_idx of the words after which a line is best broken: those that end a clause or a span (source_id, last_idx), and those before a conjunction that does neither."""
+    ends = words.join(spans.select("source_id", F.col("last_idx").alias("word_idx"), F.lit(True).alias("_ends")).distinct(), ["source_id", "word_idx"], "left") if spans is not None else words.withColumn("_ends", F.lit(None).cast("boolean"))
+    after = F.coalesce(F.col("_ends"), F.lit(False)) | F.coalesce(F.col("text").rlike("[,;:]$") | ends_sentence(F.col("text")), F.lit(False))
+    before = F.coalesce(normalize_token(F.col("text")).isin(CONJUNCTIONS), F.lit(False)) & (F.col("word_idx") > 0)
+    return ends.select("source_id", F.when(after, F.col("word_idx")).when(before, F.col("word_idx") - 1).alias("word_idx")).filter("word_idx is not null").distinct()
+
+
+def wrap_lines(chunk_words: DataFrame, max_per_line: int = 3, lines: int = 2, hints: DataFrame | None = None) -> DataFrame:
+    """chunk words (source_id, chunk_idx, word_idx, text) → line_1, line_2: capped at max_per_line × lines words, split in balance (first line longer).
+
+    hints (source_id, word_idx): words after which a break is preferred; of those that keep both lines within max_per_line the nearest to the balanced
+    place is taken, the earlier of equals.
+    """
+    marked = chunk_words.join(hints.select("source_id", "word_idx", F.lit(True).alias("hinted")).distinct(), ["source_id", "word_idx"], "left") if hints is not None else chunk_words.withColumn("hinted", F.lit(None).cast("boolean"))
+    listed = marked.groupBy("source_id", "chunk_idx").agg(ordered("word_idx", "text", "hinted").alias("w")).withColumn("w", F.slice("w", 1, max_per_line * lines))
+    total, middle = F.size("w"), F.ceil(F.size("w") / 2).cast("int")
+    places = F.transform("w", lambda x, i: F.when(x["hinted"] & (i + 1 < total) & (i + 1).between(total - max_per_line, max_per_line), F.struct(F.abs(i + 1 - middle).alias("off"), (i + 1).alias("at"))))
+    half = F.when(total <= max_per_line, total).otherwise(F.coalesce(F.array_min(F.filter(places, lambda p: p.isNotNull()))["at"], middle)).cast("int")
+    out = listed.withColumn("h", half).withColumn("t", F.transform("w", lambda x: x["text"]))
     return out.select("source_id", "chunk_idx", F.array_join(F.slice("t", F.lit(1), F.col("h")), " ").alias("line_1"), F.array_join(F.slice("t", F.col("h") + 1, F.size("t")), " ").alias("line_2"))
 
 
@@ -171,11 +185,53 @@ def events_from_frames(frames: DataFrame, thresholds: float = 0.5, frame_ms: int
     return found.drop("_i").filter(F.col("end_ms") - F.col("start_ms") >= min_ms)
 
 
-def emphasis_spans(words: DataFrame, marks: DataFrame, min_supporting: int = 2) -> DataFrame:
-    """Runs of marked words (marks: source_id, word_idx, kind) as spans; ``supporting`` runs need min_supporting words or a number."""
-    marked = words.join(marks, ["source_id", "word_idx"]).withColumn("_i", F.col("word_idx") - F.row_number().over(Window.partitionBy("source_id", "kind").orderBy("word_idx")))
-    grouped = marked.groupBy("source_id", "kind", "_i").agg(F.min("word_idx").alias("first_idx"), F.max("word_idx").alias("last_idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), F.bool_or(F.col("text").rlike("[0-9]")).alias("numeric"))
-    return grouped.drop("_i").filter((F.col("kind") != "supporting") | (F.col("n_words") >= min_supporting) | F.col("numeric"))
+def class_peaks(frames: DataFrame) -> DataFrame:
+    """Per source and class: the highest p over all its frames and the first frame that has it, whether or not an event comes of it."""
+    best = frames.groupBy("source_id", "cls").agg(F.max(F.struct("p", (-F.col("frame")).alias("f"))).alias("b"))
+    return best.select("source_id", "cls", F.col("b.p").alias("peak"), (-F.col("b.f")).alias("frame"))
+
+
+def emphasis_spans(words: DataFrame, marks: DataFrame, min_supporting: int = 2, on: list[str] | None = None) -> DataFrame:
+    """Runs of marked words (marks: source_id, word_idx, kind) as spans; ``supporting`` runs need min_supporting words or a number.
+
+    A supporting run inside a run of another kind goes. on: the key of words and marks, the source by default.
+    """
+    on = on or ["source_id"]
+    marked = words.join(marks, [*on, "word_idx"]).withColumn("_i", F.col("word_idx") - F.row_number().over(Window.partitionBy(*on, "kind").orderBy("word_idx")))
+    grouped = marked.groupBy(*on, "kind", "_i").agg(F.min("word_idx").alias("first_idx"), F.max("word_idx").alias("last_idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), F.bool_or(F.col("text").rlike("[0-9]")).alias("numeric"))
+    grouped = grouped.drop("_i").filter((F.col("kind") != "supporting") | (F.col("n_words") >= min_supporting) | F.col("numeric"))
+    # runs of one kind are disjoint, so a run that covers this one begins at or before it and is the last of its kind to do so
+    order = Window.partitionBy(*on).orderBy("first_idx", (F.col("kind") == "supporting").cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("kind") != "supporting", F.col("last_idx"))).over(order)
+    return grouped.withColumn("_reach", reach).filter((F.col("kind") != "supporting") | F.col("_reach").isNull() | (F.col("_reach") < F.col("last_idx"))).drop("_reach")
+
+
+def emphasis_plan(words: DataFrame, candidates: DataFrame, least: float = 0.75, hook_least: float = 0.70, payoff_least: float = 0.75) -> DataFrame:
+    """Spans to stress in each candidate that the evidence suffices for: source_id, cand_id, kind, first_idx, last_idx, start_ms, end_ms, n_words, numeric, confidence.
+
+    candidates: source_id, cand_id, start_ms, end_ms, then hook, hook_start_ms, hook_end_ms, hook_confidence and payoff_text, payoff_start_ms, payoff_end_ms,
+    payoff_score, payoff_completion. A hook's words are those of its span that its text holds (all of them if it has none), from hook_least on; the payoff's
+    likewise from payoff_least on, unless it is known to be incomplete. Confidence: the better of both plus 0.10 if both are found, else the one; supporting
+    words (numbers and strong terms) add 0.05 to either and carry nothing alone. Candidates under ``least`` give no spans. Null evidence counts as none.
+    """
+    from .intervals import interval_join
+
+    on = ["source_id", "cand_id"]
+    tokens = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+"), normalize_token), lambda t: t != "")
+    hook = F.when(F.coalesce("hook_confidence", F.lit(0.0)) >= hook_least, F.struct(F.col("hook_start_ms").alias("s"), F.col("hook_end_ms").alias("e"), tokens(F.col("hook")).alias("t"), F.col("hook_confidence").cast("double").alias("p")))
+    payoff = F.when((F.coalesce("payoff_score", F.lit(0.0)) >= payoff_least) & F.coalesce("payoff_completion", F.lit(True)), F.struct(F.col("payoff_start_ms").alias("s"), F.col("payoff_end_ms").alias("e"), tokens(F.col("payoff_text")).alias("t"), F.col("payoff_score").cast("double").alias("p")))
+    spans = candidates.select(*on, "start_ms", "end_ms", hook.alias("hook"), payoff.alias("payoff"))
+    inside = interval_join(words.select("source_id", "word_idx", "text", "start_ms", "end_ms"), spans).withColumnRenamed("r_cand_id", "cand_id").withColumn("token", normalize_token(F.col("text")))
+    meets = lambda x: F.coalesce((F.col("end_ms") > F.col(f"{x}.s")) & (F.col("start_ms") < F.col(f"{x}.e")) & ((F.size(f"{x}.t") == 0) | F.array_contains(f"{x}.t", F.col("token"))), F.lit(False))
+    strong = F.coalesce(F.col("token").isin(SUPPORTING_TERMS) | F.col("token").rlike("[0-9]"), F.lit(False))
+    flagged = inside.select(*on, "word_idx", "text", "start_ms", "end_ms", F.when(meets("r_hook"), F.col("r_hook.p")).alias("hook"), F.when(meets("r_payoff"), F.col("r_payoff.p")).alias("payoff"), strong.alias("supporting"))
+    whole = flagged.groupBy(*on).agg(F.max("hook").alias("h"), F.max("payoff").alias("p"), F.bool_or("supporting").alias("s"))
+    base = F.when(F.col("h").isNotNull() & F.col("p").isNotNull(), F.least(F.lit(1.0), F.greatest("h", "p") + 0.10)).otherwise(F.coalesce("h", "p"))
+    passed = whole.filter("h is not null or p is not null").select(*on, F.round(F.least(F.lit(1.0), base + F.when(F.col("s"), 0.05).otherwise(0.0)), 6).alias("confidence")).filter(F.col("confidence") >= least)
+    kinds = F.array(F.when(F.col("hook").isNotNull(), F.lit("hook")), F.when(F.col("payoff").isNotNull(), F.lit("payoff")), F.when(F.col("supporting"), F.lit("supporting")))
+    kept = flagged.join(passed.select(*on), on, "left_semi")
+    marks = kept.select(*on, "word_idx", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
+    return emphasis_spans(kept.select(*on, "word_idx", "text", "start_ms", "end_ms"), marks, on=on).join(passed, on)
 
 
 def merge_edits(edits: DataFrame, on: list[str], tolerance_ms: int = 0) -> DataFrame:

@@ -90,9 +90,19 @@ def best_format(formats: DataFrame) -> DataFrame:
 
 
 def audio_tracks(formats: DataFrame) -> DataFrame:
-    """source, language, format_id: the best rate of each language."""
-    best = formats.groupBy("source", "language").agg(F.max(F.struct("tbr", "format_id")).alias("b"))
-    return best.select("source", "language", F.col("b.format_id").alias("format_id"))
+    """source, language, format_id, original of formats (source, position, format_id, language, original, dubbed, tbr): the best rate of each language.
+
+    Of equal rates the first listed wins. Formats without a language are one track if original and one if not. A language's track is original as its first listed
+    format is. A source has an original track: where none is, the first listed that is not dubbed becomes it, else the first. Null rates count as 0.
+    """
+    key = ["source", "language", F.when(F.col("language").isNull(), F.col("original")).alias("_apart")]
+    rate = F.struct(F.coalesce("tbr", F.lit(0.0)), -F.col("position"))
+    tracks = formats.groupBy(*key).agg(F.max_by("format_id", rate).alias("format_id"), F.min(F.struct("position", F.coalesce("original", F.lit(False)).alias("original"), F.coalesce("dubbed", F.lit(False)).alias("dubbed"))).alias("first"))
+    # a source has one row a language here
+    of = Window.partitionBy("source")
+    heir = F.min(F.struct(F.col("first.dubbed"), F.col("first.position"))).over(of)["position"]
+    original = F.col("first.original") | (~F.bool_or("first.original").over(of) & (F.col("first.position") == heir))
+    return tracks.select("source", "language", "format_id", original.alias("original"))
 
 
 def loudness_decision(measures: DataFrame, target: float = -14.0) -> DataFrame:

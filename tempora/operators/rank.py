@@ -84,7 +84,9 @@ def select_top_n(candidates: DataFrame, threshold: float, n: int | None) -> Data
 
 
 def select_rank_range(ranked: DataFrame, lo: int, hi: int) -> DataFrame:
-    """selected for ranks lo..hi; valid only if the source has all of them."""
+    """selected for ranks lo..hi (from 1, both included); a source with fewer than hi candidates keeps none. Ranks that are no range are a ValueError."""
+    if not 1 <= lo <= hi:
+        raise ValueError(f"ranks {lo} to {hi} are no range")
     n = F.count("*").over(Window.partitionBy("source_id"))
     return ranked.withColumn("selected", (n >= hi) & F.col("rank").between(lo, hi))
 

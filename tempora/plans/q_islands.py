@@ -186,6 +186,22 @@ def o137_wrap_lines(spark, sf_dir):
     return I.wrap_lines(named.select("source_id", "chunk_idx", "word_idx", "text"))
 
 
+HINTS = f"""
+hw as (select *, case when regexp_matches(text, '[,;:]$') or regexp_matches(trim(text), {TERM}) or word_idx % 9 = 7 then word_idx when word_idx > 0 and regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') in ({", ".join(f"'{c}'" for c in T.CONJUNCTIONS)}) then word_idx - 1 end as brk from words),
+hints as (select distinct source_id, brk as word_idx from hw where brk is not null)"""
+
+
+@query(with_(WORDS, HINTS) + """
+, c as (select source_id, word_idx // 5 as chunk_idx, list(text order by word_idx) as t, min(word_idx) as f, count(*) as n from words group by 1, 2),
+p as (select c.source_id, c.chunk_idx, arg_min(h.word_idx - f + 1, (abs(h.word_idx - f + 1 - (n + 1) // 2), h.word_idx)) as brk from c join hints h on h.source_id = c.source_id and h.word_idx - f + 1 between greatest(1, n - 3) and least(3, n - 1) group by 1, 2),
+k as (select c.*, case when n <= 3 then n else coalesce(p.brk, (n + 1) // 2) end as h from c left join p using (source_id, chunk_idx))
+select source_id, chunk_idx, array_to_string(t[1:h], ' ') as line_1, array_to_string(t[h+1:], ' ') as line_2 from k""")
+def o137_wrap_hinted(spark, sf_dir):
+    w = X.words(spark, sf_dir)
+    hints = I.line_break_hints(w, w.filter("word_idx % 9 = 7").select("source_id", F.col("word_idx").alias("last_idx")))
+    return I.wrap_lines(w.select("source_id", F.floor(F.col("word_idx") / 5).alias("chunk_idx"), "word_idx", "text"), hints=hints)
+
+
 FRAMES = """frame_probs as (select source_id, row_number() over (partition by source_id, cls order by start_ms, event_id) - 1 as frame, cls, (event_id * 17) % 100 / 100.0 as p from intervals)"""
 
 
@@ -201,6 +217,11 @@ def o52_events_from_frames(spark, sf_dir):
     return I.events_from_frames(frame_probs(spark, sf_dir))
 
 
+@query(with_(INTERVALS, FRAMES) + "select source_id, cls, max(p) as peak, arg_min(frame, (-p, frame)) as frame from frame_probs group by 1, 2")
+def o52_class_peaks(spark, sf_dir):
+    return I.class_peaks(frame_probs(spark, sf_dir))
+
+
 @query(with_(WORDS) + """
 , m as (select *, case when word_idx % 11 < 3 then 'supporting' when word_idx % 50 between 20 and 24 then 'hook' end as kind from words),
 k as (select *, word_idx - row_number() over (partition by source_id, kind order by word_idx) as g from m where kind is not null)
@@ -212,6 +233,30 @@ def o53_emphasis_spans(spark, sf_dir):
     return I.emphasis_spans(w, w.select("source_id", "word_idx", kind.alias("kind")).filter("kind is not null"))
 
 
+_token = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')".format
+_terms = ", ".join(f"'{c}'" for c in T.SUPPORTING_TERMS)
+
+
+@query(with_(WORDS, CANDIDATES) + f"""
+, c as (select *, (cand_id * 13 + source_id) % 100 / 100.0 as payoff, cand_id % 5 > 0 as whole, list_filter(list_transform(regexp_split_to_array(hook, '\\s+'), lambda x: {_token("x")}), lambda x: x <> '') as t from candidates),
+f as (select c.source_id, c.cand_id, c.score, c.payoff, w.word_idx, w.text, w.start_ms, w.end_ms, c.score >= 0.7 and w.start_ms < c.start_ms + 3000 and list_contains(c.t, {_token("w.text")}) as h, c.payoff >= 0.75 and c.whole and w.end_ms > c.end_ms - 3000 as p,
+ {_token("w.text")} in ({_terms}) or regexp_matches({_token("w.text")}, '[0-9]') as s from c join words w on w.source_id = c.source_id and w.end_ms > c.start_ms and w.start_ms < c.end_ms),
+g as (select source_id, cand_id, bool_or(h) as h, bool_or(p) as p, bool_or(s) as s, any_value(score)::double as hs, any_value(payoff)::double as ps from f group by 1, 2),
+q as (select source_id, cand_id, round(least(1, case when h and p then least(1, greatest(hs, ps) + 0.1::double) when h then hs when p then ps end + case when s then 0.05::double else 0 end), 6) as confidence from g where h or p),
+m as (select * from (select f.*, 'hook' as kind from f where h union all select f.*, 'payoff' from f where p union all select f.*, 'supporting' from f where s) join (select * from q where confidence >= 0.75) using (source_id, cand_id)),
+k as (select *, word_idx - row_number() over (partition by source_id, cand_id, kind order by word_idx) as g from m),
+r as (select source_id, cand_id, kind, min(word_idx) as first_idx, max(word_idx) as last_idx, min(start_ms) as start_ms, max(end_ms) as end_ms, count(*) as n_words, bool_or(regexp_matches(text, '[0-9]')) as numeric, any_value(confidence) as confidence from k group by source_id, cand_id, kind, g)
+select * from r where kind <> 'supporting' or ((n_words >= 2 or numeric) and not exists (select 1 from r o where o.source_id = r.source_id and o.cand_id = r.cand_id and o.kind <> 'supporting' and o.first_idx <= r.first_idx and o.last_idx >= r.last_idx))""")
+def o53_emphasis_plan(spark, sf_dir):
+    """Candidates with a hook in their first 3 s and a payoff, of any words, in their last 3 s."""
+    w = X.words(spark, sf_dir)
+    c = X.candidates(w).select(
+        "source_id", "cand_id", "start_ms", "end_ms", "hook", F.col("start_ms").alias("hook_start_ms"), (F.col("start_ms") + 3000).alias("hook_end_ms"), F.col("score").alias("hook_confidence"), F.lit(None).cast("string").alias("payoff_text"),
+        (F.col("end_ms") - 3000).alias("payoff_start_ms"), F.col("end_ms").alias("payoff_end_ms"), ((F.col("cand_id") * 13 + F.col("source_id")) % 100 / 100.0).alias("payoff_score"), (F.col("cand_id") % 5 > 0).alias("payoff_completion"),
+    )
+    return I.emphasis_plan(w, c)
+
+
 @query(with_(INTERVALS) + """
 , r as (select distinct source_id, start_ms as t from intervals), o as (select *, row_number() over (partition by source_id order by t) as n from r),
 k as (select source_id, n, t, t as last_kept, true as kept from o where n = 1 union all

@@ -87,6 +87,20 @@ def o81_best_format(spark, sf_dir):
     return Q.best_format(f)
 
 
+@query("""
+with f as (select p_brand as source, p_partkey as position, p_partkey as format_id, case when p_size % 6 > 0 then 'l' || p_size % 6 end as language, p_partkey % 5 = 0 as original, p_size % 3 = 0 as dubbed, case when p_partkey % 7 > 0 then p_retailprice end as tbr from part),
+t as (select source, language, arg_max(format_id, (coalesce(tbr, 0), -position)) as format_id, min(position) as position, arg_min(original, position) as original, arg_min(dubbed, position) as dubbed from f group by source, language, case when language is null then original end),
+h as (select source, arg_min(position, (dubbed, position)) as heir, bool_or(original) as has from t group by 1)
+select t.source, language, format_id, original or (not has and position = heir) as original from t join h using (source)""")
+def o81_audio_tracks(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    f = X.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("source"), k.alias("position"), k.alias("format_id"), F.when(size % 6 > 0, F.concat(F.lit("l"), size % 6)).alias("language"),
+        (k % 5 == 0).alias("original"), (size % 3 == 0).alias("dubbed"), F.when(k % 7 > 0, F.col("p_retailprice")).alias("tbr"),
+    )
+    return Q.audio_tracks(f)
+
+
 @query("""
 with m as (select source_id, avg(value) as v, count(*) as n from (select user_id as source_id, value from events) group by 1), x as (select source_id, -30 + round(v / 20, 3) as i, (source_id % 10) / 10.0 as sil, -45 + (source_id % 13) * 1.0 as fl, (source_id % 17) * 1.0 as mm, (source_id % 5) * 1.0 as lg, -2 + (source_id % 4) * 0.5 as tp from m),
 a as (select source_id, case when sil > 0.80 or i < -50 then [{'action': 'none', 'value': 0.0::double}] else list_filter([case when lg >= 2 then {'action': 'high_pass', 'value': 80.0::double} end, case when fl > -38 then {'action': 'denoise', 'value': 12.0::double} end, case when mm > 6 then {'action': 'balance', 'value': least(6.0, mm / 2)::double} end,
@@ -104,6 +118,15 @@ def o25_canonical_source_url(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select("page_id", R.canonical_source_url(F.col("url")).alias("id"))
 
 
+@query(r"""select page_id, case when page_id % 6 = 5 then regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') else 'video:' || substr(md5(url), 1, 11) end as id from pages""")
+def o25_video_addresses(spark, sf_dir):
+    """Five shapes of a video's address, made from each page's own, and every sixth page as it is."""
+    video = F.substring(F.md5("url"), 1, 11)
+    shapes = [("https://www.youtube.com/watch?list=a&v=", "&t=3"), ("https://youtu.be/", "?t=3"), ("https://youtube.com/shorts/", "/"), ("https://www.youtube.com/live/", "#x"), ("https://www.youtube.com/embed/", "")]
+    url = F.get(F.array(*(F.concat(F.lit(a), video, F.lit(z)) for a, z in shapes), F.col("url")), (F.col("page_id") % 6).cast("int"))
+    return X.table(spark, sf_dir, "pages").select("page_id", R.canonical_source_url(url).alias("id"))
+
+
 @query()
 def o05_write_srt(spark, sf_dir):
     return R.srt_texts(I.cues(X.words(spark, sf_dir)))

@@ -84,6 +84,12 @@ def o107_select_top_n(spark, sf_dir):
     return R.select_top_n(candidates(spark, sf_dir), 0.6, 4).select("source_id", "cand_id", "rank", "eligible", "selected")
 
 
+@query(with_(WORDS, CANDIDATES, RANKED) + """
+select source_id, cand_id, rank, count(*) over (partition by source_id) >= 9 and rank between 3 and 9 as selected from ranked""")
+def o107_select_rank_range(spark, sf_dir):
+    return R.select_rank_range(R.rank_candidates(candidates(spark, sf_dir)), 3, 9).select("source_id", "cand_id", "rank", "selected")
+
+
 @query("select * exclude (r) from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) where r = 1")
 def o110_latest_per_key(spark, sf_dir):
     o = X.table(spark, sf_dir, "orders")

@@ -235,16 +235,16 @@ def o82_excerpt(spark, sf_dir):
 
 
 @query(with_(WORDS, CANDIDATES) + r"""
-, t as (select source_id, cand_id, start_ms, list_filter(list_transform(regexp_split_to_array(hook, '\s+'), lambda x: regexp_replace(lower(x), '[^\pL\pN]', '', 'g')), lambda x: x <> '') as t from candidates where cand_id % 3 = 0),
-p as (select *, t[1:6] as p from t where len(t) > 0), k as (select *, unnest(p) as tok, unnest(range(len(p))) as k from p),
-n as (select source_id, word_idx, start_ms, regexp_replace(lower(text), '[^\pL\pN]', '', 'g') as w from words),
-a as (select k.source_id, k.cand_id, a.word_idx as anchor, round(sum(case when w.w = tok then 1.0 when w.w <> '' and (contains(w.w, tok) or contains(tok, w.w)) then 0.8 else 0.0 end) / any_value(len(p)), 6) as m
- from k join n a on a.source_id = k.source_id and a.start_ms >= k.start_ms - 12000 and a.start_ms <= k.start_ms + 25000 join n w on w.source_id = k.source_id and w.word_idx = a.word_idx + k.k group by 1, 2, 3),
+, t as (select source_id, cand_id, start_ms, list_filter(list_transform(regexp_split_to_array(hook, '\s+'), lambda x: regexp_replace(lower(x), '[^\pL\pN]', '', 'g')), lambda x: x <> '') as t from candidates),
+p as (select *, t[1:6] as p from t where len(t) > 0),
+n as (select source_id, word_idx, start_ms, list(w) over (partition by source_id order by word_idx rows between current row and 5 following) as g from (select *, regexp_replace(lower(text), '[^\pL\pN]', '', 'g') as w from words)),
+a as (select p.source_id, p.cand_id, n.word_idx as anchor, round(list_sum(list_transform(range(1, least(len(p.p), len(n.g)) + 1), lambda i: case when n.g[i] = p.p[i] then 1.0 when n.g[i] <> '' and (contains(n.g[i], p.p[i]) or contains(p.p[i], n.g[i])) then 0.8 else 0.0 end)) / len(p.p), 6) as m
+ from p join n on n.source_id = p.source_id and n.start_ms >= p.start_ms - 12000 and n.start_ms <= p.start_ms + 25000),
 r as (select *, row_number() over (partition by source_id, cand_id order by m desc, anchor) as q from a where m > 0)
 select source_id, cand_id, r.anchor as first_idx, least(r.anchor + len(t) - 1, (select max(word_idx) from words w where w.source_id = t.source_id)) as last_idx, m as match from t join r using (source_id, cand_id) where q = 1 and m >= 0.5""")
 def o38_align_phrase(spark, sf_dir):
     w = X.words(spark, sf_dir)
-    phrases = X.candidates(w).filter("cand_id % 3 = 0").select("source_id", "cand_id", "start_ms", "end_ms", F.col("hook").alias("text"))
+    phrases = X.candidates(w).select("source_id", "cand_id", "start_ms", "end_ms", F.col("hook").alias("text"))
     return S.align_phrase(phrases, w, fallback=False)
 
 

@@ -126,3 +126,75 @@ def test_results_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert islands.cues(w).agg(F.sum("n_words")).first()[0] == 200
+
+
+def test_as_of_over_many_buckets_against_all_pairs(spark):
+    rows = [(i % 3, i, (i * 7919) % 40_000 // 10 * 10, (i * 7919) % 40_000 // 10 * 10 + 50) for i in range(80)] + [(0, 900, None, None), (None, 901, 5, 55)]
+    w = spark.createDataFrame(rows, "source_id long, word_idx long, start_ms long, end_ms long")
+    points = [(i % 4, i, (i * 3571) % 50_000 // 10 * 10) for i in range(60)] + [(0, 90, None), (None, 91, 100)]
+    p = spark.createDataFrame(points, "source_id long, cand_id long, t_ms long")
+    known = [r for r in rows if r[0] is not None and r[2] is not None]
+    for bucket in (500, 10_000_000):
+        got_before, got_after = {}, {}
+        for row_at, prefixes, got in (("end_ms", {"before": "x_"}, got_before), ("start_ms", {"after": "x_"}, got_after)):
+            got.update({r.cand_id: r.x_word_idx for r in intervals._as_of(p, w, "t_ms", row_at, ["word_idx"], ["cand_id"], ["word_idx"], bucket_ms=bucket, **prefixes).collect()})
+        two = {r.cand_id: r for r in intervals._as_of(p, w, "t_ms", "start_ms", ["word_idx"], ["cand_id"], ["word_idx"], before="b_", after="a_", bucket_ms=bucket).collect()}
+        for s, k, t in points:
+            mine = [r for r in known if r[0] == s and t is not None]
+            assert got_before[k] == max(((r[3], r[1]) for r in mine if r[3] <= t), default=(0, None))[1]
+            assert got_after[k] == two[k].a_word_idx == min(((r[2], r[1]) for r in mine if r[2] >= t), default=(0, None))[1]
+            assert two[k].b_word_idx == max(((r[2], r[1]) for r in mine if r[2] <= t), default=(0, None))[1]
+
+
+def test_lines_break_at_a_legal_hint(spark):
+    w = spark.createDataFrame([(1, c, c * 10 + i, f"w{i}") for c, n in ((0, 4), (1, 5), (2, 3), (3, 9)) for i in range(n)], "source_id long, chunk_idx long, word_idx long, text string")
+    hints = spark.createDataFrame([(1, 0), (1, 2), (1, 10), (1, 12), (1, 20), (1, 30), (1, 32)], "source_id long, word_idx long")
+    got = {r.chunk_idx: (r.line_1, r.line_2) for r in islands.wrap_lines(w, hints=hints).collect()}
+    assert got == {0: ("w0", "w1 w2 w3"), 1: ("w0 w1 w2", "w3 w4"), 2: ("w0 w1 w2", ""), 3: ("w0 w1 w2", "w3 w4 w5")}
+    assert islands.wrap_lines(w.limit(0), hints=hints).count() == 0
+
+
+def test_line_hints(spark):
+    w = words(spark, [("And", 0, 1), ("we,", 1, 2), ("so", 2, 3), ("went", 3, 4), ("but", 4, 5), ("stop.", 5, 6), (None, 6, 7)])
+    span = spark.createDataFrame([(1, 2)], "source_id long, last_idx long")
+    assert sorted(r.word_idx for r in islands.line_break_hints(w, span).collect()) == [1, 2, 3, 5]
+
+
+EVIDENCE = "source_id long, cand_id long, start_ms long, end_ms long, hook string, hook_start_ms long, hook_end_ms long, hook_confidence double, payoff_text string, payoff_start_ms long, payoff_end_ms long, payoff_score double, payoff_completion boolean"
+
+
+def test_emphasis_needs_evidence(spark):
+    w = words(spark, [("The", 0, 100), ("biggest", 100, 200), ("mistake", 200, 300), ("cost", 300, 400), ("50", 400, 500), ("never", 500, 600), ("again", 600, 700), ("never", 700, 800)])
+    none = (None,) * 4
+    rows = [
+        (1, 0, 0, 800, "The biggest mistake", 0, 300, 0.8, *none, None),  # the supporting run is inside the hook; 50 never stands alone
+        (1, 1, 0, 800, "Unheard", 0, 300, 0.9, *none, None),  # no word of the hook
+        (1, 2, 0, 800, None, None, None, None, *none, None),  # supporting words alone
+        (1, 3, 0, 800, "the", 0, 300, 0.70, *none, None),  # 0.70 + 0.05
+        (1, 4, 0, 800, "the", 0, 300, 0.72, "again", 500, 800, 0.80, True),
+        (1, 5, 0, 800, None, None, None, None, None, 500, 800, 0.9, False),
+    ]
+    got = islands.emphasis_plan(w, spark.createDataFrame(rows, EVIDENCE)).collect()
+    found = sorted((r.cand_id, r.kind, r.first_idx, r.last_idx, r.confidence) for r in got)
+    assert found == [
+        (0, "hook", 0, 2, 0.85), (0, "supporting", 4, 5, 0.85), (3, "hook", 0, 0, 0.75), (3, "supporting", 1, 2, 0.75), (3, "supporting", 4, 5, 0.75),
+        (4, "hook", 0, 0, 0.95), (4, "payoff", 6, 6, 0.95), (4, "supporting", 1, 2, 0.95), (4, "supporting", 4, 5, 0.95),
+    ]
+
+
+def test_audio_tracks(spark):
+    from tempora.operators import qa
+
+    rows = [("a", 0, "x", "en", False, True, 50.0), ("a", 1, "y", "en", False, False, 90.0), ("a", 2, "z", "de", False, False, None), ("b", 0, "p", None, True, False, 1.0), ("b", 1, "q", None, False, False, 1.0), ("b", 2, "r", None, False, False, 1.0), ("c", 0, "o", "fr", False, True, 1.0)]
+    f = spark.createDataFrame(rows, "source string, position long, format_id string, language string, original boolean, dubbed boolean, tbr double")
+    got = sorted((r.source, r.format_id, r.original) for r in qa.audio_tracks(f).collect())
+    assert got == [("a", "y", False), ("a", "z", True), ("b", "p", True), ("b", "q", False), ("c", "o", True)]
+
+
+def test_rank_range_of_small_sources(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, i) for i in (1, 2, 3)] + [(2, 1)], "source_id long, rank long")
+    assert sorted((r.source_id, r.rank) for r in rank.select_rank_range(df, 2, 3).filter("selected").collect()) == [(1, 2), (1, 3)]
+    with pytest.raises(ValueError):
+        rank.select_rank_range(df, 3, 2)
