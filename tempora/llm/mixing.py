@@ -3,7 +3,9 @@
 Targets share the corpus' words among sources by weight; a source's target stops at ``max_repeat`` times its words and
 the excess goes to the others by weight. A source that must give r times its words gives every document floor(r) times
 and the rest from a part of its *blocks*: documents are dealt to blocks by a seeded hash (a permutation of the source),
-and whole blocks are taken in permuted order until the quota is met, the last one in part.
+and whole blocks are taken in permuted order. The blocks around the quota, which hold some 32 documents on each side of it, are
+filled document by document: whatever still fits is taken, then one more if that comes nearer. So a source misses its
+target by half of its tail's smallest untaken document at most, however long its others are.
 
 Output shards get exact block quotas from a splitting tree: the range of shards is halved again and again, and the left
 half's blocks of each source are drawn from a multivariate hypergeometric distribution, so each shard's make-up is
@@ -24,6 +26,8 @@ from .common import WHITE, unused, written
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_DOCUMENTS, SHARD_DOCUMENTS = 20_000, 1_000_000
+#: Documents on each side of a source's quota that are taken one by one.
+TAIL_DOCUMENTS = 32
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -85,6 +89,34 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _fitting(sizes: np.ndarray, need: float) -> tuple[np.ndarray, float]:
+    """Which sizes, in their order, still fit the need, then the smallest other one if that comes nearer; how far they are from it."""
+    taken, left = np.zeros(len(sizes), np.int32), need
+    for i, size in enumerate(sizes):
+        if size <= left:
+            taken[i] = 1
+            left -= size
+    over = np.flatnonzero(taken == 0)
+    if len(over):
+        least = over[np.argmin(sizes[over])]
+        if sizes[least] - left < left:
+            taken[least] = 1
+            left = sizes[least] - left
+    return taken, left
+
+
+def fill_tail(units: pd.DataFrame) -> pd.DataFrame:
+    """source, order, extra: which of a source's documents (source, order, unit, need) make up the need, in seeded order or, where that comes nearer, the longest first."""
+    units = units.sort_values("order", ignore_index=True)
+    sizes, need = units["unit"].to_numpy(np.int64), float(units["need"].iloc[0])
+    extra, miss = _fitting(sizes, need)
+    longest = np.argsort(-sizes, kind="stable")
+    other, other_miss = _fitting(sizes[longest], need)
+    if other_miss < miss:
+        extra[longest] = other
+    return pd.DataFrame({"source": units["source"], "order": units["order"], "extra": extra})
+
+
 def mix_plan(
     documents: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -97,7 +129,7 @@ def mix_plan(
 
     blocks: how many blocks a source's documents are dealt to, by default one for every BLOCK_DOCUMENTS of all documents and 512 at
     least, so no block has many more than these. shards: by default one for every SHARD_DOCUMENTS, 64 at least. Documents without words weigh nothing and are taken floor(r) times. A null source is a source of its own;
-    a null doc_id is dealt by its text; repeated rows are documents of their own but share a block.
+    a null doc_id is dealt by its text; repeated rows are documents of their own but share a block and are taken alike.
     """
     spark = documents.sparkSession
     sizes = written(word_counts(documents), "sizes")
@@ -107,17 +139,25 @@ def mix_plan(
     targets = written(source_targets(sizes, weights, max_repeat), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per_block = (
-        sizes.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
+        sizes.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.count("*").alias("block_docs"))
         .join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         .withColumn("full", F.floor(ratio + 1e-12)).withColumn("part", F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0)))
     )
     # a source has at most `blocks` rows here
     permuted = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
     per_block = per_block.withColumn("rank", F.row_number().over(permuted) - 1).withColumn("before", F.sum("block_size").over(permuted) - F.col("block_size"))
-    per_block = written(per_block.withColumn("want", F.col("part") - F.col("before")), "blocks")
-
-    # draws of blocks: `full` passes over all blocks, then the blocks that the rest needs
-    drawn = per_block.groupBy("source").agg((F.sum("full") + F.count_if(F.col("want") > 0)).cast("long").alias("draws"))
+    per_block = per_block.withColumn("docs_before", F.sum("block_docs").over(permuted) - F.col("block_docs")).withColumn("want", F.col("part") - F.col("before"))
+    of = Window.partitionBy("source")
+    cut = (F.col("want") > 0) & (F.col("want") < F.col("block_size"))
+    begins, ends = F.max(F.when(cut, F.col("docs_before"))).over(of), F.max(F.when(cut, F.col("docs_before") + F.col("block_docs"))).over(of)
+    near = (F.col("docs_before") + F.col("block_docs") > begins - TAIL_DOCUMENTS) & (F.col("docs_before") < ends + TAIL_DOCUMENTS)
+    per_block = per_block.withColumn("tail", F.coalesce(near, F.lit(False)))
+    # the tail's need is the want of its first block
+    per_block = per_block.withColumn("need", F.max(F.when(F.col("tail"), F.col("want"))).over(of)).withColumn("more", (F.col("want") > 0) | F.col("tail"))
+    per_block = written(per_block, "blocks")
+
+    # draws of blocks: `full` passes over all blocks, then the blocks that the rest may come from
+    drawn = per_block.groupBy("source").agg((F.sum("full") + F.count_if("more")).cast("long").alias("draws"))
     per_source = drawn.toPandas()  # one row for each source
     per_source = per_source.sort_values("source", na_position="last", kind="stable", key=lambda s: s.map(lambda x: None if x is None else x.encode())).reset_index(drop=True)
     table = split_quotas(per_source["draws"].to_numpy(np.int64), shards, seed)
@@ -126,18 +166,20 @@ def mix_plan(
     # the k-th draw of a source goes to the shard whose run holds k
     shard_of = lambda k: F.size(F.filter("ends", lambda e: e <= k))
     passes = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("full")), lambda p: (p - 1) * F.col("n_blocks") + F.col("rank"))
-    draws = F.concat(F.when(F.col("full") > 0, passes).otherwise(F.array().cast("array<bigint>")), F.when(F.col("want") > 0, F.array((F.col("full") * F.col("n_blocks") + F.col("rank")).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
+    draws = F.concat(F.when(F.col("full") > 0, passes).otherwise(F.array().cast("array<bigint>")), F.when(F.col("more"), F.array((F.col("full") * F.col("n_blocks") + F.col("rank")).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
     block_plan = (
         per_block.withColumn("n_blocks", F.count("*").over(Window.partitionBy("source")))
         .join(runs, F.col("source").eqNullSafe(F.col("run_source")))
-        .select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "full", "want", "block_size", F.transform(draws, shard_of).alias("block_shards"))
+        .select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "full", "want", "tail", "need", F.transform(draws, shard_of).alias("block_shards"))
     )
     joined = sizes.join(block_plan, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
-    # whole blocks need no order; only the last block of a source is cut, nearest to its quota, in a seeded order of its documents
-    cut = (F.col("want") > 0) & (F.col("want") < F.col("block_size"))
-    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed + 2)), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
-    whole = joined.filter(~cut).withColumn("extra", (F.col("want") > 0).cast("int"))
-    partial = joined.filter(cut).withColumn("upto", F.sum("size").over(inside)).withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("want")).cast("int")).drop("upto")
+    # whole blocks need no order; a source's tail has few documents more than a block
+    joined = joined.withColumn("order", F.xxhash64("doc_id", "text_hash", F.lit(seed + 2)))
+    whole = joined.filter("not tail").withColumn("extra", (F.col("want") > 0).cast("int"))
+    tail = joined.filter("tail")
+    units = tail.groupBy("source", "order").agg(F.sum("size").alias("unit"), F.first("need").alias("need"))
+    chosen = units.groupBy("source").applyInPandas(fill_tail, "source string, order long, extra int").select(F.col("source").alias("t_source"), F.col("order").alias("t_order"), "extra")
+    partial = tail.join(chosen, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("order") == F.col("t_order"))).drop("t_source", "t_order")
     both = whole.unionByName(partial).withColumn("copies", (F.col("full") + F.col("extra")).cast("int"))
     return both.select(
         "doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),

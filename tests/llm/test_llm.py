@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -242,6 +243,39 @@ def test_mixing_meets_targets_and_limits(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in rows)
 
 
+def test_tail_of_a_source_comes_near_its_need():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 70):
+        sizes = rng.integers(0, 900, n)
+        need = float(rng.uniform(0, sizes.sum() + 1))
+        units = pd.DataFrame({"source": [None] * n, "order": rng.permutation(n), "unit": sizes, "need": need})
+        got = mixing.fill_tail(units)
+        by_order = dict(zip(units["order"], sizes))
+        misses = []
+        for ranked in (sorted(by_order), sorted(by_order, key=lambda k: (-by_order[k], k))):
+            left, passed = need, []
+            for k in ranked:
+                if by_order[k] <= left:
+                    left -= by_order[k]
+                else:
+                    passed.append(by_order[k])
+            misses.append(min([left] + [abs(min(passed) - left)] if passed else [left]))
+            assert not passed or misses[-1] <= min(passed) / 2
+        assert abs(sum(by_order[k] * e for k, e in zip(got["order"], got["extra"])) - need) == pytest.approx(min(misses))
+
+
+def test_mixture_is_near_its_targets_with_long_documents(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"s{i % 4}", " ".join(["w"] * int(rng.integers(20, 200)))) for i in range(240)]
+    rows += [(1000 + i, f"s{i % 4}", " ".join(["w"] * 6000)) for i in range(8)] + [(7, "s3", rows[7][2])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = mixing.mix_plan(df).collect()
+    for s in {r.source for r in plan}:
+        mine = [r for r in plan if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target
+    assert len({r.copies for r in plan if r.doc_id == 7}) == 1 and len(plan) == len(rows)
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([100, 7, 0, 33])
     table = mixing.split_quotas(quotas, 8, 1)
