@@ -50,6 +50,60 @@ def interval_join(
     return joined.drop("_bucket", "_first_l", "_first_r")
 
 
+def _levelled(df: DataFrame, start: str, end: str, bucket_ms: int, closed: bool, widen: int, side: str, step: int, levels: int) -> DataFrame:
+    """The rows with their bounds in buckets and the level of their own: the least at which they touch no more than ``step`` + 1 buckets, or the last."""
+    lo = F.col(start) - widen
+    last = F.col(end) + widen if closed else F.greatest(lo, F.col(end) + widen - 1)
+    own = F.lit(levels - 1)
+    for k in reversed(range(levels - 1)):
+        own = F.when(last - lo < bucket_ms * step ** (k + 1), k).otherwise(own)
+    return df.withColumns({f"_lo_{side}": lo, f"_hi_{side}": last, f"_own_{side}": own})
+
+
+def _under(df: DataFrame, side: str, bucket_ms: int, step: int, levels: int, which: str) -> DataFrame:
+    """A row for each bucket a row touches, at its own level (``own``), there and above (``from``), or above alone (``above``)."""
+    own = F.col(f"_own_{side}")
+    if which == "own":
+        out = df.withColumn("_level", own)
+    else:
+        first = own if which == "from" else own + 1
+        out = df.filter(first < levels).withColumn("_level", F.explode(F.sequence(first, F.lit(levels - 1))))
+    width = F.element_at(F.array(*(F.lit(bucket_ms * step**k).cast("long") for k in range(levels))), F.col("_level") + 1)
+    lo, hi = F.floor(F.col(f"_lo_{side}") / width), F.floor(F.col(f"_hi_{side}") / width)
+    return out.withColumn(f"_first_{side}", lo).withColumn("_bucket", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+
+
+def interval_join_levels(
+    left: DataFrame, right: DataFrame, on: list[str] | None = None, mode: str = "overlap", tolerance_ms: int = 0,
+    left_span: tuple[str, str] = ("start_ms", "end_ms"), right_span: tuple[str, str] = ("start_ms", "end_ms"), prefix: str = "r_",
+    bucket_ms: int = BUCKET_MS, step: int = 16, levels: int = 4,
+) -> DataFrame:
+    """The pairs of ``interval_join`` for sides whose intervals differ widely in length (a day beside a word).
+
+    Each interval is listed in buckets of a width that fits its own length, ``step`` + 1 at most, and looks up those of longer intervals at the
+    ``levels`` above, where it touches one or two each. Pairs whose left interval is of the longer level, or of the same, come from one equi join, the others
+    from a second; each is kept in the later of the two first buckets of the longer one's level. Only intervals over ``step`` buckets of the last level
+    are listed more often: once for each of its buckets (34 hours by default). Rows with null or reversed bounds pair with nothing.
+    """
+    on = on or ["source_id"]
+    wide = right.select(*on, *(F.col(c).alias(prefix + c) for c in right.columns if c not in on))
+    (ls, le), rs, re = left_span, prefix + right_span[0], prefix + right_span[1]
+    closed = mode != "overlap"
+    bounded = lambda df, s, e: df.filter(F.col(e) >= F.col(s))
+    a = _levelled(bounded(left, ls, le), ls, le, bucket_ms, closed, 0, "l", step, levels)
+    b = _levelled(bounded(wide, rs, re), rs, re, bucket_ms, closed, tolerance_ms, "r", step, levels)
+    s, e = F.col(rs) - tolerance_ms, F.col(re) + tolerance_ms
+    meets = {
+        "overlap": (F.col(le) > s) & (F.col(ls) < e),
+        "closed": (F.col(le) >= s) & (F.col(ls) <= e),
+        "contained": (F.col(ls) >= s) & (F.col(le) <= e),
+    }[mode]
+    under = lambda df, side, which: _under(df, side, bucket_ms, step, levels, which)
+    halves = [(under(a, "l", "own"), under(b, "r", "from")), (under(a, "l", "above"), under(b, "r", "own"))]
+    pairs = [x.join(y, [*on, "_level", "_bucket"]).filter((F.col("_bucket") == F.greatest("_first_l", "_first_r")) & meets) for x, y in halves]
+    return pairs[0].unionByName(pairs[1]).select(*left.columns, *(c for c in wide.columns if c not in on))
+
+
 def overlap_ms(prefix: str = "r_") -> Column:
     return F.least("end_ms", f"{prefix}end_ms") - F.greatest("start_ms", f"{prefix}start_ms")
 

@@ -21,6 +21,19 @@ def o30_interval_join(spark, sf_dir):
     return pairs.select("source_id", "event_id", "r_event_id", V.overlap_ms().alias("overlap_ms"))
 
 
+LONG = "longs as (select source_id, -1::bigint as span_id, min(start_ms) as start_ms, max(end_ms) as end_ms from intervals group by 1 union all select source_id, event_id, start_ms, end_ms from intervals where cls = 'purchase')"
+
+
+@query(with_(INTERVALS, LONG) + "select i.source_id, i.event_id, l.span_id, least(i.end_ms, l.end_ms) - greatest(i.start_ms, l.start_ms) as overlap_ms from intervals i join longs l on i.source_id = l.source_id and i.end_ms > l.start_ms and i.start_ms < l.end_ms")
+def o30_interval_join_levels(spark, sf_dir):
+    """Every interval with the purchases it meets and the whole span of its source, which lasts weeks."""
+    i = X.intervals(spark, sf_dir)
+    whole = i.groupBy("source_id").agg(F.lit(-1).cast("long").alias("span_id"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    spans = whole.unionByName(i.filter("cls = 'purchase'").select("source_id", F.col("event_id").alias("span_id"), "start_ms", "end_ms"))
+    pairs = V.interval_join_levels(i, spans)
+    return pairs.select("source_id", "event_id", F.col("r_span_id").alias("span_id"), V.overlap_ms().alias("overlap_ms"))
+
+
 @query(with_(WORDS, SILENCES) + "select distinct w.source_id, w.start_ms, w.end_ms from silences w where exists (select 1 from candidates2 c where c.source_id = w.source_id and w.start_ms >= c.start_ms and w.end_ms <= c.end_ms)".replace("candidates2", "(select source_id, min(start_ms) as start_ms, max(end_ms) as end_ms from words where word_idx % 100 < 30 group by source_id, word_idx // 100)"))
 def o31_contained_in(spark, sf_dir):
     w = X.words(spark, sf_dir)

@@ -54,6 +54,40 @@ def test_pause_model_on_held_out_sources(spark):
     rows.unpersist()
 
 
+def test_boosted_classes_stop_on_held_out_sources(spark):
+    rows = M.source_split(Q.levelled_gaps(spark, f"{DATA}/sf0.001")).cache()
+    model = M.train_boosted_classes(rows, Q.BOOST_FEATURES, rounds=8, depth=3)
+    present = {r.label for r in rows.filter("not held_out").select("label").distinct().collect()}
+    assert {c for c, n in model.rounds.items() if n} == present
+    held = M.score_classes(rows.filter("held_out"), model, 0.5).cache()
+    loss, m = M.class_log_loss(held).first(), M.pause_metrics(held).first()
+    prior = {r.label: r["count"] for r in rows.filter("not held_out").groupBy("label").count().collect()}
+    n = sum(prior.values())
+    shares = F.create_map(*(F.lit(x) for c in prior for x in (c, prior[c] / n)))
+    plain = rows.filter("held_out").agg(F.avg(-F.log(F.coalesce(shares[F.col("label")], F.lit(1e-15)))).alias("x")).first().x
+    assert loss.n == m.n > 0 and loss.logloss < 0.5 * plain
+    assert m.multi_error < 0.2 and m.removable_precision > 0.8 and m.removable_recall > 0.8
+    assert held.filter("abs(aggregate(probabilities, 0d, (s, x) -> s + x) - 1) > 1e-9 or p_removable < 0 or p_removable > 1").count() == 0
+    # features stay as they were, nulls too
+    assert held.filter("n_samples is null").count() == rows.filter("held_out and n_samples is null").count() > 0
+    with pytest.raises(ValueError):
+        M.train_boosted_classes(rows.limit(50), Q.BOOST_FEATURES)
+    rows.unpersist()
+    held.unpersist()
+
+
+def test_boosting_stops_where_features_tell_nothing(spark):
+    rows = spark.range(800).select(F.lit(1).alias("x"), (F.hash("id") % 7).cast("double").alias("y"), F.when(F.xxhash64("id") % 2 == 0, "breath_pause").otherwise("normal_word_gap").alias("label"), (F.col("id") % 4 == 0).alias("held_out"))
+    stopped = M.train_boosted_classes(rows, ["x", "y"], rounds=10, depth=3)
+    assert 0 < max(stopped.rounds.values()) < 10
+    assert {c for c, n in stopped.rounds.items() if n} == {"breath_pause", "normal_word_gap"}
+    # no row to stop by: every round is made
+    full = M.train_boosted_classes(rows.withColumn("held_out", F.lit(False)), ["x", "y"], rounds=3, depth=2)
+    assert full.rounds["breath_pause"] == 3
+    empty = M.score_classes(rows.limit(0), stopped)
+    assert empty.count() == 0 and M.class_log_loss(empty).first().logloss is None
+
+
 def test_discovery_on_a_few_documents(spark):
     from tempora.operators import discovery as D
     from tempora.sources import fixtures as X

@@ -32,6 +32,28 @@ def test_interval_join_against_all_pairs(spark):
     assert sorted(((r.source_id, r.start_ms, r.end_ms), (r.source_id, r.r_start_ms, r.r_end_ms)) for r in got) == want
 
 
+def test_levels_join_against_all_pairs_of_very_different_lengths(spark):
+    lengths = [0, 1, 40, 900, 16_000, 300_000, 5_000_000]
+    left = [(i % 2, (i * 7919) % 400_000, (i * 7919) % 400_000 + lengths[i % 7]) for i in range(70)] + [(1, None, 5), (None, 0, 5), (1, 9, 3)]
+    right = [(i % 2, (i * 104729) % 400_000 - 50_000, (i * 104729) % 400_000 - 50_000 + lengths[i * 3 % 7]) for i in range(70)] + [(0, 0, 10**10)]
+    a, b = spans(spark, left), spans(spark, right)
+    good = [x for x in left if None not in x and x[2] >= x[1]]
+    meets = {"overlap": lambda x, s, e: x[2] > s and x[1] < e, "closed": lambda x, s, e: x[2] >= s and x[1] <= e, "contained": lambda x, s, e: x[1] >= s and x[2] <= e}
+    for mode, test in meets.items():
+        for tolerance in (0, 150):
+            want = sorted((x, y) for x in good for y in right if x[0] == y[0] and test(x, y[1] - tolerance, y[2] + tolerance))
+            got = intervals.interval_join_levels(a, b, mode=mode, tolerance_ms=tolerance, bucket_ms=100, step=4, levels=5)
+            assert got.columns == ["source_id", "start_ms", "end_ms", "r_start_ms", "r_end_ms"]
+            assert sorted(((r.source_id, r.start_ms, r.end_ms), (r.source_id, r.r_start_ms, r.r_end_ms)) for r in got.collect()) == want
+
+
+def test_levels_list_a_long_interval_a_few_times(spark):
+    day, widen = spans(spark, [(1, 0, 86_400_000)]), 0
+    rows = intervals._levelled(day, "start_ms", "end_ms", 30_000, False, widen, "l", 16, 4)
+    assert intervals._under(rows, "l", 30_000, 16, 4, "own").count() <= 17
+    assert intervals._bucketed(day, "start_ms", "end_ms", 30_000, False, widen, "l").count() == 2880
+
+
 def test_complement_tiles_the_clip(spark):
     clips = spans(spark, [(1, 0, 1000)])
     kept = intervals.complement(spans(spark, [(1, 100, 200), (1, 950, 1200)]), clips, ["source_id"]).orderBy("src_start").collect()
