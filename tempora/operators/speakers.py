@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fold import joined, ordered
 from ..functions.text import normalize_token
 from ..functions.windows import by_time, so_far
-from .intervals import interval_join
+from .intervals import BUCKET_MS, interval_join, interval_join_levels
 from .islands import merge_states
 
 # Words that open a question.
@@ -129,7 +129,7 @@ def fuse_active_speaker(grid: DataFrame, audio: DataFrame, visual: DataFrame, bi
     grid: source_id, t_ms, end_ms. audio: segments with confidence. visual: detections. bindings: source_id, speaker, track_id.
     """
     cells = grid.select("source_id", F.col("t_ms").alias("start_ms"), "end_ms")
-    heard = interval_join(cells, audio.join(bindings, ["source_id", "speaker"]).select("source_id", "track_id", "confidence", "start_ms", "end_ms"))
+    heard = interval_join(cells, audio.join(bindings, ["source_id", "speaker"]).select("source_id", "track_id", "confidence", "start_ms", "end_ms"), bucket_ms=max(BUCKET_MS, step_ms))
     share = (F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")) / (F.col("end_ms") - F.col("start_ms"))
     a = heard.groupBy("source_id", "start_ms", "end_ms", F.col("r_track_id").alias("track_id")).agg(F.least(F.lit(1.0), F.sum(share) * F.max("r_confidence")).alias("audio"))
     seen_at = visual.select("source_id", "track_id", "motion", (F.floor(F.col("t_ms") / step_ms) * step_ms).alias("start_ms"))
@@ -157,7 +157,7 @@ def fuse_active_speaker(grid: DataFrame, audio: DataFrame, visual: DataFrame, bi
 def fusion_for_window(states: DataFrame, windows: DataFrame, least: float = 0.5) -> DataFrame:
     """Per window and track the most confident speaking state that overlaps it: source_id, window_idx, track_id, confidence."""
     good = states.filter(F.col("speaking") & (F.col("confidence") >= least))
-    pairs = interval_join(windows, good.select("source_id", "track_id", "confidence", "start_ms", "end_ms"))
+    pairs = interval_join_levels(windows, good.select("source_id", "track_id", "confidence", "start_ms", "end_ms"))
     return pairs.groupBy("source_id", "window_idx", F.col("r_track_id").alias("track_id")).agg(F.max("r_confidence").alias("confidence"))
 
 

@@ -124,12 +124,12 @@ def containment_violations(keyframes: DataFrame, detections: DataFrame, toleranc
 
 
 def extrapolate_position(detections: DataFrame, points: DataFrame, ahead_ms: int = 1000) -> DataFrame:
-    """cx of each track at later points (source_id, shot_idx, track_id, t_ms): from its last two detections .05 to 2 s apart, at most ahead_ms on; else the last one."""
+    """cx of each track at later points (source_id, shot_idx, track_id, t_ms): from its last two detections .05 to 2 s apart, at most ahead_ms on; else the last one. Of detections at one time the greater event_id is later."""
     w = Window.partitionBy(*TRACK).orderBy("t_ms", "event_id")
     d = detections.withColumn("pt", F.lag("t_ms").over(w)).withColumn("px", F.lag("cx").over(w))
-    d = d.select(*TRACK, F.col("t_ms").alias("t"), F.lit(0).alias("side"), F.struct("t_ms", "cx", "pt", "px").alias("last"))
-    p = points.select(*TRACK, F.col("t_ms").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(d.schema["last"].dataType).alias("last"))
-    o = Window.partitionBy(*TRACK).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select(*TRACK, F.col("t_ms").alias("t"), F.lit(0).alias("side"), F.col("event_id").alias("tie"), F.struct("t_ms", "cx", "pt", "px").alias("last"))
+    p = points.select(*TRACK, F.col("t_ms").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(d.schema["tie"].dataType).alias("tie"), F.lit(None).cast(d.schema["last"].dataType).alias("last"))
+    o = Window.partitionBy(*TRACK).orderBy("t", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
     found = d.unionByName(p).withColumn("last", F.last("last", ignorenulls=True).over(o)).filter("side = 1")
     dt = F.col("last.t_ms") - F.col("last.pt")
     moves = (dt > 50) & (dt < 2000) & (F.col("t") - F.col("last.t_ms") <= ahead_ms)

@@ -62,7 +62,15 @@ def o40_gallery_match(spark, sf_dir):
     return S.gallery_match(e.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "track_id"), e.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", "gallery_id"), 0.2)
 
 
-@query()
+_unit = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+
+
+@query(f"""
+with recursive e as (select label as track_id, vec_id as seq, embedding::double[] as v, row_number() over (partition by label order by vec_id, embedding) as n from embeddings),
+r as (select track_id, n, {_unit('v')} as g from e where n = 1 union all
+ select track_id, n, {_unit('m')} from (select e.track_id, e.n, list_transform(range(1, len(r.g) + 1), lambda i: 0.9::double * r.g[i] + 0.1::double * e.v[i]) as m from r join e on e.track_id = r.track_id and e.n = r.n + 1) z),
+s as (select track_id, count(*) as n, min(seq) as first_seen, max(seq) as last_seen from e group by 1)
+select s.track_id, s.n, first_seen, last_seen, list_transform(g, lambda x: round(x, 5)) as embedding from s join r on r.track_id = s.track_id and r.n = s.n""")
 def o124_ema_gallery(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings").select(F.col("label").alias("track_id"), F.col("vec_id").alias("seq"), "embedding")
     return S.ema_gallery(e).select("track_id", "n", "first_seen", "last_seen", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
@@ -79,12 +87,14 @@ EVIDENCE = """
 ev as (select d.source_id, i.cls as speaker, d.track_id, round(sum(d.motion), 6) as evidence from detections d join intervals i on i.source_id = d.source_id and i.cls in ('purchase', 'signup') and d.t_ms >= i.start_ms and d.t_ms <= i.end_ms group by 1, 2, 3 having round(sum(d.motion), 6) > 0.1)"""
 
 
-@query(with_(INTERVALS, DETECTIONS, EVIDENCE) + """
-, o as (select *, row_number() over (partition by source_id order by evidence desc, speaker, track_id::varchar) as n from ev),
+BINDINGS = """
+o as (select *, row_number() over (partition by source_id order by evidence desc, speaker, track_id::varchar) as n from ev),
 g as (select source_id, 0 as n, []::varchar[] as ua, []::integer[] as ub, null::varchar as speaker, null::integer as track_id, null::double as evidence from (select distinct source_id from ev) union all
  select source_id, n, case when ok then list_append(ua, s2) else ua end, case when ok then list_append(ub, t2) else ub end, case when ok then s2 end, t2, e2 from (
- select g.source_id, o.n, g.ua, g.ub, o.speaker as s2, o.track_id as t2, o.evidence as e2, not list_contains(g.ua, o.speaker) and not list_contains(g.ub, o.track_id) as ok from g join o on o.source_id = g.source_id and o.n = g.n + 1) z)
-select source_id, speaker, track_id, evidence from g where speaker is not null""")
+ select g.source_id, o.n, g.ua, g.ub, o.speaker as s2, o.track_id as t2, o.evidence as e2, not list_contains(g.ua, o.speaker) and not list_contains(g.ub, o.track_id) as ok from g join o on o.source_id = g.source_id and o.n = g.n + 1) z)"""
+
+
+@query(with_(INTERVALS, DETECTIONS, EVIDENCE, BINDINGS) + "select source_id, speaker, track_id, evidence from g where speaker is not null")
 def o120_bind_speakers_to_tracks(spark, sf_dir):
     _, seg, det = day(spark, sf_dir)
     return S.bind_speakers_to_tracks(seg, det)
@@ -98,16 +108,42 @@ def fused(spark, sf_dir):
     return S.fuse_active_speaker(grid, seg, det, S.bind_speakers_to_tracks(seg, det), 0.4, 0.25, 2 * hour, hour), grid
 
 
-@query()
+def half_up(x):
+    """Six decimals in plain double arithmetic: means of six-decimal numbers often lie halfway between two, where engines' roundings differ."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
+FUSED = """
+sg as (select source_id, cls as speaker, start_ms, end_ms, (event_id * 7) % 100 / 100.0::double as confidence from intervals where cls in ('purchase', 'signup')),
+du as (select source_id, max(end_ms) as duration from sg group by 1),
+ce as (select source_id, t as start_ms, least(t + 3600000, duration) as end_ms from (select *, unnest(range(0, duration, 3600000)) as t from du where duration > 0)),
+au as (select c.source_id, c.start_ms, b.track_id, least(1.0::double, sum((least(c.end_ms, s.end_ms) - greatest(c.start_ms, s.start_ms))::double / (c.end_ms - c.start_ms)) * max(s.confidence)) as audio
+ from ce c join sg s on s.source_id = c.source_id and c.end_ms > s.start_ms and c.start_ms < s.end_ms join g b on b.source_id = s.source_id and b.speaker = s.speaker group by 1, 2, 3),
+vi as (select source_id, cast(floor(t_ms / 3600000.0) as bigint) * 3600000 as start_ms, track_id, 0.7::double * max(motion) + 0.3::double * avg(motion) as visual from detections group by 1, 2, 3),
+bo as (select source_id, start_ms, track_id, ce.end_ms, coalesce(audio, 0) as audio, coalesce(visual, 0) as visual from (select * from au full join vi using (source_id, start_ms, track_id)) join ce using (source_id, start_ms)),
+pp as (select *, row_number() over (partition by source_id, track_id order by start_ms) as n, round((0.6::double * audio + 0.4::double * visual) * case when visual > 0.5 and audio < 0.1 and loud > 0.5 then 0.3::double else 1 end, 6) as p
+ from (select *, max(audio) over (partition by source_id, start_ms) as loud from bo)),
+hy as (select distinct source_id, track_id, 0::bigint as n, null::bigint as start_ms, null::bigint as end_ms, false as speaking, null::double as confidence, -1000000000000::bigint as since from pp union all
+ select source_id, track_id, n, start_ms, end_ms, now, p, case when now <> speaking then start_ms else since end from
+ (select pp.*, h.since, h.speaking, case when pp.start_ms - h.since < 7200000 then h.speaking when not h.speaking and pp.p >= 0.4 then true when h.speaking and pp.p < 0.25 then false else h.speaking end as now
+  from hy h join pp on pp.source_id = h.source_id and pp.track_id = h.track_id and pp.n = h.n + 1) z),
+br as (select *, sum(b) over (partition by source_id, track_id order by start_ms, end_ms rows unbounded preceding) as isl from
+ (select *, coalesce((lag(speaking) over w <> speaking or start_ms - lag(end_ms) over w > 100)::int, 0) as b from hy where n > 0 window w as (partition by source_id, track_id order by start_ms, end_ms))),
+fu as (select source_id, track_id, any_value(speaking) as speaking, min(start_ms) as start_ms, max(end_ms) as end_ms, list_reduce(list(confidence order by start_ms, end_ms), lambda a, c: (a + c) / 2) as confidence from br group by source_id, track_id, isl)"""
+
+
+@query(with_(INTERVALS, DETECTIONS, EVIDENCE, BINDINGS, FUSED) + "select source_id, track_id, speaking, start_ms, end_ms, floor(confidence * 1e6 + 0.5) / 1e6 as confidence from fu")
 def o121_fuse_active_speaker(spark, sf_dir):
-    return fused(spark, sf_dir)[0].withColumn("confidence", F.round("confidence", 6))
+    return fused(spark, sf_dir)[0].withColumn("confidence", half_up(F.col("confidence")))
 
 
-@query()
+@query(with_(INTERVALS, DETECTIONS, EVIDENCE, BINDINGS, FUSED) + """
+select c.source_id, c.start_ms // 21600000 as window_idx, f.track_id, floor(max(f.confidence) * 1e6 + 0.5) / 1e6 as confidence
+from ce c join fu f on f.source_id = c.source_id and f.speaking and f.confidence >= 0.3 and c.start_ms + 21600000 > f.start_ms and c.start_ms < f.end_ms where c.start_ms % 21600000 = 0 group by 1, 2, 3""")
 def o122_fusion_for_window(spark, sf_dir):
     states, grid = fused(spark, sf_dir)
     windows = grid.filter("t_ms % 21600000 = 0").select("source_id", (F.col("t_ms") / 21_600_000).cast("long").alias("window_idx"), F.col("t_ms").alias("start_ms"), (F.col("t_ms") + 21_600_000).alias("end_ms"))
-    return S.fusion_for_window(states, windows, 0.3).withColumn("confidence", F.round("confidence", 6))
+    return S.fusion_for_window(states, windows, 0.3).withColumn("confidence", half_up(F.col("confidence")))
 
 
 @query(with_(INTERVALS, DETECTIONS) + """
@@ -123,7 +159,17 @@ def o135_argmax_timeline(spark, sf_dir):
     return S.argmax_timeline(states, grid)
 
 
-@query()
+@query(with_(INTERVALS) + """
+, t as (select source_id, event_id as id, start_ms, cls from intervals where event_id % 2 = 0), u as (select source_id, event_id as id, start_ms, cls from intervals where event_id % 2 = 1),
+o as (select source_id, t.id as a, u.id as b, abs(t.start_ms - u.start_ms) as late, t.cls <> u.cls as wrong, row_number() over (partition by source_id order by abs(t.start_ms - u.start_ms), t.id::varchar, u.id::varchar) as n from t join u using (source_id) where abs(t.start_ms - u.start_ms) <= 7200000),
+m as (select distinct source_id, 0::bigint as n, []::bigint[] as used, false as ok, null::bigint as late, null::boolean as wrong from o union all
+ select source_id, n, case when ok2 then used || [a, b] else used end, ok2, late2, wrong2 from
+ (select o.source_id, o.n, m.used, o.a, o.b, o.late as late2, o.wrong as wrong2, not list_contains(m.used, o.a) and not list_contains(m.used, o.b) as ok2 from m join o on o.source_id = m.source_id and o.n = m.n + 1) z),
+c as (select source_id, count(*) as matched, avg(late) as latency_ms, count(*) filter (wrong) as errors from m where ok group by 1),
+k as (select source_id, coalesce(a.n, 0) as n_truth, coalesce(b.n, 0) as n_got, coalesce(matched, 0) as matched, coalesce(errors, 0) as identity_errors, latency_ms
+ from (select source_id, count(*) as n from t group by 1) a full join (select source_id, count(*) as n from u group by 1) b using (source_id) left join c using (source_id)),
+q as (select *, matched::double / nullif(n_got, 0) as pr, matched::double / nullif(n_truth, 0) as re from k)
+select source_id, n_truth, n_got, matched, identity_errors, round(pr, 6) as precision, round(re, 6) as recall, round(2 * pr * re / nullif(pr + re, 0), 6) as f1, round(latency_ms, 6) as latency_ms from q""")
 def o76_switch_metrics(spark, sf_dir):
     i = X.intervals(spark, sf_dir)
     truth = i.filter("event_id % 2 = 0").select("source_id", F.col("event_id").alias("switch_id"), F.col("start_ms").alias("t_ms"), F.col("cls").alias("speaker"))

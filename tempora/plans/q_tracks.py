@@ -86,7 +86,10 @@ def o98_containment_violations(spark, sf_dir):
     return T.containment_violations(d.filter("event_id % 4 = 0").withColumn("crop_x", F.round(F.col("cx") / 2)), d.filter("event_id % 4 <> 0"))
 
 
-@query()
+@query(with_(INTERVALS, DETECTIONS) + """
+, d as (select source_id, shot_idx, track_id, event_id, cx, cast(floor(t_ms / 100000.0) as bigint) as t from detections),
+l as (select *, lag(t) over w as pt, lag(cx) over w as px, row_number() over (partition by source_id, shot_idx, track_id order by t desc, event_id desc) as k from d window w as (partition by source_id, shot_idx, track_id order by t, event_id))
+select source_id, shot_idx, track_id, t + 400 as t_ms, round(case when t - pt > 50 and t - pt < 2000 then cx + (cx - px) / (t - pt) * 400 else cx end, 6) as cx from l where k = 1""")
 def o134_extrapolate_position(spark, sf_dir):
     d = detections(spark, sf_dir).withColumn("t_ms", F.floor(F.col("t_ms") / 100_000))
     points = d.groupBy(*T.TRACK).agg((F.max("t_ms") + 400).alias("t_ms"))
@@ -133,7 +136,16 @@ def o123_merged_tracks(spark, sf_dir):
     return T.merged_tracks(persons, seen).drop("shot_idx").withColumn("cx", F.round("cx", 6))
 
 
-@query()
+@query(with_(INTERVALS, DETECTIONS) + """
+, f0 as (select source_id, cast(floor(t_ms / 100000.0) as bigint) as t, case when event_id % 5 <> 0 then case when track_id < 2 then 'a|b' else 'a|c' end end as pair, event_id % 4 as people from detections),
+f as (select *, row_number() over (partition by source_id order by t, pair nulls first, people) as n from f0),
+r as (select distinct source_id, 0::bigint as n, null::bigint as t, 'single' as mode, null::varchar as held, null::varchar as seen, null::bigint as since, null::bigint as gone from f union all
+ select source_id, n, t, mode2, case when leaves then null when enters then pair else held end, pair, since2, case when mode2 = 'dual' then gone2 end from
+ (select *, case when leaves then 'single' when enters then 'dual' else mode end as mode2 from
+ (select *, mode = 'dual' and (people >= 3 or (not here and t - gone2 >= 60)) as leaves, mode <> 'dual' and pair is not null and people < 3 and t - since2 >= 40 as enters from
+ (select f.*, r.mode, r.held, coalesce(f.pair = r.held, false) as here, case when f.pair is null then null when f.pair = r.seen then r.since else f.t end as since2,
+   case when coalesce(f.pair = r.held, false) then null else coalesce(r.gone, f.t) end as gone2 from r join f on f.source_id = r.source_id and f.n = r.n + 1) a) b) c)
+select source_id, 0::bigint as shot_idx, t as t_ms, mode, held as pair from r where n > 0""")
 def o125_layout_state_machine(spark, sf_dir):
     d = detections(spark, sf_dir)
     pair = F.when(F.col("event_id") % 5 != 0, F.when(F.col("track_id") < 2, "a|b").otherwise("a|c"))
