@@ -75,6 +75,20 @@ def joined_to_keys(rows: DataFrame, keys: DataFrame, key: str, total: int) -> Da
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key))
 
 
+def left_joined_to_keys(rows: DataFrame, keys: DataFrame, key: str, total: int, salts: int = 64) -> DataFrame:
+    """Left join of ``rows``, ``total`` in number, with ``keys``: one row for each key and in ``n`` how many of the rows have it.
+
+    Rows of a hot key are dealt over ``salts`` copies of its row, so no task gets them all; what is broadcast is the fewer than HOT hot keys themselves, never what
+    they bring. ``keys`` is read twice and should be a written table.
+    """
+    is_hot = F.col("n") * HOT > total
+    hot, salt = unused("hot", rows, keys), unused("salt", rows, keys)
+    marked = rows.join(F.broadcast(keys.filter(is_hot).select(key, F.lit(True).alias(hot))), key, "left")
+    dealt = marked.withColumn(salt, F.when(F.col(hot), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int")).drop(hot)
+    spread = keys.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return dealt.join(spread.hint("merge"), [key, salt], "left").drop(salt)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,8 @@ Every line is normalised (lower case, digits to 0, runs of white space to one sp
 document contents that hold it are counted per host. Lines in more than ``max_docs`` of them are removed, and a
 document is rejected if more than ``max_removed`` of its words go with them. Exact copies of a document count once,
 so copies do not condemn each other. Only built-in functions. ``clean_documents`` gives the texts without their common lines; they are
-read twice and shuffled at most once, for the join with the numbers of the lines to remove.
+read twice and shuffled at most once, for the join with the numbers of the lines to remove. Lines that a large part of all rows holds are
+marked where they are, and rows of one content with very many copies are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_word, let, lines_of, without_white, word_array, written
+from .common import has_word, joined_to_keys, left_joined_to_keys, let, lines_of, without_white, word_array, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -45,10 +46,11 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_hashes(documents: DataFrame, host: str) -> DataFrame:
-    """host, key (column ``_key``), content and lines (hash and number, from 0, of every line with a word)."""
+    """key (column ``_key``), content and lines (hash with the host, and number, from 0, of every line with a word)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    numbered = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.when(has_word(x), F.struct(F.xxhash64(normalised_line(x)).alias("h"), i.alias("at")))), lambda x: x.isNotNull())
-    return documents.select(F.col(host).alias("host"), F.col("_key").alias("key"), F.xxhash64(text).alias("content"), numbered.alias("lines"))
+    hashed = lambda x: F.xxhash64(F.col(host).isNull(), F.col(host), normalised_line(x))
+    numbered = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.when(has_word(x), F.struct(hashed(x).alias("h"), i.alias("at")))), lambda x: x.isNotNull())
+    return documents.select(F.col("_key").alias("key"), F.xxhash64(text).alias("content"), numbered.alias("lines"))
 
 
 def document_counts(documents: DataFrame, cleaned: str) -> DataFrame:
@@ -78,13 +80,15 @@ def clean_documents(
     # what a text loses depends on it and its host alone
     key = F.xxhash64(F.col(host).isNull(), F.col(host), F.coalesce(F.col("text"), F.lit("")))
     lines = written(line_hashes(documents.withColumn("_key", key), host), "line-hashes")
-    each = lines.select("host", "key", "content", F.explode("lines").alias("l")).select("host", "key", "content", F.col("l.h").alias("line"), F.col("l.at").alias("at"))
-    common = each.groupBy("host", "line").agg(F.count_distinct("content").alias("docs")).filter(F.col("docs") > max_docs)
-    common = common.select(F.col("host").alias("c_host"), F.col("line").alias("c_line"))
-    gone = each.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line"))).groupBy("key").agg(F.collect_set("at").alias("_gone"))
-    joined = documents.select("doc_id", "text", F.col(host).alias("host"), key.alias("key")).join(gone, "key", "left")
+    each = lines.select("key", "content", F.explode("lines").alias("l")).select("key", "content", F.col("l.h").alias("line"), F.col("l.at").alias("at"))
+    common = each.groupBy("line").agg(F.count_distinct("content").alias("docs"), F.count("*").alias("n")).filter(F.col("docs") > max_docs).select("line", "n")
+    sizes = lines.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("lines"), F.count("*").alias("rows")).first()
+    found = joined_to_keys(each.select("key", "line", "at"), written(common, "common-lines"), "line", sizes["lines"])
+    # rows of one key lose the same lines
+    gone = found.groupBy("key").agg(F.collect_set("at").alias("_gone"), F.count("*").alias("n")).withColumn("n", F.floor(F.col("n") / F.size("_gone")))
+    joined = left_joined_to_keys(documents.select("doc_id", "text", key.alias("key")), written(gone, "lines-to-cut"), "key", sizes["rows"])
     left = let(lines_of(F.col("text")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
-    cleaned = joined.select("doc_id", "text", "host", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("cleaned"))
+    cleaned = joined.select("doc_id", "text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("cleaned"))
     counts = document_counts(cleaned, "cleaned")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     judged = counts.withColumn("removed_words", F.col("n_words") - F.col("left_words")).withColumn("base_failed", failed)

@@ -394,6 +394,18 @@ def test_pieces_of_documents_encode_like_whole_texts():
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in plain.encode_batch(texts.to_pylist(), add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+def test_quality_of_a_line_and_a_text_that_half_of_all_rows_hold(spark, monkeypatch, hot):
+    monkeypatch.setattr("tempora.llm.common.HOT", hot)
+    own = lambda i: f"only document {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} says so"
+    rows = [(i, f"share this page\n{own(i)}\nshare  THIS page", "s" if i % 3 else None) for i in range(60)]
+    rows += [(100 + i, "share this page\nthe same in all copies", "s") for i in range(90)] + [(200 + i, own(i), "t") for i in range(5)] + [(300, None, None), (301, "", "s")]
+    got = quality.clean_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=15, min_words=2).collect()
+    left = lambda t: None if t is None else "\n".join(x for x in t.split("\n") if x.lower().split() != ["share", "this", "page"])
+    assert {r.doc_id: r.text for r in got} == {d: left(t) for d, t, _ in rows} and len(got) == len(rows)
+    assert all(r.removed_words == (6 if r.doc_id < 60 else 3 if r.doc_id < 200 else 0) for r in got)
+
+
 def test_common_lines_reject_documents(spark):
     line = "this line is shared by every document of the host and says nothing at all"
     letters = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
