@@ -33,3 +33,8 @@ def null(kind: str) -> Column:
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+
+
+def half_up(x: Column) -> Column:
+    """Six decimals, halves up: what lies within 1e-12 under a half counts as one, so the order in which a sum was made does not decide."""
+    return F.floor(x * 1e6 + 0.500001) / 1e6

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fold import joined, ordered
+from ..functions.fold import half_up, joined, ordered
 from ..functions.text import normalize_token
 from ..functions.windows import by_time, so_far
 from .intervals import BUCKET_MS, interval_join, interval_join_levels
@@ -139,7 +139,7 @@ def fuse_active_speaker(grid: DataFrame, audio: DataFrame, visual: DataFrame, bi
     loudest = F.max("audio").over(Window.partitionBy("source_id", "start_ms"))
     conflict = (F.col("visual") > 0.5) & (F.col("audio") < 0.1) & (loudest > 0.5)
     raw = 0.6 * F.col("audio") + 0.4 * F.col("visual")
-    scored = both.withColumn("p", F.round(F.when(conflict, raw * 0.3).otherwise(raw), 6))
+    scored = both.withColumn("p", half_up(F.when(conflict, raw * 0.3).otherwise(raw)))
     listed = scored.groupBy("source_id", "track_id").agg(ordered("start_ms", "cell_end", "p").alias("s"))
     kind = "struct<start_ms:bigint,end_ms:bigint,speaking:boolean,confidence:double>"
     start = F.expr(f"named_struct('out', cast(array() as array<{kind}>), 'on', false, 'since', cast(-1000000000000 as bigint))")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.fold import half_up
 from ..operators import islands as I
 from ..operators import series as SE
 from ..operators import speakers as S
@@ -108,11 +109,6 @@ def fused(spark, sf_dir):
     return S.fuse_active_speaker(grid, seg, det, S.bind_speakers_to_tracks(seg, det), 0.4, 0.25, 2 * hour, hour), grid
 
 
-def half_up(x):
-    """Six decimals in plain double arithmetic: means of six-decimal numbers often lie halfway between two, where engines' roundings differ."""
-    return F.floor(x * 1e6 + 0.5) / 1e6
-
-
 FUSED = """
 sg as (select source_id, cls as speaker, start_ms, end_ms, (event_id * 7) % 100 / 100.0::double as confidence from intervals where cls in ('purchase', 'signup')),
 du as (select source_id, max(end_ms) as duration from sg group by 1),
@@ -121,7 +117,7 @@ au as (select c.source_id, c.start_ms, b.track_id, least(1.0::double, sum((least
  from ce c join sg s on s.source_id = c.source_id and c.end_ms > s.start_ms and c.start_ms < s.end_ms join g b on b.source_id = s.source_id and b.speaker = s.speaker group by 1, 2, 3),
 vi as (select source_id, cast(floor(t_ms / 3600000.0) as bigint) * 3600000 as start_ms, track_id, 0.7::double * max(motion) + 0.3::double * avg(motion) as visual from detections group by 1, 2, 3),
 bo as (select source_id, start_ms, track_id, ce.end_ms, coalesce(audio, 0) as audio, coalesce(visual, 0) as visual from (select * from au full join vi using (source_id, start_ms, track_id)) join ce using (source_id, start_ms)),
-pp as (select *, row_number() over (partition by source_id, track_id order by start_ms) as n, round((0.6::double * audio + 0.4::double * visual) * case when visual > 0.5 and audio < 0.1 and loud > 0.5 then 0.3::double else 1 end, 6) as p
+pp as (select *, row_number() over (partition by source_id, track_id order by start_ms) as n, floor((0.6::double * audio + 0.4::double * visual) * case when visual > 0.5 and audio < 0.1 and loud > 0.5 then 0.3::double else 1 end * 1e6 + 0.500001) / 1e6 as p
  from (select *, max(audio) over (partition by source_id, start_ms) as loud from bo)),
 hy as (select distinct source_id, track_id, 0::bigint as n, null::bigint as start_ms, null::bigint as end_ms, false as speaking, null::double as confidence, -1000000000000::bigint as since from pp union all
  select source_id, track_id, n, start_ms, end_ms, now, p, case when now <> speaking then start_ms else since end from
@@ -132,13 +128,13 @@ br as (select *, sum(b) over (partition by source_id, track_id order by start_ms
 fu as (select source_id, track_id, any_value(speaking) as speaking, min(start_ms) as start_ms, max(end_ms) as end_ms, list_reduce(list(confidence order by start_ms, end_ms), lambda a, c: (a + c) / 2) as confidence from br group by source_id, track_id, isl)"""
 
 
-@query(with_(INTERVALS, DETECTIONS, EVIDENCE, BINDINGS, FUSED) + "select source_id, track_id, speaking, start_ms, end_ms, floor(confidence * 1e6 + 0.5) / 1e6 as confidence from fu")
+@query(with_(INTERVALS, DETECTIONS, EVIDENCE, BINDINGS, FUSED) + "select source_id, track_id, speaking, start_ms, end_ms, floor(confidence * 1e6 + 0.500001) / 1e6 as confidence from fu")
 def o121_fuse_active_speaker(spark, sf_dir):
     return fused(spark, sf_dir)[0].withColumn("confidence", half_up(F.col("confidence")))
 
 
 @query(with_(INTERVALS, DETECTIONS, EVIDENCE, BINDINGS, FUSED) + """
-select c.source_id, c.start_ms // 21600000 as window_idx, f.track_id, floor(max(f.confidence) * 1e6 + 0.5) / 1e6 as confidence
+select c.source_id, c.start_ms // 21600000 as window_idx, f.track_id, floor(max(f.confidence) * 1e6 + 0.500001) / 1e6 as confidence
 from ce c join fu f on f.source_id = c.source_id and f.speaking and f.confidence >= 0.3 and c.start_ms + 21600000 > f.start_ms and c.start_ms < f.end_ms where c.start_ms % 21600000 = 0 group by 1, 2, 3""")
 def o122_fusion_for_window(spark, sf_dir):
     states, grid = fused(spark, sf_dir)
