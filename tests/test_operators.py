@@ -220,3 +220,13 @@ def test_rank_range_of_small_sources(spark):
     assert sorted((r.source_id, r.rank) for r in rank.select_rank_range(df, 2, 3).filter("selected").collect()) == [(1, 2), (1, 3)]
     with pytest.raises(ValueError):
         rank.select_rank_range(df, 3, 2)
+
+
+def test_interval_joins_are_never_broadcast(spark):
+    # a day lists 2880 equal rows that pack into a few bytes, so Spark's estimate is no guide
+    rows = spans(spark, [(s, 0, 86_400_000) for s in range(20)])
+    for join in (intervals.interval_join, intervals.interval_join_levels):
+        pairs = join(rows, rows)
+        assert pairs.count() == 20
+        plan = pairs._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
