@@ -230,3 +230,31 @@ def test_interval_joins_are_never_broadcast(spark):
         assert pairs.count() == 20
         plan = pairs._jdf.queryExecution().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_candidates_hold_twenty_words_without_a_join(spark):
+    from tempora.sources import fixtures
+
+    turns = spark.createDataFrame([(s, t, "a", " ".join(f"w{t}x{k}" for k in range(n))) for s, t, n in ((1, 0, 9), (1, 1, 21), (2, 0, 1), (3, 0, 40))], "source_id long, turn int, speaker string, text string")
+    w = fixtures.words_of(turns)
+    found = fixtures.candidates(w)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    said = {}
+    for r in w.collect():
+        said.setdefault(r.source_id, {})[r.word_idx] = r
+    got = {(r.source_id, r.cand_id): (r.start_ms, r.end_ms, r.hook) for r in found.collect()}
+    want = {}
+    for s, ws in said.items():
+        for first in range(0, len(ws), 8):
+            held = [ws[i] for i in range(first, min(first + 20, len(ws)))]
+            want[s, first // 8] = (held[0].start_ms, held[-1].end_ms, " ".join(x.text for x in held[:10]))
+    assert got == want
+
+
+def test_phrases_longer_than_the_lookahead_are_aligned_too(spark):
+    said = [f"tok{i % 23}en" for i in range(90)]
+    w = words(spark, [(t, i * 400, i * 400 + 300) for i, t in enumerate(said)])
+    phrases = [(1, k, " ".join(said[s : s + n]), s * 400, (s + n) * 400) for k, (s, n) in enumerate([(5, 3), (30, scoring.LOOKAHEAD), (40, scoring.LOOKAHEAD + 1), (10, 30), (85, 5), (88, 2)])]
+    p = spark.createDataFrame(phrases, "source_id long, cand_id long, text string, start_ms long, end_ms long")
+    found = {r.cand_id: (r.first_idx, r.last_idx, r.match) for r in scoring.align_phrase(p, w, before_ms=0, after_ms=None, max_tokens=None, tie="first", fallback=False).collect()}
+    assert found == {k: (s, s + n - 1, 1.0) for k, (s, n) in enumerate([(5, 3), (30, 12), (40, 13), (10, 30), (85, 5), (88, 2)])}
