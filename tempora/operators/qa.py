@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
-from .intervals import interval_join
+from .intervals import interval_join_levels
 
 
 def classification_metrics(predictions: DataFrame, threshold: float = 0.65) -> DataFrame:
@@ -69,7 +69,7 @@ def caption_event_qa(events: DataFrame, words: DataFrame) -> tuple[DataFrame, Da
 
 def box_collisions(boxes: DataFrame, least_ms: int = 20, least_px: float = 2.0) -> DataFrame:
     """Pairs of a clip's boxes (id, start_ms, end_ms, x, y, w, h) that are seen together over least_ms and overlap by over least_px both ways."""
-    pairs = interval_join(boxes, boxes, ["clip_id"]).filter("id < r_id")
+    pairs = interval_join_levels(boxes, boxes, ["clip_id"]).filter("id < r_id")
     both = lambda a, n: F.least(F.col(a) + F.col(n), F.col(f"r_{a}") + F.col(f"r_{n}")) - F.greatest(a, f"r_{a}")
     seen = F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")
     return pairs.filter((seen > least_ms) & (both("x", "w") > least_px) & (both("y", "h") > least_px)).select("clip_id", F.col("id").alias("a"), F.col("r_id").alias("b"))

@@ -258,3 +258,15 @@ def test_phrases_longer_than_the_lookahead_are_aligned_too(spark):
     p = spark.createDataFrame(phrases, "source_id long, cand_id long, text string, start_ms long, end_ms long")
     found = {r.cand_id: (r.first_idx, r.last_idx, r.match) for r in scoring.align_phrase(p, w, before_ms=0, after_ms=None, max_tokens=None, tie="first", fallback=False).collect()}
     assert found == {k: (s, s + n - 1, 1.0) for k, (s, n) in enumerate([(5, 3), (30, 12), (40, 13), (10, 30), (85, 5), (88, 2)])}
+
+
+#: Milliseconds whose 30-second buckets are more than Spark lists in one row.
+AGES = 10**14
+
+
+def test_box_collisions_of_very_long_boxes(spark):
+    from tempora.operators import qa
+
+    rows = [(1, 1, 0, AGES, 0.0, 0.0, 9.0, 9.0), (1, 2, 500, 900, 5.0, 5.0, 9.0, 9.0), (1, 3, AGES - 10, AGES, 5.0, 5.0, 9.0, 9.0)]
+    boxes = spark.createDataFrame(rows, "clip_id long, id long, start_ms long, end_ms long, x double, y double, w double, h double")
+    assert [tuple(r) for r in qa.box_collisions(boxes).collect()] == [(1, 1, 2)]
