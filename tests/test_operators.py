@@ -270,3 +270,10 @@ def test_box_collisions_of_very_long_boxes(spark):
     rows = [(1, 1, 0, AGES, 0.0, 0.0, 9.0, 9.0), (1, 2, 500, 900, 5.0, 5.0, 9.0, 9.0), (1, 3, AGES - 10, AGES, 5.0, 5.0, 9.0, 9.0)]
     boxes = spark.createDataFrame(rows, "clip_id long, id long, start_ms long, end_ms long, x double, y double, w double, h double")
     assert [tuple(r) for r in qa.box_collisions(boxes).collect()] == [(1, 1, 2)]
+
+
+def test_reactions_of_very_long_candidates(spark):
+    cands = spark.createDataFrame([(1, 7, 0, AGES), (1, 8, 0, 10)], "source_id long, cand_id long, start_ms long, end_ms long")
+    events = spark.createDataFrame([(1, "laughter", 1.0, 5000, 6000), (1, "cheer", 1.0, 0, AGES)], "source_id long, event_type string, confidence double, start_ms long, end_ms long")
+    found = {r.cand_id: (r.n_events, r.boost) for r in scoring.events_for_candidates(cands, events).collect()}
+    assert found == {7: (2, 0.08), 8: (1, 0.03)}
