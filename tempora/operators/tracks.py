@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import clamp, ordered
 from ..functions.shared import written
-from .intervals import interval_join
+from .intervals import interval_join, interval_join_levels
 
 SHOT = ["source_id", "shot_idx"]
 TRACK = [*SHOT, "track_id"]
@@ -17,7 +17,7 @@ TRACK = [*SHOT, "track_id"]
 def shot_motion_profile(diffs: DataFrame, shots: DataFrame) -> DataFrame:
     """Mean frame difference of each shot. diffs: source_id, t_ms, diff. shots: source_id, shot_idx, start_ms, end_ms."""
     points = diffs.select("source_id", "diff", F.col("t_ms").alias("start_ms"), (F.col("t_ms") + 1).alias("end_ms"))
-    return interval_join(points, shots).groupBy("source_id", F.col("r_shot_idx").alias("shot_idx")).agg(F.avg("diff").alias("motion"), F.count("*").alias("n_frames"))
+    return interval_join_levels(points, shots).groupBy("source_id", F.col("r_shot_idx").alias("shot_idx")).agg(F.avg("diff").alias("motion"), F.count("*").alias("n_frames"))
 
 
 def camera_mode(detections: DataFrame, width: float = 1920.0) -> DataFrame:

@@ -277,3 +277,11 @@ def test_reactions_of_very_long_candidates(spark):
     events = spark.createDataFrame([(1, "laughter", 1.0, 5000, 6000), (1, "cheer", 1.0, 0, AGES)], "source_id long, event_type string, confidence double, start_ms long, end_ms long")
     found = {r.cand_id: (r.n_events, r.boost) for r in scoring.events_for_candidates(cands, events).collect()}
     assert found == {7: (2, 0.08), 8: (1, 0.03)}
+
+
+def test_motion_of_a_very_long_shot(spark):
+    from tempora.operators import tracks
+
+    diffs = spark.createDataFrame([(1, 5, 0.25), (1, AGES - 5, 0.75), (1, AGES + 5, 9.0)], "source_id long, t_ms long, diff double")
+    shots = spark.createDataFrame([(1, 3, 0, AGES)], "source_id long, shot_idx long, start_ms long, end_ms long")
+    assert [(r.shot_idx, r.motion, r.n_frames) for r in tracks.shot_motion_profile(diffs, shots).collect()] == [(3, 0.5, 2)]
