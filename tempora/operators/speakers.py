@@ -164,7 +164,7 @@ def fusion_for_window(states: DataFrame, windows: DataFrame, least: float = 0.5)
 def argmax_timeline(states: DataFrame, grid: DataFrame, least: float = 0.5) -> DataFrame:
     """The most probable track at each grid instant (over ``least``; ties to the lower id), only where it changes."""
     points = grid.select("source_id", F.col("t_ms").alias("start_ms"), (F.col("t_ms") + 1).alias("end_ms"))
-    pairs = interval_join(points, states.filter(F.col("confidence") >= least).select("source_id", "track_id", "confidence", "start_ms", "end_ms"))
+    pairs = interval_join_levels(points, states.filter(F.col("confidence") >= least).select("source_id", "track_id", "confidence", "start_ms", "end_ms"))
     best = pairs.groupBy("source_id", F.col("start_ms").alias("t_ms")).agg(F.min(F.struct((-F.col("r_confidence")).alias("c"), F.col("r_track_id").alias("track_id"))).alias("b"))
     w = Window.partitionBy("source_id").orderBy("t_ms")
     return best.select("source_id", "t_ms", F.col("b.track_id").alias("track_id")).withColumn("_p", F.lag("track_id").over(w)).filter("_p is null or _p <> track_id").drop("_p")

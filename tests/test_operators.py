@@ -285,3 +285,9 @@ def test_motion_of_a_very_long_shot(spark):
     diffs = spark.createDataFrame([(1, 5, 0.25), (1, AGES - 5, 0.75), (1, AGES + 5, 9.0)], "source_id long, t_ms long, diff double")
     shots = spark.createDataFrame([(1, 3, 0, AGES)], "source_id long, shot_idx long, start_ms long, end_ms long")
     assert [(r.shot_idx, r.motion, r.n_frames) for r in tracks.shot_motion_profile(diffs, shots).collect()] == [(3, 0.5, 2)]
+
+
+def test_timeline_of_a_very_long_state(spark):
+    states = spark.createDataFrame([(1, 4, 0.9, 0, AGES), (1, 5, 0.95, 100, 200)], "source_id long, track_id int, confidence double, start_ms long, end_ms long")
+    grid = spark.createDataFrame([(1, 0), (1, 150), (1, AGES - 1), (1, AGES)], "source_id long, t_ms long")
+    assert sorted((r.t_ms, r.track_id) for r in speakers.argmax_timeline(states, grid).collect()) == [(0, 4), (150, 5), (AGES - 1, 4)]
