@@ -174,7 +174,7 @@ def switch_metrics(truth: DataFrame, got: DataFrame, tolerance_ms: int = 1500) -
     """Per source: matched switches (greedy nearest, one to one), precision, recall, f1, mean latency, identity errors. Both: source_id, switch_id, t_ms, speaker."""
     t = truth.select("source_id", "switch_id", "speaker", F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
     g = got.select("source_id", "switch_id", "speaker", F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
-    pairs = interval_join(t, g, mode="closed", tolerance_ms=tolerance_ms).withColumn("w", -F.abs(F.col("start_ms") - F.col("r_start_ms")).cast("double"))
+    pairs = interval_join_levels(t, g, mode="closed", tolerance_ms=tolerance_ms).withColumn("w", -F.abs(F.col("start_ms") - F.col("r_start_ms")).cast("double"))
     matched = greedy_one_to_one(pairs, "switch_id", "r_switch_id", "w").withColumnRenamed("r_switch_id", "got_id")
     named = matched.join(truth.select("source_id", "switch_id", F.col("speaker").alias("ts"), F.col("t_ms").alias("tt")), ["source_id", "switch_id"]).join(got.select("source_id", F.col("switch_id").alias("got_id"), F.col("speaker").alias("gs"), F.col("t_ms").alias("gt")), ["source_id", "got_id"])
     m = named.groupBy("source_id").agg(F.count("*").alias("matched"), F.avg(F.abs(F.col("tt") - F.col("gt"))).alias("latency_ms"), F.count_if(F.col("ts") != F.col("gs")).alias("identity_errors"))

@@ -291,3 +291,10 @@ def test_timeline_of_a_very_long_state(spark):
     states = spark.createDataFrame([(1, 4, 0.9, 0, AGES), (1, 5, 0.95, 100, 200)], "source_id long, track_id int, confidence double, start_ms long, end_ms long")
     grid = spark.createDataFrame([(1, 0), (1, 150), (1, AGES - 1), (1, AGES)], "source_id long, t_ms long")
     assert sorted((r.t_ms, r.track_id) for r in speakers.argmax_timeline(states, grid).collect()) == [(0, 4), (150, 5), (AGES - 1, 4)]
+
+
+def test_switches_within_a_very_wide_tolerance(spark):
+    kind = "source_id long, switch_id long, t_ms long, speaker string"
+    truth, got = spark.createDataFrame([(1, 1, 0, "a"), (1, 2, AGES, "b")], kind), spark.createDataFrame([(1, 11, 40, "a"), (1, 12, AGES - 70, "c")], kind)
+    r = speakers.switch_metrics(truth, got, AGES).first()
+    assert (r.matched, r.identity_errors, r.latency_ms) == (2, 1, 55.0)
