@@ -134,7 +134,8 @@ def fuse_active_speaker(grid: DataFrame, audio: DataFrame, visual: DataFrame, bi
     a = heard.groupBy("source_id", "start_ms", "end_ms", F.col("r_track_id").alias("track_id")).agg(F.least(F.lit(1.0), F.sum(share) * F.max("r_confidence")).alias("audio"))
     seen_at = visual.select("source_id", "track_id", "motion", (F.floor(F.col("t_ms") / step_ms) * step_ms).alias("start_ms"))
     v = seen_at.groupBy("source_id", "start_ms", "track_id").agg((0.7 * F.max("motion") + 0.3 * F.avg("motion")).alias("visual"))
-    both = a.join(v, ["source_id", "start_ms", "track_id"], "full").join(cells.withColumnRenamed("end_ms", "cell_end"), ["source_id", "start_ms"])
+    # a grid packs to almost nothing, so Spark would broadcast it whole
+    both = a.join(v, ["source_id", "start_ms", "track_id"], "full").join(cells.withColumnRenamed("end_ms", "cell_end").hint("merge"), ["source_id", "start_ms"])
     both = both.withColumn("audio", F.coalesce("audio", F.lit(0.0))).withColumn("visual", F.coalesce("visual", F.lit(0.0)))
     loudest = F.max("audio").over(Window.partitionBy("source_id", "start_ms"))
     conflict = (F.col("visual") > 0.5) & (F.col("audio") < 0.1) & (loudest > 0.5)

@@ -298,3 +298,13 @@ def test_switches_within_a_very_wide_tolerance(spark):
     truth, got = spark.createDataFrame([(1, 1, 0, "a"), (1, 2, AGES, "b")], kind), spark.createDataFrame([(1, 11, 40, "a"), (1, 12, AGES - 70, "c")], kind)
     r = speakers.switch_metrics(truth, got, AGES).first()
     assert (r.matched, r.identity_errors, r.latency_ms) == (2, 1, 55.0)
+
+
+def test_the_grid_of_active_speakers_is_merged(spark):
+    cells = spark.createDataFrame([(1, 0, 1000)], "source_id long, t_ms long, end_ms long")
+    audio = spark.createDataFrame([(1, "a", 0, 900, 0.9)], "source_id long, speaker string, start_ms long, end_ms long, confidence double")
+    visual = spark.createDataFrame([(1, 0, 100, 0.9)], "source_id long, track_id int, t_ms long, motion double")
+    bound = spark.createDataFrame([(1, "a", 0)], "source_id long, speaker string, track_id int")
+    fused = speakers.fuse_active_speaker(cells, audio, visual, bound)
+    assert fused.count() == 1
+    assert fused._jdf.queryExecution().analyzed().toString().count("ResolvedHint (strategy=merge)") == 2
