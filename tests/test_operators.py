@@ -308,3 +308,11 @@ def test_the_grid_of_active_speakers_is_merged(spark):
     fused = speakers.fuse_active_speaker(cells, audio, visual, bound)
     assert fused.count() == 1
     assert fused._jdf.queryExecution().analyzed().toString().count("ResolvedHint (strategy=merge)") == 2
+
+
+def test_snapping_ends_broadcasts_durations_alone(spark):
+    w = words(spark, [("so", 0, 400), ("it", 500, 900), ("ends.", 1000, 1500), ("then", 9000, 9500), ("more.", 9600, 9900)])
+    kind = "source_id long, cand_id long, snapped_start long, end_ms long, payoff_end long, payoff_incomplete boolean, must_extend boolean, floor_ms long, low_confidence boolean"
+    found = boundaries.snap_end(spark.createDataFrame([(1, 0, 0, 1400, None, None, None, None, None)], kind), w, spark.createDataFrame([(1, 9900)], "source_id long, duration_ms long"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") - plan.count("ResolvedHint (strategy=merge)") == 1
