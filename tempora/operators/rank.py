@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import ordered
-from ..functions.shared import written
+from ..functions.shared import SPREAD, written
 from .intervals import interval_join
 
 
@@ -94,35 +94,39 @@ def select_rank_range(ranked: DataFrame, lo: int, hi: int) -> DataFrame:
 def tfidf(candidates: DataFrame, words: DataFrame) -> DataFrame:
     """source_id, cand_id, term, weight: single words and pairs in a candidate, tf = n / all, idf = ln(candidates / df) + 1, length one. A long table, no vectors.
 
-    A term's document frequency comes from a partial count and a join, so a word that all candidates have does not meet in one window; the windows are of one candidate each.
+    The words of candidates are dealt by source once; counts of terms, document frequencies and lengths find them in place, so terms are never shuffled.
     """
-    inside = interval_join(words.select("source_id", "word_idx", F.lower("text").alias("text"), "start_ms", "end_ms"), candidates.select("source_id", "cand_id", "start_ms", "end_ms"))
-    w = Window.partitionBy("source_id", "r_cand_id").orderBy("start_ms", "word_idx")
-    pairs = inside.withColumn("next", F.lead("text").over(w))
-    terms = pairs.select("source_id", F.col("r_cand_id").alias("cand_id"), F.explode(F.when(F.col("next").isNull(), F.array("text")).otherwise(F.array(F.col("text"), F.concat_ws(" ", "text", "next")))).alias("term"))
-    tf = written(terms.groupBy("source_id", "cand_id", "term").agg(F.count("*").alias("n")), "terms")  # counted again by term, and joined
-    df = tf.groupBy("source_id", "term").agg(F.count("*").alias("df"))
-    docs = candidates.groupBy("source_id").agg(F.count("*").alias("docs"))
-    total = F.sum("n").over(Window.partitionBy("source_id", "cand_id"))
-    weighted = tf.join(df, ["source_id", "term"]).withColumn("tf", F.col("n") / total).join(docs, "source_id").withColumn("raw", F.col("tf") * (F.log(F.col("docs") / F.col("df")) + 1))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("source_id", "cand_id")))
+    parts = 2 * SPREAD * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = candidates.select("source_id", "cand_id", "start_ms", "end_ms", F.count("*").over(Window.partitionBy("source_id")).alias("docs"))
+    inside = interval_join(words.select("source_id", "word_idx", F.lower("text").alias("text"), "start_ms", "end_ms"), counted)
+    dealt = inside.select("source_id", F.col("r_cand_id").alias("cand_id"), F.col("r_docs").alias("docs"), "start_ms", "word_idx", "text").repartition(parts, "source_id")
+    pairs = dealt.withColumn("next", F.lead("text").over(Window.partitionBy("source_id", "cand_id").orderBy("start_ms", "word_idx")))
+    terms = pairs.select("source_id", "cand_id", "docs", F.explode(F.when(F.col("next").isNull(), F.array("text")).otherwise(F.array(F.col("text"), F.concat_ws(" ", "text", "next")))).alias("term"))
+    tf = terms.groupBy("source_id", "cand_id", "term").agg(F.count("*").alias("n"), F.max("docs").alias("docs"))
+    df = F.count("*").over(Window.partitionBy("source_id", "term"))
+    of = Window.partitionBy("source_id", "cand_id")
+    weighted = tf.withColumn("df", df).withColumn("tf", F.col("n") / F.sum("n").over(of)).withColumn("raw", F.col("tf") * (F.log(F.col("docs") / F.col("df")) + 1))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(of))
     return weighted.select("source_id", "cand_id", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def term_vectors(weights: DataFrame) -> DataFrame:
-    """source_id, cand_id, v: the terms of a candidate in order, with their weights."""
-    return weights.groupBy("source_id", "cand_id").agg(ordered("term", "weight").alias("v"))
+    """source_id, cand_id, v: the terms of a candidate in order, as their numbers in the source (``term``), with their weights (``weight``): two arrays."""
+    number = F.when(F.col("term").isNotNull(), F.dense_rank().over(Window.partitionBy("source_id").orderBy("term")))
+    listed = weights.withColumn("term", number).groupBy("source_id", "cand_id").agg(ordered("term", "weight").alias("v"))
+    return listed.select("source_id", "cand_id", F.struct(F.col("v.term").alias("term"), F.col("v.weight").alias("weight")).alias("v"))
 
 
 def dot(a: Column, b: Column) -> Column:
     """The product of two term vectors, null if they share no term: both in one sorted array, where a shared term's weights are neighbours."""
-    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("sum"))
+    start = F.struct(F.lit(0).alias("term"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("sum"))
+    entries = lambda v: F.zip_with(v["term"], v["weight"], lambda t, w: F.struct(t.alias("term"), w.alias("weight")))
 
     def step(acc: Column, x: Column) -> Column:
         met = F.coalesce(acc["sum"], F.lit(0.0)) + acc["weight"] * x["weight"]
         return F.struct(x["term"].alias("term"), x["weight"].alias("weight"), F.when(x["term"] == acc["term"], met).otherwise(acc["sum"]).alias("sum"))
 
-    return F.aggregate(F.sort_array(F.concat(a, b)), start, step, lambda acc: acc["sum"])
+    return F.aggregate(F.sort_array(F.concat(entries(a), entries(b))), start, step, lambda acc: acc["sum"])
 
 
 def cosine_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -36,3 +36,18 @@ def test_words_are_dealt_finely_and_ordered_once(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert f", {4 * parts})" in planned(w) or f", {4 * parts}), REPARTITION" in planned(w)
     assert planned(w).count("Sort [") == 2  # the texts, and the words
+
+
+def test_terms_are_weighed_where_words_were_dealt(spark):
+    w = written(spoken(spark, turns_of(4)), "words")
+    c = written(fixtures.candidates(w), "candidates")
+    weights = rank.tfidf(c, w)
+    # words and candidates for their join, and the words of candidates by source
+    assert planned(weights).count("Exchange hashpartitioning") <= 4 and "ObjectHashAggregate" not in planned(weights)
+    vectors = {(r.source_id, r.cand_id): r.v for r in rank.term_vectors(weights).collect()}
+    long = {}
+    for r in weights.collect():
+        long.setdefault((r.source_id, r.cand_id), {})[r.term] = r.weight
+    assert set(vectors) == set(long)
+    for k, v in vectors.items():
+        assert v.term == sorted(v.term) and v.weight == [long[k][t] for t in sorted(long[k])]
