@@ -21,17 +21,13 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(*rank_order())))
 
 
-def conflicts(ranked: DataFrame, start_ms: int, end_ms: int, overlap: float) -> DataFrame:
-    """source_id, worse, better (ranks): pairs of a source that cannot both stay, once each.
+def conflicts(ranked: DataFrame, overlap: float) -> DataFrame:
+    """source_id, worse, better (ranks): pairs of a source that cannot both stay, once each, of rows from ``_with_near``.
 
-    Near ones meet in buckets of start_ms (the worse one looks into its own and both neighbours), overlapping ones of the same hook in an interval join.
+    Near ones are listed already; overlapping ones of the same hook meet in an interval join of the candidates whose hook comes twice.
     """
-    rows = ranked.select("source_id", "rank", "start_ms", "end_ms", "hook")
-    bucket = F.floor(F.col("start_ms") / start_ms)
-    a = rows.select("source_id", F.col("rank").alias("worse"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("b"))
-    b = rows.select("source_id", F.col("rank").alias("better"), "start_ms", "end_ms", bucket.alias("b"))
-    close = (F.col("better") < F.col("worse")) & (F.abs(F.col("s") - F.col("start_ms")) < start_ms) & (F.abs(F.col("e") - F.col("end_ms")) < end_ms)
-    near = a.join(b, ["source_id", "b"]).filter(close).select("source_id", "worse", "better")
+    near = ranked.select("source_id", F.col("rank").alias("worse"), F.explode("_near").alias("better"))
+    rows = ranked.filter("_same").select("source_id", "rank", "start_ms", "end_ms", "hook")
     pairs = interval_join(rows, rows, ["source_id", "hook"]).filter("r_rank < rank")
     both = F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")
     shorter = F.greatest(F.least(F.col("end_ms") - F.col("start_ms"), F.col("r_end_ms") - F.col("r_start_ms")), F.lit(1000))
@@ -39,6 +35,15 @@ def conflicts(ranked: DataFrame, start_ms: int, end_ms: int, overlap: float) ->
     return near.unionByName(same).distinct()
 
 
+def _with_near(ranked: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """The rows with _near (better ranks with start and end closer than given) and _same (the source has the hook twice): windows over the source, as ranks are."""
+    around = Window.partitionBy("source_id").orderBy("start_ms").rangeBetween(-start_ms, start_ms)
+    seen = F.collect_list(F.struct("rank", "start_ms", "end_ms")).over(around)
+    close = lambda x: (x["rank"] < F.col("rank")) & (F.abs(x["start_ms"] - F.col("start_ms")) < start_ms) & (F.abs(x["end_ms"] - F.col("end_ms")) < end_ms)
+    listed = ranked.withColumn("_near", seen).withColumn("_near", F.transform(F.filter("_near", close), lambda x: x["rank"]))
+    return listed.withColumn("_same", F.count("*").over(Window.partitionBy("source_id", "hook")) > 1)
+
+
 def dedup_greedy(candidates: DataFrame, start_ms: int = 5000, end_ms: int = 6000, overlap: float = 0.65) -> DataFrame:
     """In rank order, drop a candidate near a kept one: start and end closer than given, or a larger overlap with the same hook.
 
@@ -46,8 +51,8 @@ def dedup_greedy(candidates: DataFrame, start_ms: int = 5000, end_ms: int = 6000
     theirs go. A round takes all sources and parts of a source at once, so there are as many rounds as the longest chain of
     conflicts that wait for each other, not as candidates. Only edges between undecided candidates are carried on.
     """
-    ranked = written(rank_candidates(candidates), "ranked")
-    edges, gone = written(conflicts(ranked, start_ms, end_ms, overlap), "conflicts"), []
+    ranked = written(_with_near(rank_candidates(candidates), start_ms, end_ms), "ranked")
+    edges, gone = written(conflicts(ranked, overlap), "conflicts"), []
     while not edges.isEmpty():
         loser = edges.select("source_id", F.col("worse").alias("better"))
         settled = edges.join(loser, ["source_id", "better"], "left_anti")

@@ -51,3 +51,14 @@ def test_terms_are_weighed_where_words_were_dealt(spark):
     assert set(vectors) == set(long)
     for k, v in vectors.items():
         assert v.term == sorted(v.term) and v.weight == [long[k][t] for t in sorted(long[k])]
+
+
+def test_near_candidates_are_found_in_place(spark):
+    rng = random.Random(7)
+    rows = [(s, i, t := rng.randrange(0, 60_000), t + rng.randrange(1000, 20_000), rng.choice("pqrs") * rng.choice([1, 1, 9]), "llm", rng.random()) for s in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "source_id long, cand_id long, start_ms long, end_ms long, hook string, score_source string, score double")
+    marked = rank._with_near(rank.rank_candidates(df), 5000, 6000)
+    assert "Join" not in planned(marked) and planned(marked).count("Exchange hashpartitioning") == 1
+    got = {(r.source_id, r.rank, b) for r in marked.collect() for b in r._near}
+    ranked = marked.collect()
+    assert got == {(p.source_id, p.rank, q.rank) for p in ranked for q in ranked if p.source_id == q.source_id and q.rank < p.rank and abs(p.start_ms - q.start_ms) < 5000 and abs(p.end_ms - q.end_ms) < 6000}
