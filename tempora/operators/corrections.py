@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fold import clamp
+from ..functions.fold import clamp, let
 from ..functions.text import trimmed_token
 
 # Words that are taken for one another, in order of preference.
@@ -45,6 +45,8 @@ TRANSITIONS = {
 SOUND, GRAMMAR, TOPIC, PHRASE, PRIOR = 0.20, 0.30, 0.25, 0.15, 0.10
 CONSONANTS, SOUNDS = "fvbpmsztdkglrn", "11222334455667"
 REACH = 3
+# Fixed value: words of a block of context.
+BLOCK = 4096
 
 
 def _literal_map(items: dict) -> Column:
@@ -82,25 +84,24 @@ def semantic_corrections(words: DataFrame, confusions: dict[str, list[str]] | No
 
     A word that has options (``confusions``) takes the best one that scores ``least`` and beats the word itself by ``margin``; ties go to the
     first listed. Capitals and trailing punctuation are kept. word_idx numbers a source's words without holes: the context is the words within
-    REACH numbers, joined by number, so a long source is spread over many keys. A null text is left alone.
+    REACH numbers, seen by windows over blocks of BLOCK numbers that take REACH words of their neighbours along, so a long source is spread over
+    many keys, and words that lie by source are not shuffled. A null text is left alone.
     """
     confusions = confusions if confusions is not None else CONFUSIONS
-    clean = trimmed_token(F.col("text"))
-    tokens = words.select("source_id", "word_idx", clean.alias("token"))
-    hits = tokens.filter(F.col("token").isin(list(confusions)))
-    offsets = F.array(*(F.lit(k).cast("long") for k in range(-REACH, REACH + 1)))
-    around = hits.select("source_id", F.col("word_idx").alias("at"), F.col("token").alias("own"), F.explode(offsets).alias("k")).withColumn("word_idx", F.col("at") + F.col("k"))
-    side = lambda k: F.max(F.when(F.col("k") == k, F.col("token")))
-    topics = (F.sum((F.coalesce(F.col("token").isin(listed), F.lit(False)) & (F.col("k") != 0)).cast("int")).alias(name) for name, listed in TOPICS.items())
-    near = around.join(tokens, ["source_id", "word_idx"]).groupBy("source_id", F.col("at").alias("word_idx"), "own").agg(side(-1).alias("left"), side(1).alias("right"), *topics)
-    context = {"token": F.col("own"), "left": F.col("left"), "right": F.col("right")} | {name: F.col(name) for name in TOPICS}
-    options = F.try_element_at(F.create_map(*(x for raw, o in confusions.items() for x in (F.lit(raw), F.array(*map(F.lit, o))))), F.col("own"))
-    raw = near.withColumn("_raw", _fit(F.col("own"), True, context))
+    own, context = F.col("_own"), {"token": F.col("_own"), "left": F.col("_left"), "right": F.col("_right")} | {name: F.col(f"_{name}") for name in TOPICS}
+    block = lambda k: F.floor((F.col("word_idx") + k) / BLOCK)
+    listed = words.withColumn("_own", trimmed_token(F.col("text"))).withColumn("_block", F.explode(F.sequence(block(-REACH), block(REACH))))
+    order = Window.partitionBy("source_id", "_block").orderBy("word_idx")
+    at = lambda k: F.max("_own").over(order.rangeBetween(k, k))
+    of = {name: F.coalesce(own.isin(topic), F.lit(False)).cast("int") for name, topic in TOPICS.items()}
+    topics = {f"_{name}": F.sum(count).over(order.rangeBetween(-REACH, REACH)) - count for name, count in of.items()}
+    near = listed.withColumns({"_left": at(-1), "_right": at(1)} | topics).filter(F.col("_block") == block(0))
+    options = F.try_element_at(F.create_map(*(x for raw, o in confusions.items() for x in (F.lit(raw), F.array(*map(F.lit, o))))), own)
     scored = F.transform(options, lambda o, i: F.struct(_fit(o, False, context).alias("score"), (-i).alias("first"), o.alias("option")))
-    passed = F.filter(scored, lambda s: (s["score"] >= least) & (s["score"] - F.col("_raw") >= margin))
-    found = raw.select("source_id", "word_idx", "own", F.array_max(passed).alias("best")).filter("best is not null")
-    fixed = found.select("source_id", "word_idx", F.col("best.option").alias("_option"), F.col("best.score").alias("confidence"), F.concat_ws("_", F.lit("contextual_semantic"), "own", F.lit("to"), "best.option").alias("rule"))
+    passed = let(_fit(own, True, context), lambda raw: F.array_max(F.filter(scored, lambda s: (s["score"] >= least) & (s["score"] - raw >= margin))))
+    found = near.withColumn("_best", F.when(own.isin(list(confusions)), passed))
+    joined = found.withColumns({"_option": F.col("_best.option"), "confidence": F.col("_best.score"), "raw_text": F.when(F.col("_best").isNotNull(), F.col("text"))})
+    rule = F.when(F.col("_best").isNotNull(), F.concat_ws("_", F.lit("contextual_semantic"), own, F.lit("to"), "_option"))
     option = F.when(F.col("text").rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("_option", 1, 1)), F.expr("substring(_option, 2)"))).otherwise(F.col("_option"))
     text = F.when(F.col("_option").isNull(), F.col("text")).otherwise(F.concat(option, F.regexp_extract("text", r"(\p{Punct}*)$", 1)))
-    joined = words.join(fixed, ["source_id", "word_idx"], "left").withColumn("raw_text", F.when(F.col("_option").isNotNull(), F.col("text")))
-    return joined.withColumn("text", text).select(*words.columns, "raw_text", "confidence", "rule")
+    return joined.withColumns({"text": text, "rule": rule}).select(*words.columns, "raw_text", "confidence", "rule")

@@ -62,3 +62,13 @@ def test_near_candidates_are_found_in_place(spark):
     got = {(r.source_id, r.rank, b) for r in marked.collect() for b in r._near}
     ranked = marked.collect()
     assert got == {(p.source_id, p.rank, q.rank) for p in ranked for q in ranked if p.source_id == q.source_id and q.rank < p.rank and abs(p.start_ms - q.start_ms) < 5000 and abs(p.end_ms - q.end_ms) < 6000}
+
+
+def test_corrections_see_their_context_in_place(spark, monkeypatch):
+    w = written(spoken(spark, [(s, 0, "a", "we life in portugal alone and I here the weather is fine my live is a beautiful story " * 3) for s in range(3)]), "words")
+    out = corrections.semantic_corrections(w)
+    assert "Join" not in planned(out)
+    whole = sorted(map(tuple, out.collect()), key=str)
+    assert any(r[-1] for r in whole)
+    monkeypatch.setattr(corrections, "BLOCK", 5)  # every context crosses blocks
+    assert sorted(map(tuple, corrections.semantic_corrections(w).collect()), key=str) == whole
