@@ -149,34 +149,48 @@ def associate(new: DataFrame, tracks: DataFrame, reach: float = 250.0) -> DataFr
     return j.groupBy("source_id", "det_id").agg(best.alias("b"), F.max("n").alias("plausible")).select("source_id", "det_id", F.col("b.track_id").alias("track_id"), "plausible")
 
 
-def track_edges(tracks: DataFrame, near: float = 80.0, together_ms: int = 300, gap_ms: int = 1000) -> DataFrame:
+def track_edges(tracks: DataFrame, near: float = 80.0, together_ms: int = 300, gap_ms: int = 1000, bucket_ms: int = 14_400_000) -> DataFrame:
     """Pairs of a shot's tracks that are one person: seen within together_ms and near, or one ends up to gap_ms before the other begins nearby.
 
-    tracks: source_id, shot_idx, track_id, start_ms, end_ms, cx.
+    tracks: source_id, shot_idx, track_id, start_ms, end_ms, cx. Of a pair the one that begins later lies in the bucket of its start alone, the other in
+    all buckets from its start to gap_ms after its end, so each pair meets once.
     """
-    rows = tracks.select(*TRACK, "start_ms", "end_ms", "cx")
-    pairs = interval_join(rows, rows, SHOT, "closed", gap_ms, bucket_ms=3_600_000).filter((F.col("track_id") < F.col("r_track_id")) & (F.abs(F.col("cx") - F.col("r_cx")) <= near))
-    return pairs.select(*SHOT, F.col("track_id").alias("a"), F.col("r_track_id").alias("b"))
+    rows = tracks.select(*TRACK, "start_ms", "end_ms", "cx").filter("end_ms >= start_ms")
+    cell = lambda c: F.floor(c / bucket_ms)
+    first = rows.select(*SHOT, F.col("track_id").alias("x"), F.col("start_ms").alias("s"), (F.col("end_ms") + gap_ms).alias("until"), F.col("cx").alias("cx_x"))
+    first = first.withColumn("_bucket", F.explode(F.sequence(cell(F.col("s")), cell(F.col("until")))))
+    later = rows.select(*SHOT, F.col("track_id").alias("y"), "start_ms", "cx", cell(F.col("start_ms")).alias("_bucket"))
+    after = (F.col("start_ms") > F.col("s")) | ((F.col("start_ms") == F.col("s")) & (F.col("x") < F.col("y")))
+    pairs = first.join(later.hint("merge"), [*SHOT, "_bucket"]).filter(after & (F.col("start_ms") <= F.col("until")) & (F.col("x") != F.col("y")) & (F.abs(F.col("cx") - F.col("cx_x")) <= near))
+    return pairs.select(*SHOT, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def merge_tracks(tracks: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     """tracks with ``person``: the least track_id of those joined by edges in a shot.
 
     Each round a track takes the least label among its neighbours', tells its old label's track, and takes its label's label, so long
-    chains halve; an error if the labels do not settle.
+    chains halve; an error if the labels do not settle. Tracks without an edge take no part, and an edge whose ends have one label is left out from
+    then on: the ends follow their label.
     """
-    both = written(edges.select(*SHOT, "a", "b").unionByName(edges.select(*SHOT, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(tracks.select(*TRACK).distinct().withColumn("person", F.col("track_id")), "labels")
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = written(edges.select(*SHOT, turned).select(*SHOT, "e.a", "e.b").filter("a <> b").distinct(), "edges")
+    near = both.groupBy(*SHOT, F.col("a").alias("track_id")).agg(F.min("b").alias("near"))
+    # the first round needs no labels: each track is its own
+    labels = written(near.select(*TRACK, F.least("track_id", "near").alias("person")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels.select(*SHOT, F.col("track_id").alias("b"), "person"), [*SHOT, "b"]).groupBy(*SHOT, F.col("a").alias("track_id")).agg(F.min("person").alias("near"))
+        ends = both.join(labels.select(*SHOT, F.col("track_id").alias("b"), F.col("person").alias("pb")), [*SHOT, "b"])
+        ends = ends.join(labels.select(*SHOT, F.col("track_id").alias("a"), F.col("person").alias("pa")), [*SHOT, "a"]).filter("pa <> pb")
+        ends = written(ends, "ends")
+        both = ends.select(*SHOT, "a", "b")
+        near = ends.groupBy(*SHOT, F.col("a").alias("track_id")).agg(F.min("pb").alias("near"))
         nearer = labels.join(near, TRACK, "left").select(*TRACK, F.col("person").alias("was"), F.least("person", F.coalesce("near", "person")).alias("new"))
-        hooks = nearer.groupBy(*SHOT, "was").agg(F.min("new").alias("hook"))
-        hooked = nearer.join(hooks, [*SHOT, "was"]).select(*TRACK, "was", F.least("new", "hook").alias("new"))
-        jump = hooked.select(*SHOT, F.col("track_id").alias("new"), F.col("new").alias("jumped"))
+        hooks = nearer.filter("new <> was").groupBy(*SHOT, "was").agg(F.min("new").alias("hook"))
+        hooked = nearer.join(hooks, [*SHOT, "was"], "left").select(*TRACK, "was", F.least("new", F.coalesce("hook", "new")).alias("new"))
+        jump = hooked.filter("track_id <> new").select(*SHOT, F.col("track_id").alias("new"), F.col("new").alias("jumped"))
         following = written(hooked.join(jump, [*SHOT, "new"], "left").select(*TRACK, "was", F.least("new", F.coalesce("jumped", "new")).alias("person")), "labels")
         labels = following.drop("was")
         if following.filter("was <> person").isEmpty():
-            return tracks.join(labels, TRACK)
+            return tracks.join(labels, TRACK, "left").withColumn("person", F.coalesce("person", "track_id"))
     raise RuntimeError("tracks did not settle")
 
 

@@ -72,3 +72,15 @@ def test_corrections_see_their_context_in_place(spark, monkeypatch):
     assert any(r[-1] for r in whole)
     monkeypatch.setattr(corrections, "BLOCK", 5)  # every context crosses blocks
     assert sorted(map(tuple, corrections.semantic_corrections(w).collect()), key=str) == whole
+
+
+def test_the_later_track_of_a_pair_is_listed_once(spark):
+    rng = random.Random(4)
+    rows = [(0, 0, i, s := rng.randrange(0, 90_000_000), s + rng.choice([0, 10, 3_600_000, 40_000_000]), rng.random() * 400) for i in range(120)]
+    rows += [(0, 0, 500, 7, 7, 1.0), (0, 0, 501, 7, 7, 1.0), (0, 0, 502, 9, 8, 1.0)]
+    df = spark.createDataFrame(rows, "source_id long, shot_idx long, track_id long, start_ms long, end_ms long, cx double")
+    meets = lambda p, q: p[2] < q[2] and p[4] >= q[3] - 1000 and p[3] <= q[4] + 1000 and abs(p[5] - q[5]) <= 80
+    good = [r for r in rows if r[4] >= r[3]]
+    edges = tracks.track_edges(df)
+    assert planned(edges).count("Generate") == 1
+    assert sorted((r.a, r.b) for r in edges.collect()) == sorted((p[2], q[2]) for p in good for q in good if meets(p, q))
