@@ -84,3 +84,14 @@ def test_the_later_track_of_a_pair_is_listed_once(spark):
     edges = tracks.track_edges(df)
     assert planned(edges).count("Generate") == 1
     assert sorted((r.a, r.b) for r in edges.collect()) == sorted((p[2], q[2]) for p in good for q in good if meets(p, q))
+
+
+def test_settled_tracks_take_no_part_in_merging(spark, monkeypatch):
+    sizes = []
+    real = tracks.written
+    monkeypatch.setattr(tracks, "written", lambda df, name: (sizes.append((name, (out := real(df, name)).count())), out)[1])
+    t = spark.createDataFrame([(0, 0, i) for i in range(100)], "source_id long, shot_idx long, track_id long")
+    e = spark.createDataFrame([(0, 0, 1, 2), (0, 0, 2, 1), (0, 0, 3, 3)], "source_id long, shot_idx long, a long, b long")
+    got = {r.track_id: r.person for r in tracks.merge_tracks(t, e).collect()}
+    assert got == {i: 1 if i == 2 else i for i in range(100)}
+    assert max(n for _, n in sizes) == 2 and ("ends", 0) in sizes
