@@ -10,14 +10,17 @@ from .intervals import interval_join
 
 
 def clip_words(words: DataFrame, clips: DataFrame, on: list[str]) -> DataFrame:
-    """Words that overlap a clip (source_id, start_ms, end_ms and keys), clamped to it; malformed words and exact doubles in a row are dropped."""
+    """Words that overlap a clip (source_id, start_ms, end_ms and keys), clamped to it; malformed words and exact doubles in a row are dropped.
+
+    Doubles start at one time, so they are of one bucket of the join: they are found where the join leaves them, without another shuffle.
+    """
     extra = [c for c in on if c != "source_id"]
-    joined = interval_join(words.filter("end_ms > start_ms"), clips.select("source_id", *extra, "start_ms", "end_ms"))
+    joined = interval_join(words.filter("end_ms > start_ms"), clips.select("source_id", *extra, "start_ms", "end_ms"), keep_bucket=True)
     clamped = joined.withColumn("start_ms", F.greatest("start_ms", "r_start_ms")).withColumn("end_ms", F.least("end_ms", "r_end_ms"))
     named = clamped.withColumnsRenamed({f"r_{c}": c for c in extra}).withColumnsRenamed({"r_start_ms": "clip_start", "r_end_ms": "clip_end"})
-    w = Window.partitionBy(*on).orderBy("start_ms", "word_idx")
+    w = Window.partitionBy("source_id", "_bucket", *extra).orderBy("start_ms", "word_idx")
     double = (F.abs(F.col("start_ms") - F.lag("start_ms").over(w)) < 1) & (F.abs(F.col("end_ms") - F.lag("end_ms").over(w)) < 1)
-    return named.withColumn("_double", F.coalesce(double, F.lit(False))).filter("not _double").drop("_double")
+    return named.withColumn("_double", F.coalesce(double, F.lit(False))).filter("not _double").drop("_double", "_bucket")
 
 
 def language_script(words: DataFrame, asr_language: str = "") -> DataFrame:

@@ -95,3 +95,11 @@ def test_settled_tracks_take_no_part_in_merging(spark, monkeypatch):
     got = {r.track_id: r.person for r in tracks.merge_tracks(t, e).collect()}
     assert got == {i: 1 if i == 2 else i for i in range(100)}
     assert max(n for _, n in sizes) == 2 and ("ends", 0) in sizes
+
+
+def test_doubles_of_a_clip_are_found_where_the_join_leaves_them(spark):
+    w = spark.createDataFrame([(1, i, 29_000 + 500 * (i // 2), 29_600 + 500 * (i // 2), "x", "a") for i in range(12)], "source_id long, word_idx long, start_ms long, end_ms long, text string, speaker string")
+    c = spark.createDataFrame([(1, 0, 29_100, 31_000), (1, 1, 0, 90_000)], "source_id long, cand_id long, start_ms long, end_ms long")
+    out = clips.clip_words(w, c, ["source_id", "cand_id"])
+    assert planned(out).count("Exchange hashpartitioning") == 2
+    assert sorted((r.cand_id, r.word_idx) for r in out.collect()) == [(0, i) for i in range(0, 8, 2)] + [(1, i) for i in range(0, 12, 2)]
