@@ -39,16 +39,18 @@ def speaker_turns(words: DataFrame) -> DataFrame:
 
 
 def diar_segments(words: DataFrame, gap_ms: int = 450, skip_null: bool = False, confidence: float = 0.95) -> DataFrame:
-    """Runs of one speaker without a gap over gap_ms from the run's end so far. A null speaker closes the run, or is skipped."""
+    """Runs of one speaker without a gap over gap_ms from the run's end so far. A null speaker closes the run, or is skipped.
+
+    Every step is a window in time order over the source, so words are sorted once: the run's end so far is the largest (run, end) before a word,
+    if it is of the word's run.
+    """
     if skip_null:
         words = words.filter("speaker is not null")
-    runs = _numbered(words, ~F.lag("speaker").over(by_time()).eqNullSafe(F.col("speaker")), "_run").filter("speaker is not null")
-    inside = Window.partitionBy("source_id", "_run").orderBy("start_ms", "word_idx")
-    reach = F.max("end_ms").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    split = runs.withColumn("_b", (F.coalesce(F.col("start_ms") - reach > gap_ms, F.lit(False))).cast("int")).withColumn("_part", F.sum("_b").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return split.groupBy("source_id", "_run", "_part").agg(
-        F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.lit(confidence).alias("confidence")
-    ).drop("_run", "_part")
+    runs = _numbered(words, ~F.lag("speaker").over(by_time()).eqNullSafe(F.col("speaker")), "_run")
+    reach = F.max(F.struct("_run", "end_ms")).over(by_time().rowsBetween(Window.unboundedPreceding, -1))
+    split = runs.withColumn("_reach", reach).withColumn("_b", (F.col("_reach._run") == F.col("_run")) & (F.col("start_ms") - F.col("_reach.end_ms") > gap_ms))
+    parts = _numbered(split, F.col("_b"), "_part").filter("speaker is not null")
+    return parts.groupBy("source_id", "_run", "_part", "speaker").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).select("source_id", "speaker", "start_ms", "end_ms", F.lit(confidence).alias("confidence"))
 
 
 def merge_adjacent(segments_: DataFrame, gap_ms: int = 500) -> DataFrame:

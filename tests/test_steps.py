@@ -103,3 +103,9 @@ def test_doubles_of_a_clip_are_found_where_the_join_leaves_them(spark):
     out = clips.clip_words(w, c, ["source_id", "cand_id"])
     assert planned(out).count("Exchange hashpartitioning") == 2
     assert sorted((r.cand_id, r.word_idx) for r in out.collect()) == [(0, i) for i in range(0, 8, 2)] + [(1, i) for i in range(0, 12, 2)]
+
+
+def test_diarization_sorts_words_once(spark):
+    w = written(spoken(spark, turns_of(3)), "words")
+    plan = planned(islands.diar_segments(w))
+    assert plan.count("Sort [") == 1
