@@ -11,26 +11,41 @@ ANY = f"words array<{WORD}>, segments array<struct<start:double,end:double,text:
 
 
 def _words(rows: DataFrame, listed: Column) -> DataFrame:
-    """source_id (the file), word_idx, text, start_ms, end_ms, speaker; empty texts are dropped before words are numbered."""
-    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
-    out = rows.select("source_id", F.posexplode(listed).alias("pos", "w"))
-    text = F.trim(F.coalesce("w.punctuated_word", "w.word", "w.text"))
+    """source_id, word_idx, text, start_ms, end_ms, speaker of documents; empty texts are dropped before words are numbered, each document's on its own in its row."""
+    ms = lambda c: F.round(c * 1000).cast("long")
+    named = lambda w: F.struct(F.trim(F.coalesce(w["punctuated_word"], w["word"], w["text"])).alias("text"), w["start"].alias("start"), w["end"].alias("end"), w["speaker"].alias("speaker"))
+    out = rows.select("source_id", F.posexplode(F.filter(F.transform(listed, named), lambda w: w["text"] != "")).alias("word_idx", "w"))
     speaker = F.when(F.col("w.speaker").rlike("^[0-9]+$"), F.concat(F.lit("S"), (F.col("w.speaker").cast("int") + 1).cast("string"))).otherwise(F.col("w.speaker"))
-    out = out.select("source_id", "pos", text.alias("text"), ms("w.start").alias("start_ms"), ms("w.end").alias("end_ms"), speaker.alias("speaker")).filter("text <> ''")
-    number = F.row_number().over(Window.partitionBy("source_id").orderBy("pos")).cast("long") - 1
-    return out.select("source_id", number.alias("word_idx"), "text", "start_ms", "end_ms", "speaker")
+    return out.select("source_id", F.col("word_idx").cast("long").alias("word_idx"), F.col("w.text").alias("text"), ms(F.col("w.start")).alias("start_ms"), ms(F.col("w.end")).alias("end_ms"), speaker.alias("speaker"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Words of cloud speech-recognition JSON files, one document a file."""
-    rows = spark.read.schema(ASR).option("multiLine", True).json(path).select(F.input_file_name().alias("source_id"), "results")
-    return _words(rows, F.col("results.channels")[0]["alternatives"][0]["words"])
+def read_documents(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """source_id, value: whole files by their names or, ``bundled``, the lines of files with many documents each: the source, a tab, the document in one line.
 
+    A file a document costs its opening, so a large corpus is kept in bundles.
+    """
+    if not bundled:
+        return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_id"), "value")
+    return spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("source_id"), F.expr("substring(value, instr(value, '\t') + 1)").alias("value"))
 
-def read_words_json(spark: SparkSession, path: str) -> DataFrame:
-    """Words of files of three shapes: a list, {words}, or {segments: [{words}]}."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_id"), "value")
-    parsed = rows.withColumn("o", F.from_json("value", ANY)).withColumn("l", F.from_json("value", f"array<{WORD}>"))
+
+def write_bundles(documents: DataFrame, path: str) -> None:
+    """Documents (source_id, value of one line) as bundles for ``read_documents``: one file a task."""
+    documents.select(F.concat_ws("\t", F.col("source_id").cast("string"), "value").alias("value")).write.text(path)
+
+
+def read_transcripts(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Words of cloud speech-recognition JSON files, one document a file, or ``bundled`` (``read_documents``)."""
+    if not bundled:
+        rows = spark.read.schema(ASR).option("multiLine", True).json(path).select(F.input_file_name().alias("source_id"), "results")
+    else:
+        rows = read_documents(spark, path, True).select("source_id", F.from_json("value", ASR)["results"].alias("results"))
+    return _words(rows, F.get(F.get(F.col("results.channels"), F.lit(0))["alternatives"], F.lit(0))["words"])
+
+
+def read_words_json(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Words of documents of three shapes: a list, {words}, or {segments: [{words}]}; one a file, or ``bundled`` (``read_documents``)."""
+    parsed = read_documents(spark, path, bundled).withColumn("o", F.from_json("value", ANY)).withColumn("l", F.from_json("value", f"array<{WORD}>"))
     inner = F.flatten(F.transform("o.segments", lambda s: F.coalesce(s["words"], F.expr(f"cast(array() as array<{WORD}>)"))))
     return _words(parsed, F.coalesce(F.col("o.words"), inner, F.col("l")))
 

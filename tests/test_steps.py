@@ -109,3 +109,16 @@ def test_diarization_sorts_words_once(spark):
     w = written(spoken(spark, turns_of(3)), "words")
     plan = planned(islands.diar_segments(w))
     assert plan.count("Sort [") == 1
+
+
+def test_transcripts_in_bundles_are_read_as_in_files(spark, tmp_path):
+    doc = '{"results":{"channels":[{"alternatives":[{"words":[{"word":"a","start":0.1,"end":0.2,"speaker":"0"},{"word":" ","start":0.2,"end":0.3},{"word":"b","punctuated_word":"B\\t.","start":0.3,"end":0.4,"speaker":"x"}]}]}]}}'
+    docs = spark.createDataFrame([(k, doc) for k in range(5)] + [(9, '{"results":{"channels":[]}}')], "source_id long, value string")
+    docs.write.partitionBy("source_id").text(f"{tmp_path}/files")
+    readers.write_bundles(docs.coalesce(1), f"{tmp_path}/bundles")
+    assert len(list((tmp_path / "bundles").glob("part-*"))) == 1
+    name = F.regexp_extract("source_id", "source_id=([0-9]+)", 1)
+    files = readers.read_transcripts(spark, f"{tmp_path}/files").withColumn("source_id", name)
+    bundled = readers.read_transcripts(spark, f"{tmp_path}/bundles", bundled=True)
+    assert sorted(map(tuple, files.collect())) == sorted(map(tuple, bundled.collect()))
+    assert bundled.count() == 10 and "Exchange" not in planned(bundled)
