@@ -122,3 +122,16 @@ def test_transcripts_in_bundles_are_read_as_in_files(spark, tmp_path):
     bundled = readers.read_transcripts(spark, f"{tmp_path}/bundles", bundled=True)
     assert sorted(map(tuple, files.collect())) == sorted(map(tuple, bundled.collect()))
     assert bundled.count() == 10 and "Exchange" not in planned(bundled)
+
+
+def test_words_json_in_bundles_are_read_as_in_files(spark, tmp_path):
+    word = '{"text":"a","start":0.1,"end":0.2}'
+    shapes = [f"[{word},{word}]", '{"words":[' + word + "]}", '{"segments":[{"words":[' + word + ']},{"text":"none"},{"words":[' + word + "]}]}"]
+    docs = spark.createDataFrame([(k, shapes[k % 3]) for k in range(6)], "source_id long, value string")
+    docs.write.partitionBy("source_id").text(f"{tmp_path}/files")
+    readers.write_bundles(docs.coalesce(1), f"{tmp_path}/bundles")
+    name = F.regexp_extract("source_id", "source_id=([0-9]+)", 1)
+    files = readers.read_words_json(spark, f"{tmp_path}/files").withColumn("source_id", name)
+    bundled = readers.read_words_json(spark, f"{tmp_path}/bundles", bundled=True)
+    assert sorted(map(tuple, files.collect())) == sorted(map(tuple, bundled.collect()))
+    assert bundled.count() == 10 and "Exchange" not in planned(bundled)
