@@ -30,7 +30,8 @@ def width(text: Column) -> Column:
 def clauses(text: Column) -> Column:
     """The runs of a text that end after their marks; the whole text if it has nothing else."""
     found = F.regexp_extract_all(text, F.lit(f"[^{MARKS}]+[{MARKS}]*"), F.lit(0))
-    return F.filter(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(text)), lambda c: F.btrim(c)), lambda c: c != "")
+    runs = let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(text)))
+    return F.filter(F.transform(runs, lambda c: F.btrim(c)), lambda c: c != "")
 
 
 def _atoms(clause: Column, limit: int) -> Column:
@@ -38,25 +39,26 @@ def _atoms(clause: Column, limit: int) -> Column:
     most = max(1, limit // NARROW)
     parts = F.regexp_extract_all(clause, F.lit(f"(?:[{WIDE_CLASS}]|[^{WIDE_CLASS}\\s]{{1,{most}}})\\s*"), F.lit(0))
 
-    def atom(part: Column, i: Column) -> Column:
+    def atom(all_parts: Column, part: Column, i: Column) -> Column:
         wide = lambda x: x.rlike(f"^[{WIDE_CLASS}]")
-        nxt = F.coalesce(F.get(parts, i + 1), F.lit(""))
+        nxt = F.coalesce(F.get(all_parts, i + 1), F.lit(""))
         joint = (
             F.when(part.endswith(" "), 0).when(part.rlike(f"^[{AFTER}]$") | nxt.rlike(f"^[{BEFORE}]"), 1).when(wide(part) & wide(nxt), 3)
         )
         return F.struct(part.alias("text"), width(part).cast("int").alias("width"), joint.alias("joint")).cast(_ATOM)
 
-    return F.transform(parts, atom)
+    # the clause is split once, not for each of its parts
+    return let(parts, lambda p: F.transform(p, lambda part, i: atom(p, part, i)))
 
 
 def _cut(open_atoms: Column, limit: int) -> Column:
     """How many atoms of a full line go before the cut: the best joint, the last of equals that fills half a line, else the first of them."""
     upto = lambda i: F.aggregate(F.slice(open_atoms, F.lit(1), i + 1), F.lit(0), lambda acc, a: acc + a["width"])
     joints = F.filter(F.transform(open_atoms, lambda a, i: F.struct(a["joint"].alias("joint"), (i + 1).alias("n"), upto(i).alias("filled"))), lambda x: x["joint"].isNotNull())
-    best = let(F.array_min(F.transform(joints, lambda x: x["joint"])), lambda least: F.filter(joints, lambda x: x["joint"] == least))
-    late = lambda b: F.element_at(F.filter(b, lambda x: 2 * x["filled"] >= limit), -1)["n"]
-    chosen = let(best, lambda b: F.coalesce(F.when(F.size(F.filter(b, lambda x: 2 * x["filled"] >= limit)) > 0, late(b)), F.get(b, F.lit(0))["n"]))
-    return F.when(F.size(joints) > 0, chosen).otherwise(F.size(open_atoms))
+    late = lambda b: F.filter(b, lambda x: 2 * x["filled"] >= limit)
+    chosen = lambda b: let(late(b), lambda x: F.when(F.size(x) > 0, F.element_at(x, -1)["n"]).otherwise(F.get(b, F.lit(0))["n"]))
+    best = lambda j: let(F.array_min(F.transform(j, lambda x: x["joint"])), lambda least: F.filter(j, lambda x: x["joint"] == least))
+    return let(joints, lambda j: F.when(F.size(j) > 0, let(best(j), chosen)).otherwise(F.size(open_atoms)))
 
 
 def _text(atoms: Column) -> Column:

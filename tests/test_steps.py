@@ -135,3 +135,11 @@ def test_words_json_in_bundles_are_read_as_in_files(spark, tmp_path):
     bundled = readers.read_words_json(spark, f"{tmp_path}/bundles", bundled=True)
     assert sorted(map(tuple, files.collect())) == sorted(map(tuple, bundled.collect()))
     assert bundled.count() == 10 and "Exchange" not in planned(bundled)
+
+
+def test_a_clause_is_split_once(spark):
+    from tempora.operators import screens
+
+    texts = spark.createDataFrame([("one two three four five six seven eight", 1)], "text string, k int")
+    plan = planned(texts.select(screens.lines_for(F.col("text"), 700).alias("lines")))
+    assert plan.count("regexp_extract_all") == 2  # clauses, and the parts of one
