@@ -81,9 +81,10 @@ def cues(words: DataFrame, gap_ms: int = 400, max_words: int = 8) -> DataFrame:
     """Clauses: they end at punctuation, a gap of gap_ms or more, a change between known speakers, or after max_words."""
     # a null speaker compares as null, which is no break, but the other tests still count
     breaks = F.coalesce(F.lag(ends_clause(F.col("text"))).over(by_time()), F.lit(False)) | F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by_time()) >= gap_ms, F.lit(False)) | F.coalesce(F.lag("speaker").over(by_time()) != F.col("speaker"), F.lit(False))
-    islands = _hard_islands(words, breaks)
-    inside = Window.partitionBy("source_id", "_island").orderBy("start_ms", "word_idx")
-    parts = islands.withColumn("_part", F.floor((F.row_number().over(inside) - 1) / max_words))
+    # a word's place in its island is its place in the source less that of the island's first word: one order serves all
+    placed = _hard_islands(words, breaks).withColumn("_n", F.row_number().over(by_time())).withColumn("_opens", F.coalesce(F.lag("_island").over(by_time()) != F.col("_island"), F.lit(True)))
+    first = F.max(F.when(F.col("_opens"), F.col("_n"))).over(so_far())
+    parts = placed.withColumn("_part", F.floor((F.col("_n") - first) / max_words))
     grouped = parts.groupBy("source_id", "_island", "_part").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), _text())
     order = Window.partitionBy("source_id").orderBy("_island", "_part")
     return grouped.withColumn("cue_idx", F.row_number().over(order) - 1).drop("_island", "_part")

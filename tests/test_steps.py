@@ -143,3 +143,11 @@ def test_a_clause_is_split_once(spark):
     texts = spark.createDataFrame([("one two three four five six seven eight", 1)], "text string, k int")
     plan = planned(texts.select(screens.lines_for(F.col("text"), 700).alias("lines")))
     assert plan.count("regexp_extract_all") == 2  # clauses, and the parts of one
+
+
+def test_cues_number_their_words_in_one_order(spark):
+    w = written(spoken(spark, turns_of(3)), "words")
+    # the words in time order, their groups, and the numbers of cues
+    assert planned(islands.cues(w)).count("Sort [") <= 2
+    alone = written(spoken(spark, [(1, 0, "a", " ".join("abcdefghijklmnopqrs"))]).withColumn("start_ms", F.col("word_idx") * 100).withColumn("end_ms", F.col("word_idx") * 100 + 90), "words")
+    assert [r.n_words for r in islands.cues(alone).orderBy("cue_idx").collect()] == [8, 8, 3]
