@@ -151,3 +151,10 @@ def test_cues_number_their_words_in_one_order(spark):
     assert planned(islands.cues(w)).count("Sort [") <= 2
     alone = written(spoken(spark, [(1, 0, "a", " ".join("abcdefghijklmnopqrs"))]).withColumn("start_ms", F.col("word_idx") * 100).withColumn("end_ms", F.col("word_idx") * 100 + 90), "words")
     assert [r.n_words for r in islands.cues(alone).orderBy("cue_idx").collect()] == [8, 8, 3]
+
+
+def test_merging_turns_sorts_words_once_and_turns_once(spark):
+    w = written(spoken(spark, turns_of(3)), "words")
+    plan = planned(islands.merge_adjacent(islands.diar_segments(w), 900).drop("confidence"))
+    # words by time, turns by time, and their groups (before and after the partial result)
+    assert plan.count("Sort [") <= 4
