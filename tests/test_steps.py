@@ -158,3 +158,8 @@ def test_merging_turns_sorts_words_once_and_turns_once(spark):
     plan = planned(islands.merge_adjacent(islands.diar_segments(w), 900).drop("confidence"))
     # words by time, turns by time, and their groups (before and after the partial result)
     assert plan.count("Sort [") <= 4
+
+
+def test_speaker_levels_broadcast_no_samples(spark):
+    plan = planned(QUERIES["o69_speaker_levels"](spark, f"{DATA}/sf0.001"))
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
