@@ -59,8 +59,10 @@ def sound_likeness(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     edit = F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
     places = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
-    both = F.filter(F.transform(places, lambda i: F.struct(F.substr(sounds(a), i, F.lit(1)).alias("a"), F.substr(sounds(b), i, F.lit(1)).alias("b"))), lambda x: x["a"].rlike("[0-9]") & x["b"].rlike("[0-9]"))
-    alike = F.when(F.size(both) == 0, edit).otherwise(F.size(F.filter(both, lambda x: x["a"] == x["b"])) / F.size(both))
+    # the words are turned into sounds once, not for each place
+    paired = let(F.struct(sounds(a).alias("a"), sounds(b).alias("b")), lambda w: F.transform(places, lambda i: F.struct(F.substr(w["a"], i, F.lit(1)).alias("a"), F.substr(w["b"], i, F.lit(1)).alias("b"))))
+    share = lambda both: F.when(F.size(both) == 0, edit).otherwise(F.size(F.filter(both, lambda x: x["a"] == x["b"])) / F.size(both))
+    alike = let(F.filter(paired, lambda x: (x["a"] != "-") & (x["a"] != "") & (x["b"] != "-") & (x["b"] != "")), share)
     return F.when(a == b, 1.0).otherwise(0.5 * alike + 0.5 * edit)
 
 
@@ -73,10 +75,10 @@ def _fit(option: Column, own: bool, near: dict[str, Column]) -> Column:
     bounded = lambda points: clamp((50 + points) / 100.0, 0.05, 1.0)
     after = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_element_at(_literal_map(TRANSITIONS), F.concat_ws(" ", a, b)), F.lit(50)))
     sides = F.array_compact(F.array(after(near["left"], option), after(option, near["right"])))
-    phrase = F.when(F.size(sides) == 0, 0.5).otherwise(F.aggregate(sides, F.lit(0), lambda x, y: x + y) / F.size(sides) / 100.0)
-    sound = F.lit(1.0) if own else sound_likeness(option, near["token"])
-    prior = F.lit(0.70) if own else clamp(0.30 * sound, 0.05, 0.95)
-    return SOUND * sound + GRAMMAR * bounded(grammar) + TOPIC * bounded(topic) + PHRASE * phrase + PRIOR * prior
+    phrase = let(sides, lambda x: F.when(F.size(x) == 0, 0.5).otherwise(F.aggregate(x, F.lit(0), lambda y, z: y + z) / F.size(x) / 100.0))
+    prior = lambda sound: F.lit(0.70) if own else clamp(0.30 * sound, 0.05, 0.95)
+    total = lambda sound: SOUND * sound + GRAMMAR * bounded(grammar) + TOPIC * bounded(topic) + PHRASE * phrase + PRIOR * prior(sound)
+    return total(F.lit(1.0)) if own else let(sound_likeness(option, near["token"]), total)
 
 
 def semantic_corrections(words: DataFrame, confusions: dict[str, list[str]] | None = None, least: float = 0.85, margin: float = 0.20) -> DataFrame:

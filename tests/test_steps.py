@@ -163,3 +163,11 @@ def test_merging_turns_sorts_words_once_and_turns_once(spark):
 def test_speaker_levels_broadcast_no_samples(spark):
     plan = planned(QUERIES["o69_speaker_levels"](spark, f"{DATA}/sf0.001"))
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_sounds_are_made_once_a_word(spark):
+    pairs = spark.createDataFrame([("live", "life"), ("to", "two"), ("", "a"), ("a", "i")], "a string, b string")
+    likeness = pairs.select("a", corrections.sound_likeness(F.col("a"), F.col("b")).alias("s"))
+    assert planned(likeness).count("translate(") == 2
+    got = {r.a: r.s for r in likeness.collect()}
+    assert got["live"] == 0.5 * 1.0 + 0.5 * 0.75 and got[""] == got["a"] == 0.0
