@@ -44,10 +44,13 @@ def read_transcripts(spark: SparkSession, path: str, bundled: bool = False) -> D
 
 
 def read_words_json(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
-    """Words of documents of three shapes: a list, {words}, or {segments: [{words}]}; one a file, or ``bundled`` (``read_documents``)."""
-    parsed = read_documents(spark, path, bundled).withColumn("o", F.from_json("value", ANY)).withColumn("l", F.from_json("value", f"array<{WORD}>"))
+    """Words of documents of three shapes: a list, {words}, or {segments: [{words}]}; one a file, or ``bundled`` (``read_documents``).
+
+    A document is parsed as a list only where the other shapes give no words, so most are parsed once.
+    """
+    parsed = read_documents(spark, path, bundled).withColumn("o", F.from_json("value", ANY))
     inner = F.flatten(F.transform("o.segments", lambda s: F.coalesce(s["words"], F.expr(f"cast(array() as array<{WORD}>)"))))
-    return _words(parsed, F.coalesce(F.col("o.words"), inner, F.col("l")))
+    return _words(parsed, F.coalesce(F.col("o.words"), inner, F.from_json("value", f"array<{WORD}>")))
 
 
 def read_labels_jsonl(spark: SparkSession, path: str, classes: list[str], features: list[str]) -> DataFrame:

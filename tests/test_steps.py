@@ -137,6 +137,15 @@ def test_words_json_in_bundles_are_read_as_in_files(spark, tmp_path):
     assert bundled.count() == 10 and "Exchange" not in planned(bundled)
 
 
+def test_words_json_is_parsed_as_a_list_where_other_shapes_fail(spark, tmp_path):
+    docs = ['[{"text":"a","start":0.1,"end":0.2}]', '{"words":[{"text":"b"}]}', '{"segments":[{"words":[{"text":"c"}]}]}', '{"text":"d"}', '{"words":[]}', "[]", "{", "null", '{"segments":null,"words":null}']
+    readers.write_bundles(spark.createDataFrame(list(enumerate(docs)), "source_id long, value string"), f"{tmp_path}/bundles")
+    read = readers.read_words_json(spark, f"{tmp_path}/bundles", bundled=True)
+    assert sorted((r.source_id, r.text) for r in read.collect()) == [("0", "a"), ("1", "b"), ("2", "c"), ("3", "d")]
+    # no column is made of the parse as a list
+    assert "from_json(ArrayType" in planned(read) and not [x for x in planned(read).split("\n") if "Project" in x and "from_json(ArrayType" in x]
+
+
 def test_a_clause_is_split_once(spark):
     from tempora.operators import screens
 
