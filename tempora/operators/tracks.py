@@ -197,22 +197,19 @@ def merge_tracks(tracks: DataFrame, edges: DataFrame, max_rounds: int = 30) -> D
 def united_detections(persons: DataFrame, detections: DataFrame, grain_ms: int = 1) -> DataFrame:
     """source_id, shot_idx, person, track_id (the detection's own), t_ms and detections' other columns of every person.
 
-    persons: TRACK and person (``merge_tracks``). A person's track with the most detections (the least track_id of equals) gives all of its own. The
-    others, in order of track_id, give theirs at times that no track before them covers: those of one ``grain_ms`` are one time, and the first
-    by t_ms and the other columns is taken. One aggregate over (person, time) settles that, so tracks are not compared with each other.
+    persons: TRACK and person (``merge_tracks``), one row a track. A person's track with the most detections (the least track_id of equals) gives all of
+    its own. The others, in order of track_id, give theirs at times that no track before them covers: those of one ``grain_ms`` are one time, and the first
+    by t_ms and the other columns is taken. Leaders are found among tracks; detections are dealt twice, by track and by (person, time), where one
+    order settles who gives, so neither tracks are compared with each other nor a person's detections lie together.
     """
-    t = detections.join(persons.select(*TRACK, "person"), TRACK).withColumn("_at", F.floor(F.col("t_ms") / grain_ms))
-    t = written(t, "person-detections")  # read for the sizes, the leaders and the rest
-    size = t.groupBy(*SHOT, "person", "track_id").agg(F.count("*").alias("n"))
-    leader = size.groupBy(*SHOT, "person").agg(F.max_by("track_id", F.struct("n", -F.col("track_id"))).alias("leader"))
+    sizes = detections.groupBy(*TRACK).agg(F.count("*").alias("n"))
+    leader = persons.join(sizes, TRACK).groupBy(*SHOT, "person").agg(F.max_by("track_id", F.struct("n", -F.col("track_id"))).alias("track_id"))
+    named = detections.join(persons.select(*TRACK, "person"), TRACK).join(leader.select(*TRACK, F.lit(True).alias("_leads")), TRACK, "left")
     more = sorted(c for c in detections.columns if c not in (*TRACK, "t_ms"))
-    marked = t.join(leader, [*SHOT, "person"])
-    own = marked.filter("track_id = leader")
-    order = F.struct("track_id", "t_ms", *more)
-    rest = marked.filter("track_id <> leader").groupBy(*SHOT, "person", "_at").agg(F.min(order).alias("d"))
-    rest = rest.join(own.select(*SHOT, "person", "_at").distinct(), [*SHOT, "person", "_at"], "left_anti")
-    columns = [*SHOT, "person", "track_id", "t_ms", *more]
-    return own.select(*columns).unionByName(rest.select(*SHOT, "person", "d.*"))
+    at = named.withColumn("_at", F.floor(F.col("t_ms") / grain_ms)).withColumn("_leads", F.coalesce("_leads", F.lit(False)))
+    unknown = F.when(F.col("_at").isNull(), F.col("_leads"))  # a missing time covers no other track's
+    turn = F.row_number().over(Window.partitionBy(*SHOT, "person", "_at", unknown).orderBy(F.desc("_leads"), "track_id", "t_ms", *more))
+    return at.withColumn("_turn", turn).filter("_leads or _turn = 1").select(*SHOT, "person", "track_id", "t_ms", *more)
 
 
 def merged_tracks(persons: DataFrame, detections: DataFrame, grain_ms: int = 1) -> DataFrame:

@@ -97,6 +97,20 @@ def test_settled_tracks_take_no_part_in_merging(spark, monkeypatch):
     assert max(n for _, n in sizes) == 2 and ("ends", 0) in sizes
 
 
+def test_detections_are_dealt_by_track_and_by_time_of_a_person(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "written", lambda df, name: (_ for _ in ()).throw(AssertionError(name)))
+    keys = "source_id long, shot_idx long, track_id long, "
+    seen = spark.createDataFrame([(0, 0, 5, 1, 0.5), (0, 0, 5, 1, 0.5), (0, 0, 7, 1, 0.1), (0, 0, 7, 4, 0.2), (0, 0, 7, 4, 0.2), (0, 0, 9, 4, 0.0), (0, 0, 9, None, 0.3), (0, 1, 5, 1, None)], keys + "t_ms long, cx double")
+    named = spark.createDataFrame([(0, 0, 5, 5), (0, 0, 7, 5), (0, 0, 9, 5), (0, 1, 5, 5), (0, 0, 11, 5)], keys + "person long")
+    united = tracks.united_detections(named, seen)
+    assert planned(united).count("Window [") == 1 and "Union" not in planned(united)
+    # 7 leads with three, so it gives all of its own; of the others 9 alone has a time that is not covered
+    want = [(0, 0, 5, 7, 1, 0.1), (0, 0, 5, 7, 4, 0.2), (0, 0, 5, 7, 4, 0.2), (0, 0, 5, 9, None, 0.3), (0, 1, 5, 5, 1, None)]
+    assert sorted(map(tuple, united.collect()), key=str) == sorted(want, key=str)
+    unknown = tracks.united_detections(named, seen.withColumn("t_ms", F.lit(None).cast("long")))
+    assert sorted(map(tuple, unknown.select("shot_idx", "track_id", "cx").collect()), key=str) == sorted([(0, 7, 0.1), (0, 7, 0.2), (0, 7, 0.2), (0, 5, 0.5), (1, 5, None)], key=str)
+
+
 def test_doubles_of_a_clip_are_found_where_the_join_leaves_them(spark):
     w = spark.createDataFrame([(1, i, 29_000 + 500 * (i // 2), 29_600 + 500 * (i // 2), "x", "a") for i in range(12)], "source_id long, word_idx long, start_ms long, end_ms long, text string, speaker string")
     c = spark.createDataFrame([(1, 0, 29_100, 31_000), (1, 1, 0, 90_000)], "source_id long, cand_id long, start_ms long, end_ms long")
