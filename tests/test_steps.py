@@ -188,6 +188,48 @@ def test_speaker_levels_broadcast_no_samples(spark):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def test_phrases_are_placed_in_blocks_of_words(spark):
+    from tempora.operators import scoring
+
+    rng = random.Random(8)
+    said = [rng.choice(["a", "at", "that", "the", "then", "Cat!", "--"]) for _ in range(2 * scoring.BLOCK + 40)]
+    w = written(spark.createDataFrame([(1, i, t, i * 400, i * 400 + 300, None) for i, t in enumerate(said)], "source_id long, word_idx long, text string, start_ms long, end_ms long, speaker string"), "words")
+    starts = [0, 5, 1000, *range(scoring.BLOCK - 12, scoring.BLOCK + 3), 2 * scoring.BLOCK - 3, len(said) - 5]
+    phrases = [(1, k, " ".join([*said[s : s + 7], "dog"]), s * 400 - rng.randrange(9000), s * 400 + rng.randrange(9000)) for k, s in enumerate(starts)]
+    p = spark.createDataFrame(phrases, "source_id long, cand_id long, text string, start_ms long, end_ms long")
+    clean = lambda t: "".join(x for x in t.lower() if x.isalpha())
+    worth = lambda u, t: 5 if u == t else 4 if u and (u in t or t in u) else 0
+    for tie, args in (("first", {}), ("end", {"before_ms": 0, "after_ms": None, "max_tokens": None})):
+        placed = scoring.align_phrase(p, w, tie=tie, fallback=False, **args)
+        assert "MapInArrow" in planned(placed) and "Window [collect_list" not in planned(placed)
+        got = {r.cand_id: (r.first_idx, r.match) for r in placed.collect()}
+        for _, k, text, start, end in phrases:
+            t = [x for x in map(clean, text.split()) if x][: args.get("max_tokens", 6)]
+            lo, hi = start - args.get("before_ms", 12_000), end + 600_000 if args else start + 25_000
+            sums = [(sum(worth(clean(u), x) for u, x in zip(said[i : i + len(t)], t)), -abs(i * 400 - end) if tie == "end" else 0, -i) for i in range(len(said)) if lo <= i * 400 <= hi]
+            best = max(sums)
+            assert got.get(k) == ((-best[2], round(best[0] / 5 / len(t), 6)) if best[0] * 2 >= 5 * len(t) else None)
+
+
+def test_ends_are_chosen_without_sorting_pairs(spark):
+    from tempora.operators import boundaries
+
+    w = written(spoken(spark, turns_of(3)), "words")
+    c = spark.createDataFrame([(0, 0, 0, 15_000, 14_000, True)], "source_id long, cand_id long, snapped_start long, end_ms long, payoff_end long, low_confidence boolean")
+    flags = c.withColumns({"payoff_incomplete": F.lit(False), "must_extend": F.lit(False), "floor_ms": F.lit(None).cast("long")})
+    out = boundaries.snap_end(flags, w, w.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms")))
+    assert "SortAggregate" not in planned(out) and out.count() == 1
+
+
+def test_discovery_splits_documents_once(spark, monkeypatch):
+    from tempora.operators import discovery
+
+    given = []
+    monkeypatch.setattr(discovery, "discover_candidates", lambda *frames, **_: given.extend(frames))
+    QUERIES["o128_discover_candidates"](spark, f"{DATA}/sf0.001")
+    assert len(given) == 4 and not [x for x in given if "posexplode" in planned(x)]
+
+
 def test_sounds_are_made_once_a_word(spark):
     pairs = spark.createDataFrame([("live", "life"), ("to", "two"), ("", "a"), ("a", "i")], "a string, b string")
     likeness = pairs.select("a", corrections.sound_likeness(F.col("a"), F.col("b")).alias("s"))
